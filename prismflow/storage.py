@@ -41,3 +41,16 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Keep Arrow batches handed to Python workers at ``limit`` bytes or less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
+def scan_bytes(df: DataFrame, unknown: int = 1 << 30) -> int:
+    """The optimiser's size of ``df``, used only to choose how many parts work is dealt into."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else unknown
