@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     null end are ignored; loops name their node. Only a count of changed labels reaches the driver.
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null")
-    links = storage.cut(pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    both = pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    links = storage.cut(both.distinct())
     labels = storage.cut(links.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
     while True:
         of_other = labels.select(F.col("node").alias("other"), F.col("component").alias("seen"))
