@@ -8,17 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from prismflow import storage
-from prismflow.llm import byte_bpe, decontamination, minhash_dedup, quality, substring_dedup, token_files
+from prismflow.llm import byte_bpe, chat_format, decontamination, license_scan, minhash_dedup, neighbours, quality, substring_dedup, token_files, url_filter
+from prismflow.llm.oracles import ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the registered url query: verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Both turns of the extra conversation say this.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.link_edges(pages), URL_RULES)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return chat_format.digests(chat_format.formatted_turns(chat_format.text_parts(rows.unionByName(extra))))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,13 +61,29 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(_table(spark, sf_dir, "documents"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_decontamination": op2_decontamination,
-    "op4_byte_bpe": op4_byte_bpe,
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op6_token_files": op6_token_files,
-    "op7_quality": op7_quality,
-    "op8_substring_dedup": op8_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_decontamination,
+        op3_chat_format,
+        op4_byte_bpe,
+        op5_minhash_near_dedup,
+        op6_token_files,
+        op7_quality,
+        op8_substring_dedup,
+        op9_license_scan,
+        op10_neighbours,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
