@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from types import ModuleType
 
 import numpy as np
 
 
+def kept_in_worker(key: str, make: Callable):
+    """The object made for ``key`` earlier in this Python worker, or a new one.
+
+    Functions reach workers by value, so their own globals do not outlive a task. Only bounded objects belong here.
+    """
+    store = sys.modules.setdefault("prismflow worker store", ModuleType("prismflow worker store"))
+    if key not in store.__dict__:
+        store.__dict__[key] = make()
+    return store.__dict__[key]
+
+
 class Pool:
     """Ids of every distinct piece seen; ``encode`` maps a list of new pieces to flat ids and the length of each.
 
@@ -39,18 +52,21 @@ class Pool:
 
     def __call__(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``pieces`` one after another, and the number of ids of each piece."""
-        get = self.index.get
-        found = [get(x, -1) for x in pieces]
-        if -1 in found:
-            new = list(dict.fromkeys(x for x, i in zip(pieces, found, strict=True) if i < 0))
+        found = list(map(self.index.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = list(dict.fromkeys(pieces[i] for i in missing))
             if len(self.index) + len(new) > self.limit:
                 self._clear()
-                new = list(dict.fromkeys(pieces))
-            self._add(new)
-            get = self.index.get
-            found = [get(x) for x in pieces]
+                self._add(list(dict.fromkeys(pieces)))
+                found = [self.index[x] for x in pieces]
+            else:
+                self._add(new)
+                index = self.index
+                for i in missing:
+                    found[i] = index[pieces[i]]
         at = np.array(found, np.int64)
         size = self.size[at]
         total = int(size.sum())
-        where = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[at], size)
+        where = np.arange(total) + np.repeat(self.start[at] - np.cumsum(size) + size, size)
         return self.flat[where], size

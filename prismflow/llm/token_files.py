@@ -19,6 +19,7 @@ rows that share an id are ordered by text; an empty table gives no segments; oth
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from prismflow import storage
 from prismflow.llm import textkit as tk
-from prismflow.llm.pool import Pool
+from prismflow.llm.pool import Pool, kept_in_worker
 
 BLOCK, PERCENTILE = 128, 0.95
 NULL_ID = np.iinfo(np.int64).min
@@ -141,41 +142,50 @@ class WordEncoder:
     parted by a mark whose single id cannot come from a word without the mark.
     """
 
-    MARK = "¦"
+    MARKS = "★☆♥•…→†§"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.mark = self._ids(self.MARK)
-        self.pool = Pool(self._encode)
+        self.mark, self.mark_id = next(((m, i[0]) for m in self.MARKS if len(i := self._ids(m)) == 1), ("", -1))
+        #: A lone stop after an ASCII letter is a piece of its own; parting it leaves fewer distinct words.
+        self.stop = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
+        self.pool = Pool(self._encode, 900_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, sizes = [], []
-        simple = len(self.mark) == 1
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
-            if simple and not any(self.MARK in w for w in some):
-                ids = np.array(self._ids(f" {self.MARK} ".join(some)), np.int64)
-                edges = np.concatenate(([-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]))
-                if len(edges) == len(some) + 1:
-                    out.append(ids[ids != self.mark[0]])
-                    sizes.append(np.diff(edges) - 1)
-                    continue
+        out: list[np.ndarray] = [np.zeros(0, np.int64)]
+        sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+        def alone(some: list[str]) -> None:
             each = [self._ids(w) for w in some]
             out.append(np.array([i for x in each for i in x], np.int64))
             sizes.append(np.array([len(x) for x in each], np.int64))
+
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            joined = f" {self.mark} ".join(some)
+            if not self.mark or joined.count(self.mark) != len(some) - 1:
+                alone(some)
+                continue
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            edges = np.concatenate(([-1], np.flatnonzero(ids == self.mark_id), [len(ids)]))
+            if len(edges) != len(some) + 1:
+                alone(some)
+                continue
+            out.append(ids[ids != self.mark_id])
+            sizes.append(np.diff(edges) - 1)
         return np.concatenate(out).astype(np.uint32), np.concatenate(sizes)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text."""
         words, counts = [], []
         for text in texts:
-            found = text.replace("\n", " ").split(" ")
+            found = self.stop.sub(r" \1", text).replace("\n", " ").split(" ")
             words += found
             counts.append(len(found))
         ids, sizes = self.pool(words)
@@ -183,7 +193,7 @@ class WordEncoder:
         return ids, np.diff(ends)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20) -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> None:
     """Encode every text, append ``end_id``, and write the ids in ascending id order below ``path``."""
     storage.bounded_batches(docs.sparkSession)
     shards = max(1, -(-storage.scan_bytes(docs) // shard_bytes))
@@ -192,7 +202,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = TaskContext.get().partitionId(), 0
-        encode = WordEncoder(tokenizer_path)
+        encode = kept_in_worker(f"word encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
         for batch in batches:
             for a, b in tk.text_slices(batch.column(1), 2 << 20):
                 ids, sizes = encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
@@ -206,28 +216,32 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     ordered.mapInArrow(write, SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Segments below ``path`` with ``start``, the number of ids before each. One row per shard is ordered globally."""
-    files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+def segment_starts(files: DataFrame) -> DataFrame:
+    """(shard, segment, start): the number of ids before each segment. Only one row per shard is ordered globally."""
     sizes = files.select("shard", "segment", "n_ids")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.groupBy("shard").agg(F.sum("n_ids").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner")).join(base, "shard")
-    return files.join(starts.select("shard", "segment", (F.col("base") + F.col("inner")).alias("start")), ["shard", "segment"])
+    inner = sizes.select("shard", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner"))
+    return inner.join(base, "shard").select("shard", "segment", (F.col("base") + F.col("inner")).alias("before"))
 
 
 def digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Per document, from the files: id, start, n_tokens, CRC-32 of its ids (little-endian, 32 bits each)."""
+    files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    names = ["shard", "segment", "id", "first", "n_tokens", "ids_crc32"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for shard, number, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 segment = Segment(payload)
                 data, ends = segment.ids().astype("<u4").tobytes(), np.cumsum(segment.sizes)
                 first = ends - segment.sizes
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 ids = pa.array(segment.doc_ids, mask=segment.doc_ids == NULL_ID)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start + first), pa.array(segment.sizes), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([number] * n, pa.int32()), ids, pa.array(first), pa.array(segment.sizes), pa.array(crc, pa.int64())], names)
 
-    return read_token_files(spark, path).select("start", "payload").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    found = files.select("shard", "segment", "payload").mapInArrow(read, "shard int, segment int, id long, first long, n_tokens long, ids_crc32 long")
+    placed = found.join(segment_starts(files), ["shard", "segment"])
+    return placed.select(F.col("id").alias(id_col), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
