@@ -43,7 +43,7 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Keep Arrow batches handed to Python workers at ``limit`` bytes or less."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > limit:
