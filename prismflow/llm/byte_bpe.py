@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from prismflow import storage
 from prismflow.llm import textkit as tk
-from prismflow.llm.pool import Pool
+from prismflow.llm.pool import Pool, kept_in_worker
 
 PER_BUCKET = 4
 
@@ -128,7 +128,7 @@ def merged(piece: bytes, rank_of: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; built once a task from broadcast arrays."""
+    """Encoder and decoder of one vocabulary; built once a worker from broadcast arrays."""
 
     def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str):
         self.tokens, self.table = tokens, table
@@ -196,13 +196,16 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
     names = [id_col, *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, state = shared.value
-        table = PerfectHash.__new__(PerfectHash)
-        table.__dict__ = state
-        codec = Codec(tokens, table, pattern)
+        def build() -> Codec:
+            tokens, state = shared.value
+            table = PerfectHash.__new__(PerfectHash)
+            table.__dict__ = state
+            return Codec(tokens, table, pattern)
+
+        codec = kept_in_worker(f"byte bpe {ranks_path} {pattern}", build)
         for batch in batches:
             for a, b in tk.text_slices(batch.column(1)):
                 ids = codec.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *columns(codec, ids)], names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, {schema}")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tk.tidy(run), f"`{id_col}` long, {schema}")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismflow import storage
+from prismflow.llm import textkit as tk
 
 #: Fixed expansion rules: pixels per image token side, audio tokens a second, tokens a document page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 12.5, 1024
@@ -139,7 +140,7 @@ def formatted_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str =
             )
 
     chosen = rows.select(F.col(conv_col).cast("long"), F.col(turn_col).cast("long"), F.col(role_col), F.col(parts_col).cast(f"array<{PART}>"))
-    return chosen.mapInArrow(emit, FORMATTED)
+    return chosen.mapInArrow(tk.tidy(emit), FORMATTED)
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -181,4 +182,4 @@ def digests(turns: DataFrame) -> DataFrame:
             close()
             yield batch_of()
 
-    return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tk.tidy(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

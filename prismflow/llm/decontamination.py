@@ -156,7 +156,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         [id_col, item_col, "first_word", "n_words", "n_equal"],
                     )
 
-        part = docs.select(id_col, text_col).mapInArrow(search, schema)
+        part = docs.select(id_col, text_col).mapInArrow(tk.tidy(search), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -176,5 +176,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     clean[[f[0] for f in table.overlaps(_Words(hasher, batch.column(at).slice(a, b - a)))]] = False
                     yield batch.slice(a, b - a).filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tk.tidy(keep), docs.schema)
     return docs

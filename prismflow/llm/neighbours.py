@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismflow.llm import textkit as tk
+
 PROJECTIONS, WIDTH, LEAST_SHARE, GROWTH, SEED = 48, 1.0, 0.5, 1.25, 91
 ROW_BLOCK, QUERY_GROUP = 8192, 4096
 
@@ -103,7 +105,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
         return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
 
     keys = ["block", "query_group", "dim"]
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, id long, score double")
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(tk.tidy_group(search), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -92,11 +92,11 @@ def stats_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = tk.WordHasher()
         for batch in batches:
-            for a, b in tk.text_slices(batch.column(1), 2 << 20):
+            for a, b in tk.text_slices(batch.column(1), 1 << 20):
                 found = statistics(hasher, batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "stats"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, "id long, stats binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tk.tidy(emit), "id long, stats binary")
 
 
 def _matrix(column: pa.Array, width: int = N_STATS) -> np.ndarray:
@@ -119,9 +119,9 @@ def _summed(rows: DataFrame, size: int, of) -> np.ndarray:
             total += np.frombuffer(x)
         return pa.table({"part": table["part"].combine_chunks()[:1] if table.num_rows else pa.array([], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(add, "part long, total binary")
+    sums = rows.mapInArrow(tk.tidy(add), "part long, total binary")
     for parts in (256, 8):
-        sums = sums.groupBy(F.pmod("part", F.lit(parts)).alias("group")).applyInArrow(merge, "part long, total binary")
+        sums = sums.groupBy(F.pmod("part", F.lit(parts)).alias("group")).applyInArrow(tk.tidy_group(merge), "part long, total binary")
     return sum((np.frombuffer(r.total) for r in sums.select("total").collect()), np.zeros(size))
 
 
@@ -212,7 +212,7 @@ def _score_columns(stats: DataFrame, model: Model, id_col: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["id", "score"])
 
-    scored = stats.mapInArrow(emit, "id long, score double")
+    scored = stats.mapInArrow(tk.tidy(emit), "id long, score double")
     held_out = F.coalesce(fold("id") == 2, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -233,8 +233,8 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = tk.WordHasher()
         for batch in batches:
-            for a, b in tk.text_slices(batch.column(at), 2 << 20):
+            for a, b in tk.text_slices(batch.column(at), 1 << 20):
                 rows = batch.slice(a, b - a)
                 yield rows.filter(pa.array(model.score(statistics(hasher, rows.column(at))) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tk.tidy(keep), docs.schema)

@@ -72,7 +72,7 @@ def chunked(docs: DataFrame, id_at: int, text_at: int, cut_at: int | None, limit
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "blob"])
                     number += 1
 
-    return docs.mapInArrow(pack, CHUNK_SCHEMA)
+    return docs.mapInArrow(tk.tidy(pack), CHUNK_SCHEMA)
 
 
 class _Windows:
@@ -141,7 +141,7 @@ def marks_of(chunks: DataFrame, id_at: int, text_at: int, buckets: int) -> DataF
                     ["kind", "bucket", "chunk", "marks", "chunks"],
                 )
 
-    return chunks.select("chunk", "blob").mapInArrow(emit, RUN_SCHEMA)
+    return chunks.select("chunk", "blob").mapInArrow(tk.tidy(emit), RUN_SCHEMA)
 
 
 def _narrow(numbers: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ class FingerprintIndex:
         for run in self.runs:
             new = new.unionByName(self._run(run))
         target = f"{self.path}/step={self.written}"
-        new.groupBy("bucket").applyInArrow(merge_join, RUN_SCHEMA).write.partitionBy("kind").parquet(target)
+        new.groupBy("bucket").applyInArrow(tk.tidy_group(merge_join), RUN_SCHEMA).write.partitionBy("kind").parquet(target)
         self.written += 1
         made = self.spark.read.schema(RUN_SCHEMA).parquet(target)
         hits = storage.cut(made.where("kind = 'hit'").select("chunk", "bucket", "marks"))
@@ -245,7 +245,7 @@ class FingerprintIndex:
         runs = self._run(self.runs[0])
         for path in self.runs[1:]:
             runs = runs.unionByName(self._run(path))
-        runs.groupBy("bucket").applyInArrow(merge_runs, RUN_SCHEMA).write.parquet(target)
+        runs.groupBy("bucket").applyInArrow(tk.tidy_group(merge_runs), RUN_SCHEMA).write.parquet(target)
         for old in self.runs:
             storage.remove(self.spark, old)
         self.runs = [target]
@@ -336,8 +336,8 @@ def verified(chunks: DataFrame, hits: DataFrame, id_at: int, text_at: int, bucke
             }
         )
 
-    entries = with_hits.mapInArrow(emit, "bucket int, chunk long, base long, full binary, checks binary, offsets binary")
-    flags = entries.groupBy("bucket").applyInArrow(decide, "chunk long, bucket int, flags binary")
+    entries = with_hits.mapInArrow(tk.tidy(emit), "bucket int, chunk long, base long, full binary, checks binary, offsets binary")
+    flags = entries.groupBy("bucket").applyInArrow(tk.tidy_group(decide), "chunk long, bucket int, flags binary")
     per_chunk = flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     return with_hits.join(per_chunk, "chunk", "left")
 
@@ -406,7 +406,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
                 n, lost, sha = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([chunk.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], [id_col, "n_words", "n_removed", "kept_sha256"])
 
-    return found.select("blob", "hits", "flags").mapInArrow(apply, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("blob", "hits", "flags").mapInArrow(tk.tidy(apply), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
@@ -428,4 +428,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep = pa.array([not (n and n == lost) for n, lost, _ in out])
                 yield pa.RecordBatch.from_arrays(columns, schema=chunk.schema).filter(keep)
 
-    return found.select("blob", "hits", "flags").mapInArrow(apply, schema)
+    return found.select("blob", "hits", "flags").mapInArrow(tk.tidy(apply), schema)

@@ -6,7 +6,9 @@ longest single text), not the Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +138,39 @@ def within_rows(first_word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
     rows = np.repeat(np.arange(len(counts)), counts)
     skip = np.concatenate(([0], np.cumsum(counts)))[:-1]
     return np.arange(len(rows)) - np.repeat(skip, counts) + np.repeat(first_word[:-1], counts), rows
+
+
+def release() -> None:
+    """Hand freed memory back to the system; Python workers outlive their tasks."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to hand back
+        pass
+
+
+def tidy(function: Callable) -> Callable:
+    """A batch function that releases memory when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
+def tidy_group(function: Callable) -> Callable:
+    """The same for functions of one or two group tables, after large groups only."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = function(table)
+        if table.nbytes > 4 << 20:
+            release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        return function(left, right)
+
+    return two if function.__code__.co_argcount == 2 else one

@@ -213,7 +213,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([b - a], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["shard", "segment", "n_docs", "n_ids", "payload"])
                 segment += 1
 
-    ordered.mapInArrow(write, SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tk.tidy(write), SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def segment_starts(files: DataFrame) -> DataFrame:
@@ -242,6 +242,6 @@ def digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([number] * n, pa.int32()), ids, pa.array(first), pa.array(segment.sizes), pa.array(crc, pa.int64())], names)
 
-    found = files.select("shard", "segment", "payload").mapInArrow(read, "shard int, segment int, id long, first long, n_tokens long, ids_crc32 long")
+    found = files.select("shard", "segment", "payload").mapInArrow(tk.tidy(read), "shard int, segment int, id long, first long, n_tokens long, ids_crc32 long")
     placed = found.join(segment_starts(files), ["shard", "segment"])
     return placed.select(F.col("id").alias(id_col), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
