@@ -20,10 +20,23 @@ def kept_in_worker(key: str, make: Callable):
     return store.__dict__[key]
 
 
+class _Index(dict):
+    """Numbers pieces as they are first asked for and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Pool:
     """Ids of every distinct piece seen; ``encode`` maps a list of new pieces to flat ids and the length of each.
 
-    The memo is emptied when it holds ``limit`` pieces, so its memory does not follow the corpus.
+    The memo is emptied once it holds ``limit`` pieces, so its memory does not follow the corpus.
     """
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
@@ -31,15 +44,18 @@ class Pool:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict = {}
+        self.index = _Index()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, pieces: list) -> None:
+    def _add(self) -> None:
+        pieces = self.index.new
+        self.index.new = []
         flat, sizes = self.encode(pieces)
-        first, n = len(self.index), len(pieces)
+        n = len(pieces)
+        first = len(self.index) - n
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while first + n > len(self.start):
@@ -48,24 +64,14 @@ class Pool:
         self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.size[first : first + n] = sizes
         self.used += len(flat)
-        self.index.update(zip(pieces, range(first, first + n), strict=True))
 
     def __call__(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``pieces`` one after another, and the number of ids of each piece."""
-        found = list(map(self.index.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            new = list(dict.fromkeys(pieces[i] for i in missing))
-            if len(self.index) + len(new) > self.limit:
-                self._clear()
-                self._add(list(dict.fromkeys(pieces)))
-                found = [self.index[x] for x in pieces]
-            else:
-                self._add(new)
-                index = self.index
-                for i in missing:
-                    found[i] = index[pieces[i]]
-        at = np.array(found, np.int64)
+        if len(self.index) > self.limit:
+            self._clear()
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if self.index.new:
+            self._add()
         size = self.size[at]
         total = int(size.sum())
         where = np.arange(total) + np.repeat(self.start[at] - np.cumsum(size) + size, size)

@@ -45,17 +45,26 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1))) + 1, 0).astype(np.int64)
 
 
+def _lanes(width: int) -> tuple[int, str]:
+    """Bytes and type of the smallest machine number that holds ``width`` bits."""
+    return (1, "u1") if width <= 8 else (2, "<u2") if width <= 16 else (4, "<u4")
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of 128 numbers below 2**width as rows of 16 * width bytes."""
-    lanes = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(len(values), BLOCK, 4), axis=2, bitorder="little")[:, :, :width]
-    return np.packbits(lanes.reshape(len(values), BLOCK * width), axis=1, bitorder="little")
+    size, kind = _lanes(width)
+    bits = np.unpackbits(values.astype(kind).view(np.uint8).reshape(len(values), BLOCK, size), axis=2, bitorder="little", count=width)
+    return np.packbits(bits.reshape(len(values), BLOCK * width), axis=1, bitorder="little")
 
 
 def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    size, kind = _lanes(width)
     bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
-    lanes = np.zeros((len(rows), BLOCK, 32), np.uint8)
+    if width == 8 * size:
+        return np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), BLOCK * size).view(kind)
+    lanes = np.zeros((len(rows), BLOCK, 8 * size), np.uint8)
     lanes[:, :, :width] = bits
-    return np.packbits(lanes, axis=2, bitorder="little").reshape(len(rows), BLOCK * 4).view("<u4")
+    return np.packbits(lanes, axis=2, bitorder="little").reshape(len(rows), BLOCK * size).view(kind)
 
 
 def write_segment(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -150,14 +159,23 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.mark, self.mark_id = next(((m, i[0]) for m in self.MARKS if len(i := self._ids(m)) == 1), ("", -1))
-        #: A lone stop after an ASCII letter is a piece of its own; parting it leaves fewer distinct words.
-        self.stop = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
+        self.lowers = self._ids("ABC Def") == self._ids("abc def")
+        #: A run of ASCII symbols between a letter and white space is a piece of its own; parting it leaves fewer distinct words.
+        self.stop = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
         self.pool = Pool(self._encode, 900_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words; ASCII words that differ by case only are encoded once, as the model lowers case."""
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w.lower() if self.lowers and w.isascii() else w, len(number)) for w in words])
+        flat, sizes = self._encode_distinct(list(number))
+        start, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        return flat[np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)], size
+
+    def _encode_distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.int64)]
         sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
 
