@@ -1,0 +1,49 @@
+import os
+
+import pytest
+from compare import duck, same_rows
+
+from prismflow import catalog, oracle
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def tables():
+    return duck(SF)
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE))
+def test_query_equals_sql(spark, tables, name):
+    same_rows(catalog.QUERIES[name](spark, SF), tables, oracle.ORACLE[name])
+
+
+def test_every_query_has_sql_or_a_test():
+    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"complete_linkage", "badge_select"}
+
+
+def test_linkage_diameter_stays_below_tau(spark):
+    dist = {(r.i, r.j): r.d for r in catalog._dist(spark, SF).collect()}
+    cut: dict[tuple[int, int], list[int]] = {}
+    tau = {}
+    for r in catalog.complete_linkage(spark, SF).collect():
+        cut.setdefault((r.percentile, r.label), []).append(r.id)
+        tau[r.percentile] = r.tau
+    assert len(tau) == 16
+    for (p, _), members in cut.items():
+        members.sort()
+        assert all(dist[a, b] < tau[p] for k, a in enumerate(members) for b in members[k + 1 :])
+
+
+def test_badge_select_takes_distinct_rows_of_every_class(spark):
+    rows = catalog.badge_select(spark, SF).collect()
+    assert len({r.id for r in rows}) == len(rows)
+    assert {r.label for r in rows} == set(range(10))
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 10
+    assert set(entry.oracle_sql()) <= set(entry.queries())
