@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder; Spark removes the files itself."""
+def cut(df: DataFrame, rows: int | None = None, per_task: int = 250_000) -> DataFrame:
+    """``df`` computed once and read back from the shared folder; Spark removes the files itself.
+
+    With a bound on its ``rows`` known, small tables are written as few files of up to ``per_task`` rows each.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_task)))
     return df.checkpoint(eager=True)
 
 
