@@ -16,15 +16,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null")
     both = pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    links = storage.cut(both.distinct())
-    labels = storage.cut(links.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
+    n = 2 * edges.count()
+    links = storage.cut(both.distinct(), n)
+    labels = storage.cut(links.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), n)
     while True:
         of_other = labels.select(F.col("node").alias("other"), F.col("component").alias("seen"))
         near = links.join(of_other, "other").groupBy("node").agg(F.min("seen").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
         step = step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component"))
-        step = storage.cut(step)
+        step = storage.cut(step, n)
         changed = step.where("old <> component").limit(1).count()
         labels = step.select("node", "component")
         if not changed:
