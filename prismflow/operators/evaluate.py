@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismflow.functions import vectors as V
+
 #: Fixed value: logit of a class that a mask rules out.
 MASKED = -1e9
 
 
+def centroids(rows: DataFrame, vector_col: str, label_col: str) -> DataFrame:
+    """One row with ``centroids``, an array of (class, c): as large as classes times dimensions, whatever the number of rows."""
+    long = rows.select(F.col(label_col).alias("class"), F.posexplode(F.col(vector_col).cast("array<double>")).alias("pos", "x"))
+    means = long.groupBy("class", "pos").agg(F.avg("x").alias("c"))
+    vectors = means.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda z: z["c"]).alias("c"))
+    return vectors.agg(F.array_sort(F.collect_list(F.struct("class", "c"))).alias("centroids"))
+
+
+def logits_to(rows: DataFrame, to: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(id, label, class, logit): dot products of rows with the centroids of ``to``; rows are not shuffled."""
+    each = rows.join(F.broadcast(to)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"), F.explode("centroids").alias("k"))
+    return each.select("id", "label", F.col("k.class").alias("class"), V.dot(F.col("v"), F.col("k.c")).alias("logit"))
+
+
 def centroid_logits(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, class, logit): dot products with class centroids; a stand-in for a network's output layer."""
-    long = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.posexplode(F.col(vector_col).cast("array<double>")).alias("pos", "x"))
-    centroids = long.groupBy(F.col("label").alias("class"), "pos").agg(F.avg("x").alias("c"))
-    return long.join(centroids, "pos").groupBy("id", "label", "class").agg(F.sum(F.col("x") * F.col("c")).alias("logit"))
+    """(id, label, class, logit) with centroids of the rows themselves; a stand-in for a network's output layer."""
+    return logits_to(rows, centroids(rows, vector_col, label_col), id_col, vector_col, label_col)
 
 
 def top_k(logits: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismflow import storage
+
 
 def strict_label(raw: Column) -> Column:
     """Integer of a label text, null where the strict reader rejects it: not a number, negative, or too far from a whole number."""
@@ -61,9 +63,10 @@ def unused(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def dense_ids(rows: DataFrame, name: str) -> DataFrame:
     """(name, position) of the distinct names in code-point order, counted from 0.
 
-    Positions are local to range partitions plus the sizes of the partitions before, so no task sees all names.
+    Positions are local to range partitions plus the sizes of the partitions before, so no task sees all names. The
+    partitions are written once, as sampling them again could move their bounds.
     """
-    ordered = rows.select(name).distinct().repartitionByRange(name).withColumn("_part", F.spark_partition_id())
+    ordered = storage.cut(rows.select(name).distinct().repartitionByRange(name).withColumn("_part", F.spark_partition_id()))
     local = ordered.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(name)))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("n"), F.min(name).alias("low"))
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
