@@ -170,7 +170,7 @@ def fold(id_col: str):
 def fit(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
     """Learn from the labelled rows outside the held-out fold."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
-    rows = storage.cut(stats.join(known.where(fold("id") != 2), "id").select("stats", "label", fold("id").alias("fold")))
+    rows = storage.cut(stats.join(known.where(fold("id") != 2), "id").select("stats", "label", fold("id").alias("fold")), known.count(), 50_000)
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch.column(0))

@@ -229,7 +229,7 @@ class FingerprintIndex:
         new.groupBy("bucket").applyInArrow(tk.tidy_group(merge_join), RUN_SCHEMA).write.partitionBy("kind").parquet(target)
         self.written += 1
         made = self.spark.read.schema(RUN_SCHEMA).parquet(target)
-        hits = storage.cut(made.where("kind = 'hit'").select("chunk", "bucket", "marks"))
+        hits = storage.cut(made.where("kind = 'hit'").select("chunk", "bucket", "marks"), self.buckets * chunks.count(), 20_000)
         self.runs.append(target)
         return hits
 
