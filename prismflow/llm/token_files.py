@@ -161,7 +161,7 @@ class WordEncoder:
         self.mark, self.mark_id = next(((m, i[0]) for m in self.MARKS if len(i := self._ids(m)) == 1), ("", -1))
         self.lowers = self._ids("ABC Def") == self._ids("abc def")
         #: A run of ASCII symbols between a letter and white space is a piece of its own; parting it leaves fewer distinct words.
-        self.stop = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
+        self.stop = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)[!-&(-/:-@\[-`{-~]*)(?=[ \n])")
         self.pool = Pool(self._encode, 900_000)
 
     def _ids(self, text: str) -> list[int]:
