@@ -93,15 +93,16 @@ def allowed_any(elements: Column, required: list[str], only_allowed: bool = Fals
     return allowed_all(elements, required, True) if only_allowed else F.arrays_overlap(elements, needed)
 
 
-def neutral(compounds: DataFrame, states: DataFrame, limit: int = 200_000) -> DataFrame:
+def neutral(compounds: DataFrame, states: DataFrame) -> DataFrame:
     """Compounds (id, counts map) with a charge-neutral choice of oxidation states; ``states`` is (element, states array).
 
     First one element with several states may mix its states over its atoms while the others take their first;
     else every element takes one state. Sums are built as sets of reachable charges, so the number of atoms costs
-    a linear number of steps, not combinations; ``limit`` bounds atoms per element.
+    a linear number of steps, not combinations. A compound with an element of unknown states is not neutral.
     """
-    parts = compounds.select("id", F.explode("counts").alias("element", "n")).join(states, "element")
-    parts = parts.withColumn("n", F.least("n", F.lit(limit)))
+    parts = compounds.select("id", F.explode("counts").alias("element", "n")).join(states, "element", "left")
+    unknown = parts.where("states is null").select("id").distinct()
+    parts = parts.join(unknown, "id", "left_anti")
     zero = F.array(F.lit(0))
     mixed = F.aggregate(F.sequence(F.lit(1), F.col("n")), zero, lambda sums, _: F.array_distinct(F.flatten(F.transform(sums, lambda s: F.transform("states", lambda v: s + v)))))
     single = F.transform("states", lambda v: v * F.col("n"))

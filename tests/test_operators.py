@@ -197,7 +197,7 @@ def test_windows_drop_the_tail(spark):
 
 
 def test_neutral_and_formulas(spark):
-    rows = spark.createDataFrame([(1, "Fe3O4"), (2, "Ca(TiO3)2"), (3, "KFe2")], "id int, formula string").withColumn("counts", chemistry.formula_counts(F.col("formula")))
+    rows = spark.createDataFrame([(1, "Fe3O4"), (2, "Ca(TiO3)2"), (3, "KFe2"), (4, "Fe3O4Xx")], "id int, formula string").withColumn("counts", chemistry.formula_counts(F.col("formula")))
     assert rows.where("id = 2").first().counts == {"Ca": 1, "Ti": 2, "O": 6}
     states = spark.createDataFrame([("Fe", [2, 3]), ("O", [-2]), ("Ca", [2]), ("Ti", [4]), ("K", [1])], "element string, states array<int>")
     assert [r.id for r in labels.neutral(rows, states).collect()] == [1]
