@@ -59,3 +59,9 @@ def scan_bytes(df: DataFrame, unknown: int = 1 << 30) -> int:
     """The optimiser's size of ``df``, used only to choose how many parts work is dealt into."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else unknown
+
+
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """``df`` dealt to all cores if its scan is too small to occupy them (under ``least`` bytes a core); otherwise unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan_bytes(df) < cores * least else df
