@@ -208,4 +208,4 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
                 ids = codec.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *columns(codec, ids)], names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tk.tidy(run), f"`{id_col}` long, {schema}")
+    return storage.spread(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(tk.tidy(run), f"`{id_col}` long, {schema}")

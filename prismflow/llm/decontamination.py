@@ -156,7 +156,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         [id_col, item_col, "first_word", "n_words", "n_equal"],
                     )
 
-        part = docs.select(id_col, text_col).mapInArrow(tk.tidy(search), schema)
+        part = storage.spread(docs.select(id_col, text_col)).mapInArrow(tk.tidy(search), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -165,6 +165,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of ``docs`` that overlap no item."""
     storage.bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
+    docs = storage.spread(docs)
     for table in seed_tables(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(vars(table))
 

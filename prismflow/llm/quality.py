@@ -96,7 +96,7 @@ def stats_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = statistics(hasher, batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "stats"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tk.tidy(emit), "id long, stats binary")
+    return storage.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(tk.tidy(emit), "id long, stats binary")
 
 
 def _matrix(column: pa.Array, width: int = N_STATS) -> np.ndarray:
@@ -237,4 +237,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 rows = batch.slice(a, b - a)
                 yield rows.filter(pa.array(model.score(statistics(hasher, rows.column(at))) >= THRESHOLD))
 
-    return docs.mapInArrow(tk.tidy(keep), docs.schema)
+    return storage.spread(docs).mapInArrow(tk.tidy(keep), docs.schema)

@@ -72,7 +72,7 @@ def chunked(docs: DataFrame, id_at: int, text_at: int, cut_at: int | None, limit
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "blob"])
                     number += 1
 
-    return docs.mapInArrow(tk.tidy(pack), CHUNK_SCHEMA)
+    return storage.spread(docs).mapInArrow(tk.tidy(pack), CHUNK_SCHEMA)
 
 
 class _Windows:
