@@ -267,10 +267,9 @@ class _Entries:
 
     def __init__(self, w: _Windows, cand: np.ndarray):
         self.cand = cand
-        full = tk.grams(w.words, SPAN, 5)
-        full, check = full[w.at[cand]] if len(cand) else full[:0], None
-        other = tk.grams(w.words, SPAN, 7)
-        check = (other[w.at[cand]] >> np.uint64(32)).astype(np.uint32) if len(cand) else other[:0].astype(np.uint32)
+        at = w.at[cand]
+        full = tk.grams(w.words, SPAN, 5)[at]
+        check = (tk.grams(w.words, SPAN, 7)[at] >> np.uint64(32)).astype(np.uint32)
         ids = w.id[cand]
         order = np.lexsort((ids, check, full))
         f, c = full[order], check[order]

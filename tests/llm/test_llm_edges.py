@@ -118,7 +118,6 @@ def test_signatures_estimate_weighted_similarity():
     a, b = rng.gamma(2.0, 1.0, 500), rng.gamma(2.0, 1.0, 500)
     row = np.repeat([0, 1], 500)
     signature = minhash_dedup.dart_signatures(2, row, np.concatenate((element, element)), np.concatenate((a, b)), 1024)
-    a, b = a, b
     assert (signature[0] == signature[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.06)
 
 
