@@ -12,8 +12,10 @@ earliest dart per coordinate is kept. Weights may be fractional (``weights``); s
 Joining: rows with equal sets are one node. Nodes sharing a band form a bucket. Instead of pairs of a
 bucket, every member is compared with the bucket's hub, the member that shares most bands with others.
 Every comparison is checked on the whole texts. Buckets whose members then still lie in different
-components are worked off further: in small ones each pair from different components is compared, in
-larger ones further hubs are compared as long as a round finds a link.
+components are worked off further: in small ones each pair from different components is compared, larger
+ones meet further hubs for up to ``HUB_ROUNDS`` rounds. What is mixed after that is worked off exactly: the members
+outside a bucket's largest component meet all others, block by block (``across``), so of two texts that share
+a band and are linked none stays apart.
 
 Defined results for odd input: null text counts as empty; texts without words are classes of their own;
 a row with null id is a class of its own (null); rows that share an id share a class; other columns are ignored.
@@ -37,6 +39,9 @@ from prismflow.llm.components import connected_components
 WORDS = 5
 ROWS, BANDS = 6, 32
 SMALL = 24
+HUB_ROUNDS = 3
+#: Members and characters of a block of a large bucket.
+BLOCK, BLOCK_CHARS = 256, 4 << 20
 FILTER_BITS = 1 << 23
 
 
@@ -105,7 +110,7 @@ def dart_signatures(rows: int, row: np.ndarray, element: np.ndarray, weight: np.
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | None = None) -> DataFrame:
-    """(id, set hash in two longs, hashed bands); the bands of a text without words are null."""
+    """(id, set hash in two longs, hashed bands, bytes of text); the bands of a text without words are null."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -127,9 +132,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | No
                     sums.append(pa.array((mixed[edges[1:]] - mixed[edges[:-1]]).view(np.int64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)), pa.array(bands[full].ravel()))
                 lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(~full)) if n else lists
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n).cast(pa.int64()), *sums, lists], ["id", "set1", "set2", "bands"])
+                chars = pc.fill_null(pc.binary_length(batch.column(1).slice(a, n)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n).cast(pa.int64()), *sums, lists, chars], ["id", "set1", "set2", "bands", "chars"])
 
-    return storage.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(tk.tidy(emit), "id long, set1 long, set2 long, bands array<long>")
+    return storage.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(tk.tidy(emit), "id long, set1 long, set2 long, bands array<long>, chars long")
 
 
 BASE_STEP = 0x9E3779B97F4A7C15
@@ -176,6 +182,72 @@ def checked(pairs: DataFrame, n: int, docs: DataFrame, id_col: str, text_col: st
     return both.select("a", "b", "text_a", "text_b").mapInArrow(tk.tidy(judge), "a long, b long")
 
 
+def linked_sets(row: np.ndarray, element: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked (left, right) members of different components; ``row`` and ``element`` hold every member's set."""
+    sizes = np.bincount(row, minlength=len(component))
+    _, column, times = np.unique(element, return_inverse=True, return_counts=True)
+    use = times[column] > 1
+    row, column = row[use], column[use]
+    if not len(row):
+        return left[:0], right[:0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    same = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, column[-1] + 4097, 4096))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        part = np.zeros((len(component), 4096), np.float32)
+        part[row[a:b], column[a:b] % 4096] = 1
+        same += part[left] @ part[right].T
+    most = sizes[left][:, None] + sizes[right][None, :] - same.astype(np.int64)
+    linked = (same > 0) & (same >= threshold * most) & (component[left][:, None] != component[right][None, :])
+    x, y = np.nonzero(linked)
+    return left[x], right[y]
+
+
+def across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Links between members of different components, for all buckets of ``open_`` (band, node, chars, component).
+
+    A bucket's largest component and its other members ("rest") are dealt by hash into blocks; each block of the
+    rest meets every block of the bucket. The rows handed out are the members times the blocks of the rest.
+    """
+    open_ = open_.groupBy("band", "node").agg(F.min("component").alias("component"), F.max("chars").alias("chars"))
+    parts = open_.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
+    sizes = parts.groupBy("band").agg(F.sum("m").alias("m"), F.sum("c").alias("c"), F.max(F.struct("m", "component", "c")).alias("top"))
+    blocks = lambda m, c: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(c / BLOCK_CHARS)).cast("long")
+    sizes = sizes.select("band", F.col("top.component").alias("largest"), blocks(F.col("m") - F.col("top.m"), F.col("c") - F.col("top.c")).alias("rest"), blocks(F.col("top.m"), F.col("top.c")).alias("tops"))
+    spot = F.xxhash64(F.lit(3), "node")
+    placed = open_.join(sizes, "band").withColumn("at", F.when(F.col("component") == F.col("largest"), F.col("rest") + F.pmod(spot, "tops")).otherwise(F.pmod(spot, "rest")))
+    whole = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)
+    meets = F.when(F.col("at") >= F.col("rest"), F.transform(whole, lambda i: F.struct(i.alias("low"), F.col("at").alias("high"))))
+    meets = meets.otherwise(
+        F.concat(
+            F.transform(F.filter(whole, lambda i: i != F.col("at")), lambda i: F.struct(F.least(i, "at").alias("low"), F.greatest(i, F.col("at")).alias("high"))),
+            F.transform(F.sequence(F.col("rest"), F.col("rest") + F.col("tops") - 1), lambda i: F.struct(F.col("at").alias("low"), i.alias("high"))),
+        )
+    )
+    texts = possible(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), open_.select(F.col("node").alias("id")).distinct())
+    texts = texts.join(open_.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id", "text"]).withColumnRenamed("id", "node")
+    met = placed.select("band", "node", "component", "at", "rest", F.explode(meets).alias("pair")).select("band", "node", "component", "at", "rest", "pair.low", "pair.high").join(texts, "node")
+
+    def judge(group: pa.Table) -> pa.Table:
+        shingler, rows, elements = Shingler(), [], []
+        column = group.column("text").combine_chunks()
+        column = column if isinstance(column, pa.Array) else column.chunk(0)
+        for a, b in tk.text_slices(column):
+            row, element = shingler(column.slice(a, b - a))
+            rows.append(row + a)
+            elements.append(element)
+        node, component, at = (group.column(k).to_numpy() for k in ("node", "component", "at"))
+        low, high, rest = (group.column(k)[0].as_py() for k in ("low", "high", "rest"))
+        # The first block of the largest component also sees to the pairs inside a block of the rest.
+        right = np.arange(len(node)) if high == rest else np.flatnonzero(at == high)
+        x, y = linked_sets(np.concatenate(rows), np.concatenate(elements), component, np.flatnonzero(at == low), right, threshold)
+        x, y = node[x], node[y]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return met.groupBy("band", "low", "high").applyInArrow(tk.tidy_group(judge), "a long, b long").distinct()
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -185,8 +257,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     storage.bounded_batches(docs.sparkSession)
     rows = storage.cut(sketches(docs, id_col, text_col))
     total = rows.count()
-    nodes = storage.cut(rows.where("id is not null and bands is not null").groupBy("set1", "set2").agg(F.min("id").alias("node"), F.min("bands").alias("bands")), total, 50_000)
-    in_bands = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = storage.cut(rows.where("id is not null and bands is not null").groupBy("set1", "set2").agg(F.min("id").alias("node"), F.min("bands").alias("bands"), F.min("chars").alias("chars")), total, 50_000)
+    in_bands = nodes.select("node", "chars", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = storage.cut(in_bands.join(shared, "band"), 8 * total)
     scores = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -199,14 +271,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     done = hubs(members)
     first = members.join(done, "band").where("node <> hub").select(*_ordered("node", "hub")).distinct()
-    links = storage.cut(checked(first, n, docs, id_col, text_col, threshold))
+    links = storage.unsized(storage.cut(checked(first, n, docs, id_col, text_col, threshold)))
     compared = storage.cut(done, n)
     round_ = 0
     while True:
         labels = connected_components(links, "a", "b")
-        named = members.join(labels, "node", "left").select("band", "node", "n", "score", F.coalesce("component", "node").alias("component"))
+        named = members.join(labels, "node", "left").select("band", "node", "n", "score", "chars", F.coalesce("component", "node").alias("component"))
         mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
         open_ = named.join(mixed, "band")
+        if round_ == HUB_ROUNDS or (round_ and not more_found):
+            found = storage.cut(across(storage.cut(open_.where(F.col("n") > SMALL), n), docs, id_col, text_col, threshold))
+            links = storage.unsized(storage.cut(links.unionByName(found), n))
+            break
         if round_ == 0:
             small = open_.where(F.col("n") <= SMALL)
             other = small.select("band", F.col("node").alias("other"), F.col("component").alias("its"))
@@ -223,9 +299,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         compared = storage.cut(compared.unionByName(hub), n)
         found = storage.cut(checked(pairs.distinct(), n, docs, id_col, text_col, threshold))
         round_ += 1
-        if not found.limit(1).count():
-            break
-        links = storage.cut(links.unionByName(found), n)
+        more_found = found.limit(1).count()
+        links = storage.unsized(storage.cut(links.unionByName(found), n))
     labels = connected_components(links, "a", "b")
     whole = copies.join(labels, F.col("b") == F.col("node"), "left").select(F.col("a").alias("id"), F.coalesce("component", "b").alias("class_id"))
     whole = whole.groupBy("id").agg(F.min("class_id").alias("class_id"))

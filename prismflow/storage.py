@@ -36,6 +36,14 @@ def cut(df: DataFrame, rows: int | None = None, per_task: int = 250_000) -> Data
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df``, the result of ``cut``, without the optimiser's estimate of its size. A checkpoint keeps the estimate, a
+    product over all joins before it; over rounds of joins the number's digits multiply until they fill the driver."""
+    session = df.sparkSession
+    plain = session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    return DataFrame(plain, session)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -112,6 +112,31 @@ def test_near_duplicates_around_one_text(spark):
     assert found == top
 
 
+@pytest.mark.parametrize("block", [256, 20])
+def test_near_duplicates_inside_a_large_group_below_the_threshold(spark, monkeypatch, block):
+    """Pairs of similarity 0.802 among texts of mutual similarity 0.75, where no hub is linked to either."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(4)
+    notice = " ".join(f"n{k}" for k in range(262))
+    tail = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    rows = []
+    for k in range(150):
+        own = tail(f"p{k // 2}", 10) + tail(f"q{k}", 33) if k < 40 else tail(f"q{k}", 43)
+        rows.append((k, notice + " " + " ".join(own)))
+    ids = rng.sample(range(1000), len(rows))
+    rows = [(ids[k], t) for k, t in rows]
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    top = {d: d for d in shingles}
+    for a in shingles:
+        for b in shingles:
+            both = len(shingles[a] & shingles[b])
+            if both >= 0.8 * (len(shingles[a]) + len(shingles[b]) - both):
+                top[a] = top[b] = min(top[a], top[b])
+    assert sum(d != c for d, c in top.items()) == 20
+    found = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == top
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     element = rng.integers(0, 2**63, 500, dtype=np.uint64)
