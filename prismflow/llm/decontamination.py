@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts are normalised words (runs of ASCII letters, digits and non-ASCII bytes, lower-cased). A seed is
-``SPAN`` consecutive words under one of four fixed masks; mask j ignores the positions congruent to j
-modulo 4, so a seed still matches if words at ignored positions were substituted. Seeds of a text that
+``SPAN`` consecutive words under one of seven fixed masks. The positions fall into seven classes modulo 7, and
+mask j ignores the classes j, j + 1 and j + 3: the lines of the Fano plane, which hold every pair of classes. So
+wherever two words of a window were substituted, some mask ignores both and its seed still matches. Seeds of a text that
 occur among the benchmark's seeds fix an alignment of text and item, and the alignment is verified:
 some ``SPAN`` aligned words must hold ``NEEDED`` equal ones. Items of ``LEAST`` to ``SPAN`` - 1 words
 are sought as a whole and exactly; shorter items say too little and are ignored.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from prismflow import storage
 from prismflow.llm import textkit as tk
 
-SPAN, MASKS, NEEDED, LEAST = 13, 4, 11, 8
+SPAN, MASKS, NEEDED, LEAST = 13, 7, 11, 8
+#: Classes of positions that mask j keeps, counted from j.
+KEPT = (2, 4, 5, 6)
 #: Characters of benchmark text whose seeds are handed out at once.
 SLICE_CHARS = 8 << 20
 
@@ -50,8 +53,7 @@ def _spaced(words: np.ndarray) -> list[np.ndarray]:
     parts = [np.zeros(size, np.uint64) for _ in range(MASKS)]
     for k in range(SPAN):
         parts[k % MASKS] += words[k : k + size] * factors[k]
-    total = parts[0] + parts[1] + parts[2] + parts[3]
-    return [tk.mix(total - parts[j], 70 + j) for j in range(MASKS)]
+    return [tk.mix(sum(parts[(j + c) % MASKS] for c in KEPT), 70 + j) for j in range(MASKS)]
 
 
 class SeedTable:
