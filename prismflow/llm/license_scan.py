@@ -1,13 +1,14 @@
 """Licence scan: a trained paragraph classifier; scoring uses DataFrame operations only.
 
-A paragraph is a line. Paragraphs with a cue word become sparse sets of word 1- to 3-grams and a multinomial
+A paragraph is a line. Paragraphs with a cue, that is a word of ``CUES`` or a feature word of the licence notices that
+is not among the common words of ``PLAIN``, become sparse sets of word 1- to 3-grams and a multinomial
 logistic regression, fitted on the driver to the fixed texts below and disturbed copies of them (a bounded
 training set), gives every family and ``unknown`` a probability. A temperature is calibrated on disturbed copies that
 were not fitted. A family is reported if its probability reaches ``LEAST`` and a template of the family
 confirms it (shared words over the smaller set of words reach ``COVER``); otherwise the family is ``unknown``.
 
-Defined results for odd input: null text has no paragraphs; paragraphs without a cue word have no features and are not
-reported; null ids are carried as null; repeated rows and paragraphs are reported each; an empty table gives an
+Defined results for odd input: null text has no paragraphs; paragraphs without a cue (all their
+features, if any, are common words or runs of them) are not reported; null ids are carried as null; repeated rows and paragraphs are reported each; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from prismflow import storage
 
-#: Words without which a paragraph is not looked at.
+#: Cue words besides those that the model's features give.
 CUES = "license licensed licenses licensing licence licenced licences copyright copyrighted copyleft spdx unlicense redistribution warranty warranties gnu gpl lgpl agpl mozilla commons cc0".split()
 
 #: Short public notices by family, after the wording that the licences themselves suggest.
@@ -93,10 +94,19 @@ OTHERS = [
     "The city has licensed twelve new taxis this year.",
     "Copyright 2019 by the authors.",
     "All rights reserved. Copyright of the publisher.",
+    "All rights reserved.",
     "Licensed premises close at eleven.",
     "The software comes with a licence that the vendor sends by mail.",
     "This file is licensed under the terms stated elsewhere.",
 ]
+#: Notices of ``OTHERS`` whose feature words are cues as well.
+NOTICES = ["All rights reserved."]
+#: Feature words that plain prose holds too; alone they make no paragraph a licence text.
+PLAIN = (
+    "a above all an and any are as at author be by can clause code conditions copies copy deal documentation except extent file files following for form forms free general has http in included"
+    " international is it later library may met mit modify not notice obtain of on only or org other person possible program project provided public published related released shall software"
+    " source subject terms that the this to under universal use v version with without work www you"
+).split()
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 LEAST, COVER, COPIES, STEPS, FEATURES, SEED = 0.5, 0.6, 16, 250, 500, 5
@@ -179,7 +189,9 @@ def _grams(words: Column) -> Column:
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per cue paragraph: id, paragraph (line from 0), family, probability, coverage."""
     model = Model()
-    cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(CUES) + r")(?![a-z0-9])"
+    notices = {w for ts in (*TEMPLATES.values(), NOTICES) for t in ts for w in words_of(t)}
+    cues = sorted({*CUES, *(w for w in notices & set(model.weights) - set(PLAIN) if not w.isdigit())})
+    cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(cues) + r")(?![a-z0-9])"
     lines = storage.spread(docs.select(id_col, text_col)).where(F.col(text_col).rlike(cue)).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).where(F.col("line").rlike(cue))
     worded = lines.select("id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), 1).alias("words"))
     featured = worded.withColumn("grams", _grams(F.col("words")))
