@@ -7,7 +7,9 @@ similarity of their sets is at least ``threshold``; a class is a connected compo
 Signatures: every element owns a Poisson process of hashed darts over its weight region; the darts of
 a text are those whose rank is below a limit that shrinks with the total weight, so the work follows
 the number of elements, not elements times coordinates. Each dart falls on one coordinate and the
-earliest dart per coordinate is kept. Weights may be fractional (``weights``); sets have weight 1.
+earliest dart per coordinate is kept. Weights may be fractional (``weights``); in a set every element has weight 1.
+With ``counted`` texts are bags instead: an element's weight is how often it occurs, and the similarity is
+the sum of the smaller counts over the sum of the larger ones.
 
 Joining: rows with equal sets are one node. Nodes sharing a band form a bucket. Instead of pairs of a
 bucket, every member is compared with the bucket's hub, the member that shares most bands with others.
@@ -33,8 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismflow import storage
+from prismflow.llm import skew
 from prismflow.llm import textkit as tk
-from prismflow.llm.components import connected_components
+from prismflow.llm.components import connected_components, extended
+from prismflow.llm.skew import Heavy
 
 WORDS = 5
 ROWS, BANDS = 6, 32
@@ -42,17 +46,18 @@ SMALL = 24
 HUB_ROUNDS = 3
 #: Members and characters of a block of a large bucket.
 BLOCK, BLOCK_CHARS = 256, 4 << 20
-FILTER_BITS = 1 << 23
+#: Pairs that one copy of a text serves.
+TEXT_FAN = 20_000
 
 
 class Shingler:
-    """Distinct hashed word sequences of many texts."""
+    """Hashed word sequences of many texts."""
 
     def __init__(self, words: int = WORDS):
         self.hasher, self.n, self.flags = tk.WordHasher(), words, tk.separators("alnum")
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, element), sorted by both, without repeats."""
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, element, times it occurs), sorted by row and element."""
         raw, offsets = tk.text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
         starts, ends, first = tk.word_spans(raw, offsets, self.flags)
         words = self.hasher(raw, starts, ends)
@@ -68,7 +73,19 @@ class Shingler:
         element, row = element[order], row[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (element[1:] != element[:-1])
-        return row[new], element[new]
+        at = np.flatnonzero(new)
+        return row[at], element[at], np.diff(np.concatenate((at, [len(row)])))
+
+    def __call__(self, column: pa.Array, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(row, element), sorted by both, without repeats; ``counted`` turns the k-th occurrence of an element into one of its own."""
+        row, element, times = self.counts(column)
+        if not counted or not (times > 1).any():
+            return row, element
+        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        row, element = np.repeat(row, times), np.repeat(element, times)
+        element = np.where(nth > 0, tk.mix(element + nth.astype(np.uint64) * np.uint64(BASE_STEP), 23), element)
+        order = np.lexsort((element, row))
+        return row[order], element[order]
 
 
 def dart_signatures(rows: int, row: np.ndarray, element: np.ndarray, weight: np.ndarray | None, coordinates: int) -> np.ndarray:
@@ -109,7 +126,7 @@ def dart_signatures(rows: int, row: np.ndarray, element: np.ndarray, weight: np.
     return out.reshape(rows, coordinates)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | None = None) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | None = None, counted: bool = False) -> DataFrame:
     """(id, set hash in two longs, hashed bands, bytes of text); the bands of a text without words are null."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +134,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | No
         for batch in batches:
             for a, b in tk.text_slices(batch.column(1), 3 << 19):
                 n = b - a
-                row, element = shingler(batch.column(1).slice(a, n))
-                weight = weights(row, element) if weights else None
+                row, element, times = shingler.counts(batch.column(1).slice(a, n))
+                weight = weights(row, element) if weights else times if counted else None
                 signature = dart_signatures(n, row, element, weight, ROWS * BANDS)
                 bands = np.zeros((n, BANDS), np.uint64)
                 for r in range(ROWS):
@@ -128,7 +145,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | No
                 full = edges[:-1] < edges[1:]
                 sums = []
                 for salt in (51, 53):
-                    mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tk.mix(element, salt))))
+                    shares = tk.mix(element, salt) * times.astype(np.uint64) if counted else tk.mix(element, salt)
+                    mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shares)))
                     sums.append(pa.array((mixed[edges[1:]] - mixed[edges[:-1]]).view(np.int64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)), pa.array(bands[full].ravel()))
                 lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(~full)) if n else lists
@@ -141,20 +159,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, weights: Callable | No
 BASE_STEP = 0x9E3779B97F4A7C15
 
 
-def possible(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose id is not in ``wanted``: a one-hash Bloom filter of ``FILTER_BITS``
-    bits, handed out as at most ``FILTER_BITS`` / 64 words whatever the input, so that few texts are shuffled."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
-    marked = rows.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6))
-    return marked.join(F.broadcast(words), "word").where("(shiftright(bits, cast(bit & 63 as int)) & 1) = 1").select(rows.columns)
-
-
-def checked(pairs: DataFrame, n: int, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Those (a, b) of ``pairs``, about ``n`` rows, whose texts reach ``threshold``, judged on all their word sequences."""
-    pairs = storage.cut(pairs, n)
-    texts = possible(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), pairs.select("a").union(pairs.select("b")).toDF("id"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def checked(pairs: DataFrame, n: int, docs: DataFrame, id_col: str, text_col: str, threshold: float, counted: bool = False) -> DataFrame:
+    """Those (a, b) of ``pairs``, a cut table of up to ``n`` rows, whose texts reach ``threshold``, judged on all their word sequences.
+    A text that very many pairs share is handed to several tasks."""
+    texts = skew.possible(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), pairs.select("a").union(pairs.select("b")).toDF("id"), "id")
+    often_a, often_b = (Heavy(pairs, [end], n, TEXT_FAN) for end in "ab")
+    both = often_a.join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "b")
+    both = often_b.join(both, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "a")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -166,7 +177,7 @@ def checked(pairs: DataFrame, n: int, docs: DataFrame, id_col: str, text_col: st
                 use = [i for i, x in zip(where.tolist(), fresh.tolist(), strict=True) if x not in sets]
                 some = texts.take(pa.array(use, pa.int64()))
                 for s, e in tk.text_slices(some):
-                    row, element = shingler(some.slice(s, e - s))
+                    row, element = shingler(some.slice(s, e - s), counted)
                     edges = np.searchsorted(row, np.arange(e - s + 1))
                     for i in range(e - s):
                         sets[int(ids[use[s + i]])] = element[edges[i] : edges[i + 1]]
@@ -204,7 +215,7 @@ def linked_sets(row: np.ndarray, element: np.ndarray, component: np.ndarray, lef
     return left[x], right[y]
 
 
-def across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, counted: bool = False) -> DataFrame:
     """Links between members of different components, for all buckets of ``open_`` (band, node, chars, component).
 
     A bucket's largest component and its other members ("rest") are dealt by hash into blocks; each block of the
@@ -225,7 +236,7 @@ def across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
             F.transform(F.sequence(F.col("rest"), F.col("rest") + F.col("tops") - 1), lambda i: F.struct(F.col("at").alias("low"), i.alias("high"))),
         )
     )
-    texts = possible(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), open_.select(F.col("node").alias("id")).distinct())
+    texts = skew.possible(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), open_.select(F.col("node").alias("id")).distinct(), "id")
     texts = texts.join(open_.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id", "text"]).withColumnRenamed("id", "node")
     met = placed.select("band", "node", "component", "at", "rest", F.explode(meets).alias("pair")).select("band", "node", "component", "at", "rest", "pair.low", "pair.high").join(texts, "node")
 
@@ -234,7 +245,7 @@ def across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
         column = group.column("text").combine_chunks()
         column = column if isinstance(column, pa.Array) else column.chunk(0)
         for a, b in tk.text_slices(column):
-            row, element = shingler(column.slice(a, b - a))
+            row, element = shingler(column.slice(a, b - a), counted)
             rows.append(row + a)
             elements.append(element)
         node, component, at = (group.column(k).to_numpy() for k in ("node", "component", "at"))
@@ -252,64 +263,66 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: its id and ``class_id``, the smallest id of its class."""
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, counted: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its id and ``class_id``, the smallest id of its class. The result is written, all else removed."""
     storage.bounded_batches(docs.sparkSession)
-    rows = storage.cut(sketches(docs, id_col, text_col))
+    scratch = storage.Scratch()
+    judge = dict(docs=docs, id_col=id_col, text_col=text_col, threshold=threshold, counted=counted)
+    rows = scratch.cut(sketches(docs, id_col, text_col, counted=counted))
     total = rows.count()
-    nodes = storage.cut(rows.where("id is not null and bands is not null").groupBy("set1", "set2").agg(F.min("id").alias("node"), F.min("bands").alias("bands"), F.min("chars").alias("chars")), total, 50_000)
+    worded = rows.where("id is not null and bands is not null")
+    nodes = scratch.cut(worded.groupBy("set1", "set2").agg(F.min("id").alias("node"), F.min("bands").alias("bands"), F.min("chars").alias("chars")), total, 10_000)
     in_bands = nodes.select("node", "chars", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = storage.cut(in_bands.join(shared, "band"), 8 * total)
-    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
+    shared = scratch.cut(in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), 4 * total)
+    crowded = Heavy(in_bands, ["band"], BANDS * total)
+    members = scratch.cut(crowded.join(in_bands, shared, "node"), 8 * total)
     n = members.count()
-    members = storage.cut(members.join(scores, "node"), n)
-    copies = rows.where("id is not null and bands is not null").select("id", "set1", "set2").join(nodes.select("set1", "set2", "node"), ["set1", "set2"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    members = scratch.cut(members.join(members.groupBy("node").agg(F.sum("n").alias("score")), "node"), n)
 
     def hubs(of: DataFrame) -> DataFrame:
         return of.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("node"))).alias("top")).select("band", (-F.col("top.node")).alias("hub"))
 
-    done = hubs(members)
-    first = members.join(done, "band").where("node <> hub").select(*_ordered("node", "hub")).distinct()
-    links = storage.unsized(storage.cut(checked(first, n, docs, id_col, text_col, threshold)))
-    compared = storage.cut(done, n)
-    round_ = 0
-    while True:
-        labels = connected_components(links, "a", "b")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return storage.unsized(scratch.cut(checked(scratch.cut(pairs.distinct(), n), n, **judge)))
+
+    compared = scratch.cut(hubs(members), n)
+    first = crowded.join(members, compared, "node").where("node <> hub").select(*_ordered("node", "hub"))
+    labels = storage.unsized(connected_components(linked(first), "a", "b", scratch))
+    for round_ in range(HUB_ROUNDS + 1):
         named = members.join(labels, "node", "left").select("band", "node", "n", "score", "chars", F.coalesce("component", "node").alias("component"))
         mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_ = named.join(mixed, "band")
-        if round_ == HUB_ROUNDS or (round_ and not more_found):
-            found = storage.cut(across(storage.cut(open_.where(F.col("n") > SMALL), n), docs, id_col, text_col, threshold))
-            links = storage.unsized(storage.cut(links.unionByName(found), n))
-            break
-        if round_ == 0:
-            small = open_.where(F.col("n") <= SMALL)
-            other = small.select("band", F.col("node").alias("other"), F.col("component").alias("its"))
-            pairs = small.join(other, "band").where("node < other and component <> its").select(F.col("node").alias("a"), F.col("other").alias("b"))
-            open_ = open_.where(F.col("n") > SMALL)
+        open_ = storage.unsized(scratch.cut(crowded.join(named, mixed, "node"), n))
+        large = open_.where(F.col("n") > SMALL)
+        if round_ == HUB_ROUNDS:
+            found = scratch.cut(across(large, **judge))
         else:
-            open_ = open_.where(F.col("n") > SMALL)
-            pairs = None
-        left = open_.join(compared.withColumnRenamed("hub", "node"), ["band", "node"], "left_anti")
-        hub = hubs(left)
-        own = hub.join(named.select("band", F.col("node").alias("hub"), F.col("component").alias("its")), ["band", "hub"])
-        more = open_.join(own, "band").where("node <> hub and component <> its").select(*_ordered("node", "hub"))
-        pairs = more if pairs is None else pairs.unionByName(more)
-        compared = storage.cut(compared.unionByName(hub), n)
-        found = storage.cut(checked(pairs.distinct(), n, docs, id_col, text_col, threshold))
-        round_ += 1
-        more_found = found.limit(1).count()
-        links = storage.unsized(storage.cut(links.unionByName(found), n))
-    labels = connected_components(links, "a", "b")
-    whole = copies.join(labels, F.col("b") == F.col("node"), "left").select(F.col("a").alias("id"), F.coalesce("component", "b").alias("class_id"))
+            hub = hubs(large.join(compared.withColumnRenamed("hub", "node"), ["band", "node"], "left_anti"))
+            own = hub.join(named.select("band", F.col("node").alias("hub"), F.col("component").alias("its")), ["band", "hub"])
+            pairs = crowded.join(large, own, "node").where("node <> hub and component <> its").select(*_ordered("node", "hub"))
+            if round_ == 0:
+                small = open_.where(F.col("n") <= SMALL)
+                other = small.select("band", F.col("node").alias("other"), F.col("component").alias("its"))
+                pairs = pairs.unionByName(small.join(other, "band").where("node < other and component <> its").select(F.col("node").alias("a"), F.col("other").alias("b")))
+            compared = storage.unsized(scratch.cut(compared.unionByName(hub), n))
+            found = linked(pairs)
+        if found.limit(1).count():
+            labels = storage.unsized(extended(labels, found.select("a", "b"), n, scratch))
+        elif round_ and round_ < HUB_ROUNDS:
+            found = scratch.cut(across(large, **judge))
+            labels = storage.unsized(extended(labels, found.select("a", "b"), n, scratch))
+            break
+    copies = worded.select("id", "set1", "set2")
+    alike = Heavy(copies, ["set1", "set2"], total).join(copies, nodes.select("set1", "set2", "node"), "id").select("id", "node")
+    whole = Heavy(alike, ["node"], total).join(alike, labels, "id", "left").select("id", F.coalesce("component", "node").alias("class_id"))
     whole = whole.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    return rows.select("id").join(whole, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    found = storage.cut(rows.select("id").join(whole, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id")))
+    scratch.close()
+    return found
 
 
-def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, counted: bool = False) -> DataFrame:
     """The rows of ``docs`` whose id names their class; of rows that share an id one stays. Null ids stay."""
-    classes = near_duplicate_classes(docs, id_col, text_col, threshold)
+    classes = near_duplicate_classes(docs, id_col, text_col, threshold, counted)
     gone = classes.where(F.col("class_id") < F.col(id_col)).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
     repeated = storage.cut(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col))

@@ -2,22 +2,28 @@
 
 A window is ``span`` consecutive words of one document (words are runs of bytes other than
 ASCII white space). A word goes if some window covering it has a word sequence that also
-starts in a document with a smaller id.
+starts in an earlier document: one of an earlier batch, or one of the same batch with a smaller id.
 
-Storage follows a log-structured merge tree:
+The index is a folder that outlives the session. It follows a log-structured merge tree:
 
-* Documents are packed into *chunks* of about a megabyte (Arrow IPC, compressed), addressed by number.
-* For each batch of documents the fingerprints of its windows are dealt into buckets and every bucket
-  is written once as a sorted, immutable *run* of (fingerprint, chunk). The fingerprint of a window is
-  the smallest hash among its 5-word sequences, so equal windows have equal fingerprints and a run holds
-  about a fifth as many entries as there are windows.
+* The documents of a batch are packed into *chunks* of about a megabyte (Arrow IPC, compressed), addressed by number
+  and stored as a table clustered by number.
+* The fingerprints of a batch's windows are dealt into buckets, and every bucket is written once as a sorted,
+  immutable *run* of (fingerprint, chunk). The fingerprint of a window is the smallest hash among its 5-word
+  sequences, so equal windows have equal fingerprints and a run holds about a fifth as many entries as there are windows.
+  Runs form a table clustered by bucket: only new data moves when a batch meets its history.
 * A new batch is merge-joined, bucket by bucket, with the runs of all earlier batches and with itself.
-* Hits are *verified*: every chunk holding a hit recomputes the windows behind it and the full windows
-  are compared by 96 bits of two independent hashes together with the document ids.
-* ``compact`` merges runs into one.
+* Hits are *verified*: every chunk holding a hit recomputes the windows behind it, and the windows are
+  compared by a 96-bit BLAKE2b digest of their bytes together with the document ids.
+* ``compact`` merges the runs into one. ``state.json`` names the live runs; a step that it does not name never happened.
+
+Sizes: a fingerprint or digest occurs once per chunk at most, so however often a passage repeats, its
+bucket grows by one entry (16 bytes or less) per megabyte of text. A batch is meant to be up to ``BATCH_BYTES``; ``digests``
+and ``without_repeats`` deal larger tables into more batches by id. The history has no bound: a bucket's share of
+it is its runs' entries alone (about 0.2 bytes per byte of text over all buckets).
 
 Defined results for odd input: null text counts as empty; a null id counts as larger than all others;
-rows that share an id are not each other's predecessors; texts shorter than a window are left alone;
+rows of a batch that share an id are not each other's predecessors; texts shorter than a window are left alone;
 an empty table gives an empty result; columns other than id and text are carried through untouched,
 whatever their names.
 """
@@ -25,6 +31,8 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -40,9 +48,13 @@ from prismflow import storage
 from prismflow.llm import textkit as tk
 
 SPAN, SHORT = 13, 5
-LAST_ID = np.iinfo(np.int64).max
-CHUNK_SCHEMA = "chunk long, part int, blob binary"
-RUN_SCHEMA = "kind string, bucket int, chunk long, marks binary, chunks binary"
+LAST_ID, EARLIER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+BATCH_BYTES = 1 << 40
+CHUNK_BYTES = 1 << 20
+#: Chunks whose fingerprints a task gathers before it deals them into buckets.
+GATHER = 16
+CHUNK_SCHEMA = "chunk long, blob binary"
+RUN_SCHEMA = "bucket int, chunk long, marks binary, chunks binary, kind string"
 
 
 def _pack(table: pa.RecordBatch) -> bytes:
@@ -57,20 +69,16 @@ def _unpack(blob: bytes) -> pa.RecordBatch:
         return source.read_next_batch()
 
 
-def chunked(docs: DataFrame, id_at: int, text_at: int, cut_at: int | None, limit: int = 1 << 20) -> DataFrame:
-    """``docs`` as chunks; part 0 holds ids up to ``cut_at``, part 1 the rest."""
+def chunked(docs: DataFrame, step: int, limit: int = CHUNK_BYTES) -> DataFrame:
+    """``docs``, with the id first and the text second, as chunks; the number names step, task and place."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = (step << 44) + (TaskContext.get().partitionId() << 20)
         for batch in batches:
-            ids = pc.fill_null(batch.column(id_at).cast(pa.int64()), LAST_ID)
-            for part in (0, 1):
-                of = pc.greater(ids, LAST_ID if cut_at is None else cut_at)
-                rows = batch.filter(of if part else pc.invert(of))
-                for a, b in tk.text_slices(rows.column(text_at), limit):
-                    blob = _pack(rows.slice(a, b - a))
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "part", "blob"])
-                    number += 1
+            for a, b in tk.text_slices(batch.column(1), limit):
+                blob = _pack(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([blob], pa.binary())], ["chunk", "blob"])
+                number += 1
 
     return storage.spread(docs).mapInArrow(tk.tidy(pack), CHUNK_SCHEMA)
 
@@ -78,14 +86,14 @@ def chunked(docs: DataFrame, id_at: int, text_at: int, cut_at: int | None, limit
 class _Windows:
     """All windows of a chunk: index of the first word, row, fingerprint."""
 
-    def __init__(self, hasher: tk.WordHasher, batch: pa.RecordBatch, id_at: int, text_at: int):
-        self.raw, self.offsets = tk.text_bytes(batch.column(text_at))
+    def __init__(self, hasher: tk.WordHasher, batch: pa.RecordBatch):
+        self.raw, self.offsets = tk.text_bytes(batch.column(1))
         self.starts, self.ends, self.first = tk.word_spans(self.raw, self.offsets, tk.separators("space"))
-        self.words = hasher(self.raw, self.starts, self.ends)
+        words = hasher(self.raw, self.starts, self.ends)
         self.at, row = tk.within_rows(self.first, SPAN)
-        self.ids = pc.fill_null(batch.column(id_at).cast(pa.int64()), LAST_ID).to_numpy(zero_copy_only=False)
+        self.ids = pc.fill_null(batch.column(0).cast(pa.int64()), LAST_ID).to_numpy(zero_copy_only=False)
         self.id = self.ids[row]
-        m = tk.grams(self.words, SHORT, 3)
+        m = tk.grams(words, SHORT, 3)
         width = SPAN - SHORT + 1
         step = 1
         while 2 * step <= width:
@@ -96,6 +104,23 @@ class _Windows:
             m = np.minimum(m[:-rest], m[rest:]) if len(m) > rest else m[:0]
         self.mark = m[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
+    def rows(self) -> Iterator[list[bytes]]:
+        """The words of each row."""
+        data = self.raw.tobytes()
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            yield data[a:b].split()
+
+    def digests(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Digest (64 and 32 bits) of the bytes of windows ``of``, their words joined by one space."""
+        text = b" ".join(b" ".join(words) for words in self.rows() if words)
+        size = self.ends - self.starts
+        start = np.cumsum(size + 1) - size - 1
+        first = self.at[of]
+        low, high = start[first].tolist(), (start + size)[first + SPAN - 1].tolist()
+        made = b"".join([hashlib.blake2b(text[a:b], digest_size=12).digest() for a, b in zip(low, high, strict=True)])
+        found = np.frombuffer(made, np.dtype([("full", "<u8"), ("check", "<u4")]))
+        return found["full"].copy(), found["check"].copy()
+
 
 def _split(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Bounds of each bucket within sorted ``keys`` of ``bits`` significant bits."""
@@ -109,15 +134,49 @@ def _compact_marks(mark: np.ndarray, buckets: int) -> np.ndarray:
     return mark >> np.uint64(32 - (buckets.bit_length() - 1))
 
 
-def marks_of(chunks: DataFrame, id_at: int, text_at: int, buckets: int) -> DataFrame:
-    """Per chunk and bucket the distinct fingerprints, sorted; ``chunks`` flags those of two or more documents."""
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype("<u2" if numbers.max(initial=0) < 1 << 16 else "<u4")
+
+
+def _read_run(marks: bytes, chunks: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and chunk numbers of a run's bucket."""
+    low = np.frombuffer(marks, "<u4")
+    n = int(np.frombuffer(chunks[:8], "<i8")[0])
+    numbers = np.frombuffer(chunks[8 : 8 + 8 * n], "<i8")
+    rest = chunks[8 + 8 * n :]
+    index = np.frombuffer(rest, "<u2" if len(rest) == 2 * len(low) else "<u4")
+    return low, numbers[index]
+
+
+def _write_run(low: np.ndarray, chunk: np.ndarray) -> tuple[bytes, bytes]:
+    numbers, index = np.unique(chunk, return_inverse=True)
+    return low.astype("<u4").tobytes(), np.int64(len(numbers)).tobytes() + numbers.astype("<i8").tobytes() + _narrow(index).tobytes()
+
+
+#: Added to a chunk number of a new batch whose fingerprint two of its documents share.
+SEVERAL = 1 << 62
+
+
+def marks_of(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Small sorted runs of the chunks' distinct fingerprints: per bucket one for every ``GATHER`` chunks of a task."""
     bits = 32 + buckets.bit_length() - 1
 
+    def flush(keys: list, numbers: list) -> pa.RecordBatch:
+        key, number = np.concatenate(keys), np.concatenate(numbers)
+        order = np.argsort(key, kind="stable")
+        key, number = key[order], number[order]
+        bounds = _split(key, bits, buckets)
+        full = np.flatnonzero(bounds[:-1] < bounds[1:]).tolist()
+        low = key & np.uint64(0xFFFFFFFF)
+        made = [_write_run(low[bounds[b] : bounds[b + 1]], number[bounds[b] : bounds[b + 1]]) for b in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))], ["bucket", "marks", "chunks"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tk.WordHasher()
+        hasher = tk.WordHasher(quick=True)
+        keys, numbers = [], []
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = _Windows(hasher, _unpack(blob), id_at, text_at)
+                w = _Windows(hasher, _unpack(blob))
                 key = _compact_marks(w.mark, buckets)
                 order = np.lexsort((w.id, key))
                 key, ids = key[order], w.id[order]
@@ -126,129 +185,146 @@ def marks_of(chunks: DataFrame, id_at: int, text_at: int, buckets: int) -> DataF
                 at = np.flatnonzero(new)
                 ends = np.concatenate((at[1:], [len(key)]))[: len(at)]
                 several = ids[at] != ids[ends - 1] if len(at) else np.zeros(0, bool)
-                key = key[at]
-                bounds = _split(key, bits, buckets)
-                low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-                full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(["new"] * len(full)),
-                        pa.array(full, pa.int32()),
-                        pa.array([number] * len(full), pa.int64()),
-                        pa.array([low[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()),
-                        pa.array([np.packbits(several[bounds[b] : bounds[b + 1]]).tobytes() for b in full], pa.binary()),
-                    ],
-                    ["kind", "bucket", "chunk", "marks", "chunks"],
-                )
+                keys.append(key[at])
+                numbers.append(number + SEVERAL * several.astype(np.int64))
+                if len(keys) == GATHER:
+                    yield flush(keys, numbers)
+                    keys, numbers = [], []
+        if keys:
+            yield flush(keys, numbers)
 
-    return chunks.select("chunk", "blob").mapInArrow(tk.tidy(emit), RUN_SCHEMA)
+    return chunks.select("chunk", "blob").mapInArrow(tk.tidy(emit), "bucket int, marks binary, chunks binary")
 
 
-def _narrow(numbers: np.ndarray) -> np.ndarray:
-    return numbers.astype("<u2" if numbers.max(initial=0) < 1 << 16 else "<u4")
+def _run_arrow() -> pa.Schema:
+    return pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("marks", pa.binary()), ("chunks", pa.binary()), ("kind", pa.string())])
 
 
-def _read_run(marks: bytes, chunks: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and chunk numbers of a run's bucket."""
-    low = np.frombuffer(marks, "<u4")
-    n = int(np.frombuffer(chunks[:8], "<i8")[0])
-    numbers = np.frombuffer(chunks[8 : 8 + 8 * n], "<i8")
-    rest = chunks[8 + 8 * n :]
-    index = np.frombuffer(rest, "<u2" if len(rest) == 2 * len(low) else "<u4")
-    return low, numbers[index]
+def _runs_in(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for marks, chunks in zip(table["marks"].to_pylist(), table["chunks"].to_pylist(), strict=True):
+        yield _read_run(marks, chunks)
 
 
-def _write_run(low: np.ndarray, chunk: np.ndarray) -> tuple[bytes, bytes]:
-    numbers, index = np.unique(chunk, return_inverse=True)
-    return low.astype("<u4").tobytes(), np.int64(len(numbers)).tobytes() + numbers.astype("<i8").tobytes() + _narrow(index).tobytes()
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several sorted runs as one; the stable sort merges the sorted stretches that it finds."""
+    low, chunk = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(low, kind="stable")
+    return low[order], chunk[order]
 
 
-def merge_join(table: pa.Table) -> pa.Table:
-    """One bucket: fingerprints of a new batch against themselves and all runs; gives hits per chunk and the new run."""
-    lows, chunks, fresh, several = [], [], [], []
-    for kind, number, marks, more in zip(*(table[c].to_pylist() for c in ("kind", "chunk", "marks", "chunks")), strict=True):
-        if kind == "new":
-            low = np.frombuffer(marks, "<u4")
-            chunks.append(np.full(len(low), number, np.int64))
-            several.append(np.unpackbits(np.frombuffer(more, np.uint8), count=len(low)).astype(bool))
-        else:
-            low, numbers = _read_run(marks, more)
-            chunks.append(numbers)
-            several.append(np.zeros(len(low), bool))
-        lows.append(low)
-        fresh.append(np.full(len(low), kind == "new"))
-    low, chunk, fresh, several = (np.concatenate(x) for x in (lows, chunks, fresh, several))
-    order = np.lexsort((chunk, low))
-    low, chunk, fresh, several = low[order], chunk[order], fresh[order], several[order]
-    starts = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    size = np.diff(np.concatenate((starts, [len(low)])))
-    hit = np.add.reduceat(fresh.astype(np.int64), starts) > 0
-    hit &= (size > 1) | np.logical_or.reduceat(several, starts)
-    hit = np.repeat(hit, size)
-    out: dict[str, list] = {"kind": [], "bucket": [], "chunk": [], "marks": [], "chunks": []}
+def merge_join(new: pa.Table, old: pa.Table) -> pa.Table:
+    """One bucket: fingerprints of a new batch against themselves and the earlier runs; gives the new run and, per chunk, its hits."""
+    out: dict[str, list] = {name: [] for name in _run_arrow().names}
+    if not new.num_rows:
+        return pa.table(out, schema=_run_arrow())
+    bucket = new["bucket"][0].as_py()
 
-    def add(kind: str, number: int | None, marks: bytes, more: bytes | None) -> None:
-        for name, value in zip(out, (kind, table["bucket"][0].as_py(), number, marks, more), strict=True):
+    def add(number: int | None, marks: bytes, chunks: bytes | None, kind: str) -> None:
+        for name, value in zip(out, (bucket, number, marks, chunks, kind), strict=True):
             out[name].append(value)
 
-    if fresh.any():
-        add("run", None, *_write_run(low[fresh], chunk[fresh]))
-    by = np.argsort(chunk[hit], kind="stable")
-    c, m = chunk[hit][by], low[hit][by]
+    low, chunk = _merged(list(_runs_in(new)))
+    several, chunk = chunk >= SEVERAL, chunk % SEVERAL
+    starts = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+    size = np.diff(np.concatenate((starts, [len(low)])))
+    distinct = low[starts]
+    hit = (size > 1) | np.logical_or.reduceat(several, starts)
+    hit_marks, hit_chunks = [], []
+    for run, numbers in _runs_in(old):
+        at = np.minimum(np.searchsorted(distinct, run), len(distinct) - 1)
+        met = distinct[at] == run
+        hit[at[met]] = True
+        hit_marks.append(run[met])
+        hit_chunks.append(numbers[met])
+    add(None, *_write_run(low, chunk), "run")
+    every = np.repeat(hit, size)
+    m, c = np.concatenate([low[every], *hit_marks]), np.concatenate([chunk[every], *hit_chunks])
+    by = np.lexsort((m, c))
+    m, c = m[by], c[by]
     edges = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1], [True]))) if len(c) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        add("hit", int(c[a]), m[a:b].tobytes(), None)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        add(int(c[a]), m[a:b].tobytes(), None, "hit")
     return pa.table(out, schema=_run_arrow())
 
 
 def merge_runs(table: pa.Table) -> pa.Table:
     """One bucket: several runs into one."""
-    parts = [_read_run(m, c) for m, c in zip(table["marks"].to_pylist(), table["chunks"].to_pylist(), strict=True)]
-    low, chunk = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((chunk, low))
-    marks, chunks = _write_run(low[order], chunk[order])
-    return pa.table({"kind": ["run"], "bucket": [table["bucket"][0].as_py()], "chunk": [None], "marks": [marks], "chunks": [chunks]}, schema=_run_arrow())
-
-
-def _run_arrow() -> pa.Schema:
-    return pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("marks", pa.binary()), ("chunks", pa.binary())])
+    marks, chunks = _write_run(*_merged(list(_runs_in(table))))
+    return pa.table({"bucket": [table["bucket"][0].as_py()], "chunk": [None], "marks": [marks], "chunks": [chunks], "kind": ["run"]}, schema=_run_arrow())
 
 
 class FingerprintIndex:
-    """Sorted runs below ``path``; ``buckets`` is a power of two fixed when the index is made."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets, self.runs, self.written = spark, path, buckets, [], 0
-
-    def append(self, chunks: DataFrame, id_at: int, text_at: int) -> DataFrame:
-        """Add a batch; returns its hits as (chunk, bucket, marks), old chunks included."""
-        new = marks_of(chunks, id_at, text_at, self.buckets)
-        for run in self.runs:
-            new = new.unionByName(self._run(run))
-        target = f"{self.path}/step={self.written}"
-        new.groupBy("bucket").applyInArrow(tk.tidy_group(merge_join), RUN_SCHEMA).write.partitionBy("kind").parquet(target)
-        self.written += 1
-        made = self.spark.read.schema(RUN_SCHEMA).parquet(target)
-        hits = storage.cut(made.where("kind = 'hit'").select("chunk", "bucket", "marks"), self.buckets * chunks.count(), 20_000)
-        self.runs.append(target)
-        return hits
-
-    def _run(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(path).where("kind = 'run'")
+    """The index below ``path``, made if there is none. ``expected`` bytes of text, all batches together, fix how many
+    buckets a new index has; more text than that makes buckets larger, nothing else."""
+
+    def __init__(self, spark: SparkSession, path: str, expected: int = 1 << 30):
+        self.spark, self.path = spark, path.rstrip("/")
+        found = storage.read_text(spark, f"{self.path}/state.json")
+        self.state = json.loads(found) if found else {
+            "span": SPAN,
+            "buckets": 1 << min(17, max(3, (expected >> 23).bit_length())),
+            "chunk_buckets": max(8, min(1 << 15, expected >> 24)),
+            "runs": [],
+            "batches": [],
+            "next": 1,
+        }
+        if self.state["span"] != SPAN:
+            raise ValueError("the index was made with another window")
+        self.buckets, tag = self.state["buckets"], uuid.uuid4().hex
+        self.runs_table, self.chunks_table = f"prismflow_runs_{tag}", f"prismflow_chunks_{tag}"
+        spark.sql(f"CREATE TABLE {self.runs_table} ({RUN_SCHEMA}, step INT) USING parquet PARTITIONED BY (kind, step) CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/runs'")
+        spark.sql(f"CREATE TABLE {self.chunks_table} ({CHUNK_SCHEMA}, step INT) USING parquet PARTITIONED BY (step) CLUSTERED BY (chunk) SORTED BY (chunk) INTO {self.state['chunk_buckets']} BUCKETS LOCATION '{self.path}/chunks'")
+        if found:
+            for name in (self.runs_table, self.chunks_table):
+                spark.sql(f"MSCK REPAIR TABLE {name}")
+
+    def close(self) -> None:
+        """Forget the tables' names in this session; the files stay."""
+        for name in (self.runs_table, self.chunks_table):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _commit(self, **changes) -> None:
+        self.state |= changes
+        storage.write_text(self.spark, f"{self.path}/state.json", json.dumps(self.state))
+
+    def _clear(self, step: int) -> None:
+        """Remove what an unfinished attempt at ``step`` has left."""
+        for folder in (f"chunks/step={step}", f"runs/kind=run/step={step}", f"runs/kind=hit/step={step}"):
+            storage.remove(self.spark, f"{self.path}/{folder}")
+
+    def _chunks(self, steps: list[int]) -> DataFrame:
+        return self.spark.table(self.chunks_table).where(F.col("step").isin(steps))
+
+    def _kind(self, kind: str, steps: list[int]) -> DataFrame:
+        return self.spark.table(self.runs_table).where((F.col("kind") == kind) & F.col("step").isin(steps))
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Add a batch (id first, text second, any other columns); gives its chunks as (blob, hits, flags)."""
+        step = self.state["next"]
+        self._clear(step)
+        new = chunked(docs, step).repartition(self.state["chunk_buckets"], "chunk")
+        new.select("chunk", "blob", F.lit(step).alias("step")).write.insertInto(self.chunks_table)
+        chunks = self._chunks([step])
+        marks, earlier = marks_of(chunks, self.buckets), self._kind("run", self.state["runs"])
+        merged = marks.groupBy("bucket").cogroup(earlier.select("bucket", "marks", "chunks").groupBy("bucket")).applyInArrow(merge_join, RUN_SCHEMA)
+        merged.withColumn("step", F.lit(step)).write.insertInto(self.runs_table)
+        before = self.state["batches"]
+        self._commit(runs=[*self.state["runs"], step], batches=[*before, step], next=step + 1)
+        return verified(self._chunks([*before, step]), self._kind("hit", [step]), step, self.buckets, 1 << min(12, self.buckets.bit_length() - 1))
 
     def compact(self) -> None:
-        """Merge all runs into one and delete the old ones."""
-        if len(self.runs) < 2:
+        """Merge all runs into one; buckets stay where they are."""
+        old = self.state["runs"]
+        if len(old) < 2:
             return
-        target = f"{self.path}/step={self.written}"
-        self.written += 1
-        runs = self._run(self.runs[0])
-        for path in self.runs[1:]:
-            runs = runs.unionByName(self._run(path))
-        runs.groupBy("bucket").applyInArrow(tk.tidy_group(merge_runs), RUN_SCHEMA).write.parquet(target)
-        for old in self.runs:
-            storage.remove(self.spark, old)
-        self.runs = [target]
+        step = self.state["next"]
+        self._clear(step)
+        one = self._kind("run", old).select("bucket", "marks", "chunks").groupBy("bucket").applyInArrow(tk.tidy_group(merge_runs), RUN_SCHEMA)
+        one.withColumn("step", F.lit(step)).write.insertInto(self.runs_table)
+        self._commit(runs=[step], next=step + 1)
+        for gone in old:
+            self.spark.sql(f"ALTER TABLE {self.runs_table} DROP IF EXISTS PARTITION (kind='run', step={gone})")
+            storage.remove(self.spark, f"{self.path}/runs/kind=run/step={gone}")
 
 
 def _candidates(w: _Windows, hits: list, buckets: int) -> np.ndarray:
@@ -263,13 +339,11 @@ def _candidates(w: _Windows, hits: list, buckets: int) -> np.ndarray:
 
 
 class _Entries:
-    """Distinct full windows among a chunk's candidates, in bucket order, each with its smallest id."""
+    """Distinct windows among a chunk's candidates, in digest order, each with its smallest id."""
 
     def __init__(self, w: _Windows, cand: np.ndarray):
         self.cand = cand
-        at = w.at[cand]
-        full = tk.grams(w.words, SPAN, 5)[at]
-        check = (tk.grams(w.words, SPAN, 7)[at] >> np.uint64(32)).astype(np.uint32)
+        full, check = w.digests(cand)
         ids = w.id[cand]
         order = np.lexsort((ids, check, full))
         f, c = full[order], check[order]
@@ -281,76 +355,72 @@ class _Entries:
         self.entry[order] = np.cumsum(new) - 1
 
 
-def verified(chunks: DataFrame, hits: DataFrame, id_at: int, text_at: int, buckets: int) -> DataFrame:
-    """``chunks`` with ``hits`` and, per bucket of full windows, flags of the entries that have a predecessor."""
+def verified(chunks: DataFrame, hits: DataFrame, step: int, buckets: int, parts: int) -> DataFrame:
+    """The chunks of ``step`` as (blob, hits, flags): flags tell, per part of the digests, which entries have a predecessor."""
     per_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("hits"))
-    with_hits = chunks.select("chunk", "blob").join(per_chunk, "chunk", "left")
+    with_hits = chunks.select("chunk", "blob", "step").join(per_chunk, "chunk", "left")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tk.WordHasher()
+        hasher = tk.WordHasher(quick=True)
         for batch in batches:
-            for number, blob, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if not found:
-                    continue
-                w = _Windows(hasher, _unpack(blob), id_at, text_at)
+            for number, blob, of, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                w = _Windows(hasher, _unpack(blob))
                 e = _Entries(w, _candidates(w, found, buckets))
                 if not len(e.full):
                     continue
-                bounds = _split(e.full, 64, buckets)
-                base = int(e.ids.min())
+                bounds = _split(e.full, 64, parts)
+                old = of != step
+                base = 0 if old else int(e.ids.min())
                 offset = e.ids.astype(np.uint64) - np.uint64(base & 0xFFFFFFFFFFFFFFFF)
-                offset = offset.astype("<u4") if offset.max() < 1 << 32 else offset.astype("<u8")
-                full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+                offset = np.zeros(0, "<u4") if old else offset.astype("<u4" if offset.max() < 1 << 32 else "<u8")
+                full = np.flatnonzero(bounds[:-1] < bounds[1:]).tolist()
                 cut = [slice(bounds[b], bounds[b + 1]) for b in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array([base] * len(full), pa.int64())]
+                    [pa.array(full, pa.int32()), pa.array([None if old else number] * len(full), pa.int64()), pa.array([base] * len(full), pa.int64())]
                     + [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (e.full.astype("<u8"), e.check.astype("<u4"), offset)],
-                    ["bucket", "chunk", "base", "full", "checks", "offsets"],
+                    ["part", "chunk", "base", "full", "checks", "offsets"],
                 )
 
     def decide(table: pa.Table) -> pa.Table:
-        parts = [[], [], []]
-        sizes = []
-        for base, full, checks, offsets in zip(*(table[c].to_pylist() for c in ("base", "full", "checks", "offsets")), strict=True):
-            parts[0].append(np.frombuffer(full, "<u8"))
-            parts[1].append(np.frombuffer(checks, "<u4"))
-            n = len(parts[0][-1])
+        digests, checks, ids, sizes = [], [], [], []
+        for number, base, full, check, offsets in zip(*(table[c].to_pylist() for c in ("chunk", "base", "full", "checks", "offsets")), strict=True):
+            digests.append(np.frombuffer(full, "<u8"))
+            checks.append(np.frombuffer(check, "<u4"))
+            n = len(digests[-1])
             sizes.append(n)
-            wide = np.frombuffer(offsets, "<u4" if len(offsets) == 4 * n else "<u8").astype(np.uint64)
-            parts[2].append((wide + np.uint64(base & 0xFFFFFFFFFFFFFFFF)).astype(np.int64))
-        full, check, ids = (np.concatenate(p) for p in parts)
-        order = np.lexsort((ids, check, full))
-        f, c, i = full[order], check[order], ids[order]
+            if number is None:
+                ids.append(np.full(n, EARLIER))
+            else:
+                wide = np.frombuffer(offsets, "<u4" if len(offsets) == 4 * n else "<u8").astype(np.uint64)
+                ids.append((wide + np.uint64(base & 0xFFFFFFFFFFFFFFFF)).astype(np.int64))
+        full, check, id_ = (np.concatenate(p) for p in (digests, checks, ids))
+        order = np.lexsort((id_, check, full))
+        f, c, i = full[order], check[order], id_[order]
         new = np.ones(len(f), bool)
         new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
         least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
         flag = np.empty(len(f), bool)
         flag[order] = least < i
-        edges = np.concatenate(([0], np.cumsum(sizes)))
-        return pa.table(
-            {
-                "chunk": table["chunk"],
-                "bucket": table["bucket"],
-                "flags": pa.array([np.packbits(flag[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-            }
-        )
-
-    entries = with_hits.mapInArrow(tk.tidy(emit), "bucket int, chunk long, base long, full binary, checks binary, offsets binary")
-    flags = entries.groupBy("bucket").applyInArrow(tk.tidy_group(decide), "chunk long, bucket int, flags binary")
-    per_chunk = flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
-    return with_hits.join(per_chunk, "chunk", "left")
-
-
-def repeated_words(hasher: tk.WordHasher, batch: pa.RecordBatch, found: list, flags: list, id_at: int, text_at: int, buckets: int) -> tuple[_Windows, np.ndarray]:
+        edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+        answers = [(k, np.packbits(flag[a:b]).tobytes()) for k, a, b in zip(table["chunk"].to_pylist(), edges[:-1], edges[1:], strict=True) if k is not None]
+        return pa.table({"chunk": pa.array([a[0] for a in answers], pa.int64()), "part": pa.array([table["part"][0].as_py()] * len(answers), pa.int32()), "flags": pa.array([a[1] for a in answers], pa.binary())})
+
+    entries = with_hits.where("hits is not null").select("chunk", "blob", "step", "hits").mapInArrow(tk.tidy(emit), "part int, chunk long, base long, full binary, checks binary, offsets binary")
+    flags = entries.groupBy("part").applyInArrow(tk.tidy_group(decide), "chunk long, part int, flags binary")
+    per_chunk = flags.groupBy("chunk").agg(F.collect_list(F.struct("part", "flags")).alias("flags"))
+    return with_hits.where(F.col("step") == step).join(per_chunk, "chunk", "left").select("blob", "hits", "flags", F.lit(buckets).alias("buckets"), F.lit(parts).alias("parts"))
+
+
+def repeated_words(hasher: tk.WordHasher, batch: pa.RecordBatch, found: list, flags: list, buckets: int, parts: int) -> tuple[_Windows, np.ndarray]:
     """Windows of a chunk and, per word, whether it goes."""
-    w = _Windows(hasher, batch, id_at, text_at)
+    w = _Windows(hasher, batch)
     e = _Entries(w, _candidates(w, found, buckets))
-    gone = np.zeros(len(w.words) + 1, np.int64)
+    gone = np.zeros(len(w.starts) + 1, np.int64)
     if len(e.full):
-        bounds = _split(e.full, 64, buckets)
+        bounds = _split(e.full, 64, parts)
         later = np.zeros(len(e.full), bool)
         for f in flags or []:
-            a, b = bounds[f["bucket"]], bounds[f["bucket"] + 1]
+            a, b = bounds[f["part"]], bounds[f["part"] + 1]
             later[a:b] = np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=b - a).astype(bool)
         drop = later[e.entry] | (w.id[e.cand] > e.ids[e.entry])
         at = w.at[e.cand[drop]]
@@ -359,72 +429,87 @@ def repeated_words(hasher: tk.WordHasher, batch: pa.RecordBatch, found: list, fl
     return w, np.cumsum(gone)[:-1] > 0
 
 
-def kept_texts(w: _Windows, gone: np.ndarray) -> Iterator[tuple[int, int, bytes | None]]:
+def kept_texts(w: _Windows, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Per row: words, removed words, the kept words joined by a space."""
-    data = w.raw.tobytes()
     keep = ~gone
-    for r, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-        words = data[w.offsets[r] : w.offsets[r + 1]].split()
+    for words, a, b in zip(w.rows(), w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         lost = int(b - a - np.count_nonzero(keep[a:b]))
         yield b - a, lost, b" ".join(compress(words, keep[a:b].tolist()) if lost else words)
 
 
-def resolved(docs: DataFrame, id_col: str, text_col: str, batches: int = 2, index_path: str | None = None) -> tuple[DataFrame, int]:
-    """Run ``docs`` through the index in ``batches`` (1 or 2) by ascending id; chunks with hits and flags, and the bucket count."""
-    spark = docs.sparkSession
-    storage.bounded_batches(spark)
-    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    buckets = 1 << min(16, max(6, (storage.scan_bytes(docs) >> 23).bit_length()))
-    cut_at = None
-    if batches > 1:
-        half = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), 0.5, 1000)).first()[0]
-        cut_at = None if half is None else int(half)
-    chunks = storage.cut(chunked(docs, id_at, text_at, cut_at))
-    index = FingerprintIndex(spark, index_path or storage.fresh_path(spark, "fingerprints"), buckets)
-    hits = index.append(chunks.where("part = 0"), id_at, text_at)
-    if cut_at is not None:
-        hits = hits.unionByName(index.append(chunks.where("part = 1"), id_at, text_at))
-    if index_path:
-        index.compact()
-    else:
-        storage.remove(spark, index.path)
-    return verified(chunks, hits, id_at, text_at, buckets), buckets
+def _resolved_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
+    """Each chunk with what ``kept_texts`` says of its rows."""
+    hasher = tk.WordHasher(quick=True)
+    for batch in rows:
+        for blob, hits, flags, buckets, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            chunk = _unpack(blob)
+            yield chunk, list(kept_texts(*repeated_words(hasher, chunk, hits, flags, buckets, parts)))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """Per row: id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    docs = docs.select(id_col, text_col)
-    found, buckets = resolved(docs, id_col, text_col, batches)
+def digest_rows(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per row of a batch, as ``FingerprintIndex.add`` gives it: id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tk.WordHasher()
-        for batch in rows:
-            for blob, hits, flags in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                chunk = _unpack(blob)
-                out = [(n, lost, hashlib.sha256(text).hexdigest()) for n, lost, text in kept_texts(*repeated_words(hasher, chunk, hits, flags, 0, 1, buckets))]
-                n, lost, sha = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([chunk.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], [id_col, "n_words", "n_removed", "kept_sha256"])
+        for chunk, out in _resolved_rows(rows):
+            n, lost, sha = zip(*((n, lost, hashlib.sha256(text).hexdigest()) for n, lost, text in out), strict=True)
+            yield pa.RecordBatch.from_arrays([chunk.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], [id_col, "n_words", "n_removed", "kept_sha256"])
 
-    return found.select("blob", "hits", "flags").mapInArrow(tk.tidy(apply), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(tk.tidy(apply), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """``docs`` with repeated passages cut out. Texts that lose nothing stay as they are; a text that loses every word goes."""
-    schema: T.StructType = docs.schema
-    text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
-    found, buckets = resolved(docs, id_col, text_col, batches)
+def cut_rows(found: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of a batch (of ``schema``, id first, text second) with repeated passages cut out. Texts that lose nothing stay as they are; a text that loses every word goes."""
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tk.WordHasher()
-        for batch in rows:
-            for blob, hits, flags in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                chunk = _unpack(blob)
-                old = chunk.column(text_at).to_pylist()
-                out = list(kept_texts(*repeated_words(hasher, chunk, hits, flags, id_at, text_at, buckets)))
-                texts = [text.decode() if lost else was for was, (_, lost, text) in zip(old, out, strict=True)]
-                columns = [*chunk.columns]
-                columns[text_at] = pa.array(texts, chunk.schema.field(text_at).type)
-                keep = pa.array([not (n and n == lost) for n, lost, _ in out])
-                yield pa.RecordBatch.from_arrays(columns, schema=chunk.schema).filter(keep)
-
-    return found.select("blob", "hits", "flags").mapInArrow(tk.tidy(apply), schema)
+        for chunk, out in _resolved_rows(rows):
+            old = chunk.column(1).to_pylist()
+            texts = [text.decode() if lost else was for was, (_, lost, text) in zip(old, out, strict=True)]
+            columns = [chunk.column(0), pa.array(texts, chunk.schema.field(1).type), *chunk.columns[2:]]
+            keep = pa.array([not (n and n == lost) for n, lost, _ in out])
+            yield pa.RecordBatch.from_arrays(columns, schema=chunk.schema).filter(keep)
+
+    return found.mapInArrow(tk.tidy(apply), schema)
+
+
+def batches_by_id(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
+    """``docs`` in up to ``n`` parts of ascending ids, about equally large; null ids are in the last."""
+    id_ = F.col(id_col).cast("long")
+    edges = docs.agg(F.percentile_approx(id_, [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
+    parts, low = [], F.lit(True)
+    for edge in sorted(set(edges or [])):
+        parts.append(docs.where(low & (id_ <= edge)))
+        low = id_ > edge
+    parts.append(docs.where(F.coalesce(low, F.lit(True))))
+    return parts
+
+
+def _each_batch(docs: DataFrame, id_col: str, text_col: str, batches: int, path: str, use) -> DataFrame:
+    spark = docs.sparkSession
+    storage.bounded_batches(spark)
+    size = storage.scan_bytes(docs, text_col)
+    index = FingerprintIndex(spark, path, size)
+    ordered = docs.select(id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col)))
+    out = None
+    for part in batches_by_id(ordered, id_col, max(batches, -(-size // BATCH_BYTES))):
+        found = use(index.add(part))
+        out = found if out is None else out.unionByName(found)
+    index.compact()
+    return out
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+    """Per row: id, n_words, n_removed and the SHA-256 of the kept words joined by one space; the index is removed afterwards."""
+    path = storage.fresh_path(docs.sparkSession, "fingerprints")
+    found = storage.cut(_each_batch(docs.select(id_col, text_col), id_col, text_col, batches, path, lambda x: digest_rows(x, id_col)))
+    storage.remove(docs.sparkSession, path)
+    return found
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, index_path: str | None = None) -> DataFrame:
+    """``docs`` with repeated passages cut out, those of documents that the index at ``index_path`` already holds included.
+
+    Without a path the index is a transient one (``storage.clean`` removes it). The result reads the index's tables.
+    """
+    path = index_path or storage.transient(docs.sparkSession, "fingerprints")
+    schema = docs.select(id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col))).schema
+    return _each_batch(docs, id_col, text_col, batches, path, lambda x: cut_rows(x, schema)).select(*docs.columns)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,13 +67,6 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tuple
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-BASE = 0x9E3779B97F4A7C15 | 1
-
-
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (multiply, xor-shift)."""
     h = h + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -89,34 +83,56 @@ def multipliers(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64), salt) | np.uint64(1)
 
 
-def _powers(odd: int, n: int) -> np.ndarray:
-    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, odd & 0xFFFFFFFFFFFFFFFF, np.uint64))))
+#: Bytes of a word that are told apart exactly, and how many longer words a hasher remembers.
+EXACT, REMEMBERED = 7, 200_000
+
+
+class _LongWords(dict):
+    """64-bit BLAKE2b of byte strings, kept for those of moderate length."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 256:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
 
 
 class WordHasher:
-    """64-bit hashes of byte ranges by differences of one prefix sum, ``block`` bytes at a time."""
+    """64-bit hashes of byte ranges. Ranges of up to ``EXACT`` bytes go through a bijection, so no two of them
+    collide; longer ones are hashed by BLAKE2b, for which no collisions can be constructed at will.
+
+    ``quick`` mixes ranges of up to ``LANES`` words of eight bytes in numpy instead. Its collisions could be constructed, so
+    it is for hashes whose hits are compared byte by byte (or by digest) afterwards, and for statistics.
+    """
 
-    def __init__(self, block: int = 1 << 19):
-        self.block = block
-        self.letters = mix(np.arange(256, dtype=np.uint64), 11)
-        self._grow(block + (1 << 16))
+    LANES = 4
 
-    def _grow(self, n: int) -> None:
-        self.up, self.down = _powers(BASE, n), _powers(_inverse(BASE), n)
+    def __init__(self, quick: bool = False):
+        self.long, self.quick = _LongWords(), quick
+        self.keep = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            end = max(at + 1, int(np.searchsorted(ends, starts[at] + self.block, side="right")))
-            first, last = int(starts[at]), int(ends[end - 1])
-            if last - first > len(self.up) - 1:
-                self._grow(last - first)
-            sums = np.zeros(last - first + 1, np.uint64)
-            np.cumsum(self.letters[raw[first:last]] * self.up[: last - first], out=sums[1:])
-            s, e = starts[at:end] - first, ends[at:end] - first
-            out[at:end] = mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64))
-            at = end
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        first, last = int(starts[0]), int(ends[-1])
+        padded = np.zeros(last - first + 8, np.uint8)
+        padded[: last - first] = raw[first:last]
+        lanes = np.ndarray((last - first + 1,), "<u8", padded, strides=(1,))
+        at, size = starts - first, ends - starts
+        short = np.minimum(size, EXACT)
+        out = mix((lanes[at] & self.keep[short]) | (short.astype(np.uint64) << np.uint64(56)))
+        rest = np.flatnonzero(size > EXACT)
+        if self.quick:
+            for k in range(self.LANES):
+                done = EXACT + 8 * k
+                rest = rest[size[rest] > done]
+                out[rest] = mix((out[rest] ^ (lanes[at[rest] + done] & self.keep[np.minimum(size[rest] - done, 8)])) + size[rest].astype(np.uint64), 5 + k)
+            rest = rest[size[rest] > EXACT + 8 * self.LANES]
+        if len(rest):
+            data, of = padded.tobytes(), self.long
+            out[rest] = [of[data[a:b]] for a, b in zip(at[rest].tolist(), (at + size)[rest].tolist(), strict=True)]
         return out
 
 

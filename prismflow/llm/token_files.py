@@ -214,7 +214,7 @@ class WordEncoder:
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> None:
     """Encode every text, append ``end_id``, and write the ids in ascending id order below ``path``."""
     storage.bounded_batches(docs.sparkSession)
-    size, cores = storage.scan_bytes(docs), docs.sparkSession.sparkContext.defaultParallelism
+    size, cores = storage.scan_bytes(docs, text_col), docs.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-size // shard_bytes), min(cores, -(-size // (shard_bytes // 8))))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")

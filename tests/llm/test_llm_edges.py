@@ -54,7 +54,7 @@ def removed_by_hand(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches", [1, 2])
+@pytest.mark.parametrize("batches", [1, 2, 5])
 def test_substring_dedup(odd, none, batches):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = sorted((tuple(r) for r in substring_dedup.digests(odd, batches=batches).collect()), key=repr)
@@ -66,13 +66,6 @@ def test_substring_dedup(odd, none, batches):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
-def test_substring_index_is_kept_and_compacted(spark, odd, tmp_path):
-    path = f"file://{tmp_path}/index"
-    substring_dedup.resolved(odd.select("doc_id", "text"), "doc_id", "text", 2, path)[0].count()
-    runs = [p.name for p in (tmp_path / "index").iterdir()]
-    assert "step=2" in runs and "step=0" not in runs
-
-
 def test_near_duplicates(odd, none):
     found = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(odd).collect()}
     assert found[1] == found[2] == found[3] == 1
@@ -166,11 +159,27 @@ def test_decontamination(spark, odd, none):
     assert decontamination.without_leaks(odd, items).columns == odd.columns
 
 
-def test_decontamination_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "SLICE_CHARS", 100)
-    items = spark.createDataFrame([(k, prose(20 + k, 30)) for k in range(5)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, prose(90, 20) + " " + prose(20 + k, 30)) for k in range(5)], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, items).collect()} == {(k, k) for k in range(5)}
+@pytest.mark.parametrize("handed_out", [0, 200_000])
+def test_decontamination_by_either_join(spark, monkeypatch, handed_out):
+    """Few keys are handed out, many are joined after a filter: the same rows either way, copies and null ids included."""
+    monkeypatch.setattr(decontamination, "HANDED_OUT", handed_out)
+    items = spark.createDataFrame([(k, prose(20 + k, 30)) for k in (0, 1, 2, 3, 4, 4)], "item_id long, text string")
+    rows = [(k, prose(90, 20) + " " + prose(20 + k, 30)) for k in range(5)] + [(None, prose(90, 20) + " " + prose(22, 30)), (7, prose(91, 50)), (8, None)]
+    docs = spark.createDataFrame([(d, t, d, "k", 0) for d, t in rows * 2], "doc_id long, text string, item long, key string, may int")
+    found = [(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, items).collect()]
+    assert sorted(found, key=repr) == sorted([(k, k) for k in (0, 1, 2, 3, 4, 4)] * 2 + [(None, 2)] * 2, key=repr)
+    kept = decontamination.without_leaks(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [7, 7, 8, 8]
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """Texts that repeat a few words are compared at every shift; ties go to the smallest shift."""
+    item, text = "a b " * 400, "x " + "a b " * 3000 + "y"
+    long = "so " * 30_000 + " ".join(prose(33, 20).split()) + " no" * 30_000
+    docs = spark.createDataFrame([(1, text), (2, long), (3, "a c " * 4000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, prose(33, 20)), (3, "a b " * 7)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_equal) for r in decontamination.overlaps(docs, items).collect()}
+    assert got == {(1, 1): (1, 800, 800), (1, 3): (1, 14, 14), (2, 2): (30_000, 20, 20)}
 
 
 def test_byte_bpe_on_odd_texts(spark, odd, none):
