@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with two-tier lookup.
 
 A pattern splits a text into pre-tokens. Tier one: a minimal perfect hash over the vocabulary (hash,
-bucket, displacement; one slot per token, checked by full hash and length) resolves pre-tokens that are
+bucket, displacement; one slot per token, hits compared byte by byte) resolves pre-tokens that are
 tokens themselves. Tier two: all others are merged by a heap over a linked list of their bytes, lowest
-rank first and leftmost among equals. Encoded pre-tokens are remembered in a bounded memo.
+rank first and leftmost among equals. Both tiers work on the distinct pre-tokens of a slice: a bounded memo holds
+what a pre-token was resolved to and answers for its later occurrences.
 
 Defined results for odd input: null text counts as empty and gives no ids; ids decode to the very bytes
 of the text; repeated rows are encoded each; an empty table gives an empty result; other columns are
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from prismflow import storage
 from prismflow.llm import textkit as tk
-from prismflow.llm.pool import Pool, kept_in_worker
+from prismflow.llm.pool import Pool, file_digest, kept_in_worker
 
 PER_BUCKET = 4
 
@@ -47,7 +48,7 @@ def hashed(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash and length of byte strings."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes)
-    return tk.WordHasher()(np.frombuffer(b"".join(pieces), np.uint8), ends - sizes, ends), sizes
+    return tk.WordHasher(quick=True)(np.frombuffer(b"".join(pieces), np.uint8), ends - sizes, ends), sizes
 
 
 class PerfectHash:
@@ -138,7 +139,8 @@ class Codec:
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode() for p in pieces]
-        rank = self.table(raw)
+        tokens = self.tokens
+        rank = np.array([r if r >= 0 and tokens[r] == piece else -1 for r, piece in zip(self.table(raw).tolist(), raw, strict=True)], np.int64)
         sizes = np.ones(len(raw), np.int64)
         missed = np.flatnonzero(rank < 0)
         if not len(missed):
@@ -190,7 +192,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
 
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
     storage.bounded_batches(docs.sparkSession)
-    tokens = read_ranks(ranks_path)
+    tokens, made_of = read_ranks(ranks_path), file_digest(ranks_path)
     table = PerfectHash(tokens)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, vars(table)))
     names = [id_col, *(x.split()[0] for x in schema.split(", "))]
@@ -202,7 +204,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
             table.__dict__ = state
             return Codec(tokens, table, pattern)
 
-        codec = kept_in_worker(f"byte bpe {ranks_path} {pattern}", build)
+        codec = kept_in_worker(f"byte bpe {made_of} {pattern}", build)
         for batch in batches:
             for a, b in tk.text_slices(batch.column(1)):
                 ids = codec.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])

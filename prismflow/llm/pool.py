@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable
 from types import ModuleType
@@ -20,6 +21,12 @@ def kept_in_worker(key: str, make: Callable):
     return store.__dict__[key]
 
 
+def file_digest(path: str) -> str:
+    """Names a file by its content, so that a changed file is not taken for the old one."""
+    with open(path, "rb") as file:
+        return hashlib.file_digest(file, "sha256").hexdigest()
+
+
 class _Index(dict):
     """Numbers pieces as they are first asked for and lists the new ones."""
 

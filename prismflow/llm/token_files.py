@@ -14,11 +14,13 @@ width that fits a given percentile of them, then the exceptions, positions (u8)
 per row, so any store that Spark writes to will do; shards and segments are numbered in id order.
 
 Defined results for odd input: null text counts as empty (its only id is the end id); null ids come first;
-rows that share an id are ordered by text; an empty table gives no segments; other columns are ignored.
+rows that share an id are ordered by text; an empty table gives no segments; other columns are ignored. Control strings
+of the tokenizer in a text become their ids, as the library does it by default, unless ``control_as_text`` is set.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from prismflow import storage
 from prismflow.llm import textkit as tk
-from prismflow.llm.pool import Pool, kept_in_worker
+from prismflow.llm.pool import Pool, file_digest, kept_in_worker
 
 BLOCK, PERCENTILE = 128, 0.95
 NULL_ID = np.iinfo(np.int64).min
@@ -144,76 +146,132 @@ class Segment:
         return self._read(np.arange(self.blocks)).ravel()[: self.n_ids]
 
 
+#: The normalizer and pre-tokenizer for which texts may be encoded piece by piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, BYTE_LEVEL]}
+WORD_END = "</w>"
+
+
 class WordEncoder:
-    """The ids that a tokenizers model gives for whole texts, found word by word.
+    """The ids that a tokenizers model gives for whole texts.
 
-    Valid for models that drop white space and never join pieces across it. New words are encoded together,
-    parted by a mark whose single id cannot come from a word without the mark.
+    A model with the normalizer and pre-tokenizer above and word ends in its vocabulary drops white space and merges
+    inside pieces only, so distinct pieces are encoded once. Texts of letters up to U+017F are cut into pieces here; for
+    others words between blanks go to the library. Texts that hold a control string of the model, and all texts of other
+    models, go to the library whole. With ``control_as_text`` control strings in texts are ordinary text.
     """
 
     MARKS = "★☆♥•…→†§"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, control_as_text: bool = False):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = control_as_text
+        model, added = spec["model"], [t["content"] for t in spec["added_tokens"]]
+        plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and not spec["post_processor"] and not spec["truncation"] and not spec["padding"]
+        bpe = model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not any(model[k] for k in ("dropout", "continuing_subword_prefix", "unk_token", "ignore_merges"))
+        special = all(t["special"] and not t["normalized"] for t in spec["added_tokens"])
+        self.known = plain and bpe and special
+        self.control = [] if control_as_text else added
+        if not self.known:
+            return
+        lean = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
+        self.ends_word = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends_word[[i for token, i in model["vocab"].items() if token.endswith(WORD_END)]] = True
+        #: Neither beyond Latin Extended-A, nor the capital that lower case makes two letters of, nor white space that libraries see differently.
+        self.beyond = re.compile("[^\\x00-\u012f\u0131-\u017f]|[\x1c-\x1f\x85\xa0]")
+        letters, digits = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+        self.pieces = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^ \t\n\x0b\f\r{letters}{digits}]+").findall
         self.mark, self.mark_id = next(((m, i[0]) for m in self.MARKS if len(i := self._ids(m)) == 1), ("", -1))
-        self.lowers = self._ids("ABC Def") == self._ids("abc def")
-        #: A run of ASCII symbols between a letter and white space is a piece of its own; parting it leaves fewer distinct words.
-        self.stop = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)[!-&(-/:-@\[-`{-~]*)(?=[ \n])")
-        self.pool = Pool(self._encode, 900_000)
+        self.piece_pool, self.word_pool = Pool(self._encode_pieces, 900_000), Pool(self._encode_words, 100_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words; ASCII words that differ by case only are encoded once, as the model lowers case."""
-        number: dict[str, int] = {}
-        at = np.array([number.setdefault(w.lower() if self.lowers and w.isascii() else w, len(number)) for w in words])
-        flat, sizes = self._encode_distinct(list(number))
-        start, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        return flat[np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)], size
-
-    def _encode_distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int64)]
-        sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
-
-        def alone(some: list[str]) -> None:
-            each = [self._ids(w) for w in some]
-            out.append(np.array([i for x in each for i in x], np.int64))
-            sizes.append(np.array([len(x) for x in each], np.int64))
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self._ids(w) for w in words]
+        return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
 
+    def _in_parts(self, words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """Many words a thousand at a time; where ``encode`` cannot tell the words apart, one by one."""
+        out, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), 1000):
             some = words[a : a + 1000]
+            flat, size = encode(some) or self._alone(some)
+            out.append(flat)
+            sizes.append(size)
+        return np.concatenate(out).astype(np.uint32), np.concatenate(sizes)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces; the last id of a piece is one that ends a word."""
+
+        def encode(some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+            ids = np.array(self.lean.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids])
+            return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(some) and ends[-1] == len(ids) - 1 else None
+
+        return self._in_parts(pieces, encode)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, parted by a mark whose single id cannot come from a word without the mark."""
+
+        def encode(some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
             joined = f" {self.mark} ".join(some)
             if not self.mark or joined.count(self.mark) != len(some) - 1:
-                alone(some)
-                continue
+                return None
             ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
             edges = np.concatenate(([-1], np.flatnonzero(ids == self.mark_id), [len(ids)]))
-            if len(edges) != len(some) + 1:
-                alone(some)
-                continue
-            out.append(ids[ids != self.mark_id])
-            sizes.append(np.diff(edges) - 1)
-        return np.concatenate(out).astype(np.uint32), np.concatenate(sizes)
+            return (ids[ids != self.mark_id], np.diff(edges) - 1) if len(edges) == len(some) + 1 else None
+
+        return self._in_parts(words, encode)
+
+    def _sorted_out(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Indexes of the texts to be encoded whole, and of those to be encoded word by word."""
+        if not self.known:
+            return list(range(len(texts))), []
+        joined = "\n".join(texts)
+        some = [c for c in self.control if c in joined]
+        whole = [k for k, t in enumerate(texts) if any(c in t for c in some)] if some else []
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        after = raw[1:]
+        suspect = (raw >= 0xC6).any() or ((raw >= 0x1C) & (raw <= 0x1F)).any() or ((raw[:-1] == 0xC4) & (after == 0xB0)).any() or ((raw[:-1] == 0xC2) & ((after == 0x85) | (after == 0xA0))).any()
+        taken = set(whole)
+        return whole, [k for k, t in enumerate(texts) if k not in taken and self.beyond.search(t)] if suspect else []
+
+    def _pooled(self, pool: Pool, texts: list[list[str]]) -> list[np.ndarray]:
+        ids, sizes = pool([x for text in texts for x in text])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text."""
-        words, counts = [], []
-        for text in texts:
-            found = self.stop.sub(r" \1", text).replace("\n", " ").split(" ")
-            words += found
-            counts.append(len(found))
-        ids, sizes = self.pool(words)
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
-        return ids, np.diff(ends)
-
-
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> None:
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole, wide = self._sorted_out(texts)
+        taken = {*whole, *wide}
+        narrow = [k for k in range(len(texts)) if k not in taken]
+        out: list = [None] * len(texts)
+        for k in whole:
+            out[k] = np.array(self._ids(texts[k]), np.uint32)
+        if wide:
+            for k, ids in zip(wide, self._pooled(self.word_pool, [texts[k].replace("\n", " ").split(" ") for k in wide]), strict=True):
+                out[k] = ids
+        if narrow:
+            for k, ids in zip(narrow, self._pooled(self.piece_pool, [self.pieces(texts[k].lower()) for k in narrow]), strict=True):
+                out[k] = ids
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, control_as_text: bool = False) -> None:
     """Encode every text, append ``end_id``, and write the ids in ascending id order below ``path``."""
     storage.bounded_batches(docs.sparkSession)
+    made_of = file_digest(tokenizer_path)
     size, cores = storage.scan_bytes(docs, text_col), docs.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-size // shard_bytes), min(cores, -(-size // (shard_bytes // 8))))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -221,7 +279,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = TaskContext.get().partitionId(), 0
-        encode = kept_in_worker(f"word encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+        encode = kept_in_worker(f"word encoder {made_of} {control_as_text}", lambda: WordEncoder(tokenizer_path, control_as_text))
         for batch in batches:
             for a, b in tk.text_slices(batch.column(1), 2 << 20):
                 ids, sizes = encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])

@@ -229,21 +229,27 @@ def test_segments_round_trip(values, high):
         assert segment.read_block(k).tolist() == ids[k * 128 : k * 128 + 128].tolist()
 
 
-def test_word_encoder_equals_the_library():
+@pytest.mark.parametrize("control_as_text", [False, True])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder_equals_the_library(name, control_as_text):
+    """Texts of one script, of several, and with control strings; a model that the encoder knows, and one that it does not."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(name)
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    encode = token_files.WordEncoder(path)
+    model.encode_special_tokens = control_as_text
+    encode = token_files.WordEncoder(path, control_as_text)
+    assert encode.known == name.startswith("word")
     rng = random.Random(5)
-    letters = list("abC éÉñ'.,!<|>_-= \n\t  ̸́★☆1²中🙂İΣσ’") + ["'s", "<|endoftext|>", "é.", "..."]
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(800)]
+    letters = list("abC éÉñ'.,!<|>_-= \n\t  ̸́★☆1²中🙂İΣσ’") + ["'s", "<|endoftext|>", "é.", "..."]
+    narrow = list("abCdE éÉñßŒœŉſĸµªº'.,!<|>_-= \n\t\r\x0b\x0c\x00\x1b~¬¶÷×§12²½¼0") + ["'s", "'LL", "'Re", "<|endoftext", "é.", "...", "  "]
+    more = [chr(c) for c in range(1, 0x180)]
+    texts = ["".join(rng.choice(of) for _ in range(rng.randint(0, 50))) for of in (letters, narrow, more, letters[:9]) for _ in range(400)]
     ids, sizes = encode(texts)
     ends = np.concatenate(([0], np.cumsum(sizes)))
     for k, text in enumerate(texts):
-        assert ids[ends[k] : ends[k + 1]].tolist() == model.encode(text, add_special_tokens=False).ids
+        assert ids[ends[k] : ends[k + 1]].tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files_on_odd_rows(spark, odd, none, tmp_path):

@@ -67,7 +67,6 @@ def test_op6_against_the_library(spark, documents):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     got = {r.doc_id: r for r in queries.op6_token_files(spark, SF).collect()}
     start = 0
     for doc, text in documents:
