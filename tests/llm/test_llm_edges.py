@@ -371,19 +371,61 @@ def test_neighbours_on_odd_vectors(spark):
     assert neighbours.nearest_neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def exact_neighbours(rows, k=10):
+    """(query, rank, id, score) over all rows, for ids divisible by 100."""
+    out = []
+    for q in sorted({d for d, _ in rows if d % 100 == 0}):
+        query = np.array(min(v for d, v in rows if d == q), float)
+        near = sorted((float(np.sqrt(((np.array(v, float) - query) ** 2).sum())), d) for d, v in rows if d != q)
+        out += [(q, r + 1, d, s) for r, (s, d) in enumerate(near[:k])]
+    return out
+
+
+def compared(got, expected):
+    """Share of exact neighbours found; every score is checked."""
+    scores = {}
+    for q, _, d, s in expected:
+        scores.setdefault(q, {})[d] = s
+    hits = 0
+    for r in got:
+        if r.vec_id in scores.get(r.query_id, {}):
+            hits += 1
+            assert r.score == pytest.approx(scores[r.query_id][r.vec_id], rel=1e-12)
+    return hits / len(expected)
+
+
 def test_neighbours_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "ROW_BLOCK", 100)
-    monkeypatch.setattr(neighbours, "QUERY_GROUP", 3)
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(700, 16)).astype(np.float32)
-    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 300)
+    monkeypatch.setattr(neighbours, "QUERY_GROUP", 5)
+    x = np.random.default_rng(8).normal(size=(2000, 24)).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0")).collect()
-    hits = 0
-    for q in range(0, 700, 100):
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        d[q] = np.inf
-        hits += len(set(np.argsort(d)[:10]) & {r.vec_id for r in got if r.query_id == q})
-    assert len(got) == 70 and hits >= 63
+    assert len(got) == 200 and compared(got, exact_neighbours(rows)) >= 0.9
+    assert sum(r.verified for r in got if r["rank"] == 1) < 0.4 * 20 * 2000
+
+
+def test_neighbours_of_copies_and_clusters(spark, monkeypatch):
+    """A third of all rows holds one vector, another third lies close together; copies come by id, nothing is lost among them."""
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 200)
+    rng = np.random.default_rng(3)
+    middle, x = rng.normal(size=16), rng.normal(size=(900, 16))
+    rows = [(int(d), (x[0] if k < 300 else middle + x[k] * 0.01 if k < 600 else x[k]).tolist()) for k, d in enumerate(rng.permutation(900))]
+    rows += [(100, rows[0][1])] * 3 + [(5000, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0")).collect()
+    expected = [e for e in exact_neighbours([r for r in rows if r[0] != 5000])]
+    assert not [r for r in got if r.query_id == 5000]
+    assert len(got) == len(expected) and compared(got, expected) >= 0.9
+    at_zero = {(q, r): d for q, r, d, s in expected if s == 0}
+    assert at_zero and {(r.query_id, r["rank"]): r.vec_id for r in got if r.score == 0} == at_zero
+
+
+def test_neighbours_among_few(spark):
+    rows = [(100 * k, [float(k), 1.0]) for k in range(7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest_neighbours(vectors, vectors).collect()]
+    assert sorted(got) == sorted(exact_neighbours(rows))
 
 
 @settings(max_examples=100, deadline=None)
