@@ -310,7 +310,7 @@ class FingerprintIndex:
         merged.withColumn("step", F.lit(step)).write.insertInto(self.runs_table)
         before = self.state["batches"]
         self._commit(runs=[*self.state["runs"], step], batches=[*before, step], next=step + 1)
-        return verified(self._chunks([*before, step]), self._kind("hit", [step]), step, self.buckets, 1 << min(12, self.buckets.bit_length() - 1))
+        return verified(self._chunks([*before, step]), self._kind("hit", [step]), step, self.buckets, 1 << min(12, self.buckets.bit_length() - 1), self.state["chunk_buckets"])
 
     def compact(self) -> None:
         """Merge all runs into one; buckets stay where they are."""
@@ -355,9 +355,10 @@ class _Entries:
         self.entry[order] = np.cumsum(new) - 1
 
 
-def verified(chunks: DataFrame, hits: DataFrame, step: int, buckets: int, parts: int) -> DataFrame:
-    """The chunks of ``step`` as (blob, hits, flags): flags tell, per part of the digests, which entries have a predecessor."""
-    per_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("hits"))
+def verified(chunks: DataFrame, hits: DataFrame, step: int, buckets: int, parts: int, chunk_buckets: int) -> DataFrame:
+    """The chunks of ``step`` as (blob, hits, flags): flags tell, per part of the digests, which entries have a predecessor.
+    Hits and flags are dealt as the chunks are clustered, so the chunks stay where they are."""
+    per_chunk = hits.repartition(chunk_buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "marks")).alias("hits"))
     with_hits = chunks.select("chunk", "blob", "step").join(per_chunk, "chunk", "left")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +408,7 @@ def verified(chunks: DataFrame, hits: DataFrame, step: int, buckets: int, parts:
 
     entries = with_hits.where("hits is not null").select("chunk", "blob", "step", "hits").mapInArrow(tk.tidy(emit), "part int, chunk long, base long, full binary, checks binary, offsets binary")
     flags = entries.groupBy("part").applyInArrow(tk.tidy_group(decide), "chunk long, part int, flags binary")
-    per_chunk = flags.groupBy("chunk").agg(F.collect_list(F.struct("part", "flags")).alias("flags"))
+    per_chunk = flags.repartition(chunk_buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "flags")).alias("flags"))
     return with_hits.where(F.col("step") == step).join(per_chunk, "chunk", "left").select("blob", "hits", "flags", F.lit(buckets).alias("buckets"), F.lit(parts).alias("parts"))
 
 
