@@ -43,15 +43,18 @@ def cut(df: DataFrame, rows: int | None = None, per_task: int = 250_000) -> Data
     shared_dir(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_task)))
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    # A checkpoint keeps the optimiser's estimate of its size, a product over all joins before it; over rounds of joins the
+    # number's digits multiply until they fill the driver.
+    absurd = int(str(made._jdf.queryExecution().logical().stats().sizeInBytes())) > 1 << 80
+    table = unsized(made) if absurd else made
+    table._checkpoint = made
+    return table
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of ``df``, the result of ``cut``."""
-    plan = df._jdf.queryExecution().logical()
-    if plan.getClass().getSimpleName() != "LogicalRDD":
-        raise ValueError("not a cut table")
-    where = plan.rdd().getCheckpointFile()
+    where = df._checkpoint._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if where.isDefined():
         remove(df.sparkSession, where.get())
 
@@ -73,8 +76,7 @@ class Scratch:
 
 
 def unsized(df: DataFrame) -> DataFrame:
-    """``df``, the result of ``cut``, without the optimiser's estimate of its size. A checkpoint keeps the estimate, a
-    product over all joins before it; over rounds of joins the number's digits multiply until they fill the driver."""
+    """``df``, the result of a checkpoint, without the optimiser's estimate of its size (and what it knows of its partitioning)."""
     session = df.sparkSession
     plain = session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
     return DataFrame(plain, session)
