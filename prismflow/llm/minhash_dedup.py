@@ -283,15 +283,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return of.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("node"))).alias("top")).select("band", (-F.col("top.node")).alias("hub"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return storage.unsized(scratch.cut(checked(scratch.cut(pairs.distinct(), n), n, **judge)))
+        return scratch.cut(checked(scratch.cut(pairs.distinct(), n), n, **judge))
 
     compared = scratch.cut(hubs(members), n)
     first = crowded.join(members, compared, "node").where("node <> hub").select(*_ordered("node", "hub"))
-    labels = storage.unsized(connected_components(linked(first), "a", "b", scratch))
+    labels = connected_components(linked(first), "a", "b", scratch)
     for round_ in range(HUB_ROUNDS + 1):
         named = members.join(labels, "node", "left").select("band", "node", "n", "score", "chars", F.coalesce("component", "node").alias("component"))
         mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_ = storage.unsized(scratch.cut(crowded.join(named, mixed, "node"), n))
+        open_ = scratch.cut(crowded.join(named, mixed, "node"), n)
         large = open_.where(F.col("n") > SMALL)
         if round_ == HUB_ROUNDS:
             found = scratch.cut(across(large, **judge))
@@ -303,13 +303,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 small = open_.where(F.col("n") <= SMALL)
                 other = small.select("band", F.col("node").alias("other"), F.col("component").alias("its"))
                 pairs = pairs.unionByName(small.join(other, "band").where("node < other and component <> its").select(F.col("node").alias("a"), F.col("other").alias("b")))
-            compared = storage.unsized(scratch.cut(compared.unionByName(hub), n))
+            compared = scratch.cut(compared.unionByName(hub), n)
             found = linked(pairs)
         if found.limit(1).count():
-            labels = storage.unsized(extended(labels, found.select("a", "b"), n, scratch))
+            labels = extended(labels, found.select("a", "b"), n, scratch)
         elif round_ and round_ < HUB_ROUNDS:
             found = scratch.cut(across(large, **judge))
-            labels = storage.unsized(extended(labels, found.select("a", "b"), n, scratch))
+            labels = extended(labels, found.select("a", "b"), n, scratch)
             break
     copies = worded.select("id", "set1", "set2")
     alike = Heavy(copies, ["set1", "set2"], total).join(copies, nodes.select("set1", "set2", "node"), "id").select("id", "node")

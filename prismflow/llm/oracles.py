@@ -10,14 +10,15 @@ rows AS (
   SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM parsed),
 targets AS (
-  SELECT host || tail AS a, url, host, unnest([
-    regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*''?([^"''\s>]+)', 1)]) AS target
+  SELECT host || tail AS a, host, path, tail, replace(unnest(list_concat(
+    regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract_all(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*''?([^"''\s>]+)', 1))), '&amp;', '&') AS target
   FROM rows WHERE host <> ''),
 resolved AS (
-  SELECT a, CASE WHEN instr(target, '://') > 0 THEN substr(target, instr(target, '://') + 3) WHEN starts_with(target, '//') THEN substr(target, 3)
-    WHEN starts_with(target, '/') THEN host || target END AS rest FROM targets WHERE target <> ''),
+  SELECT a, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(target, instr(target, '://') + 3) WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:|^#') THEN NULL
+    WHEN starts_with(target, '//') THEN substr(target, 3) WHEN starts_with(target, '/') THEN host || target WHEN starts_with(target, '?') THEN host || path || target
+    ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || target END AS rest FROM targets WHERE target <> ''),
 edges AS (
   SELECT DISTINCT a, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b
   FROM resolved WHERE rest IS NOT NULL),
