@@ -90,7 +90,7 @@ def stats_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, stats as packed doubles)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tk.WordHasher()
+        hasher = tk.WordHasher(quick=True)
         for batch in batches:
             for a, b in tk.text_slices(batch.column(1), 1 << 20):
                 found = statistics(hasher, batch.column(1).slice(a, b - a))
@@ -227,11 +227,12 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1."""
     storage.bounded_batches(docs.sparkSession)
-    model = fit(stats_table(docs.where(fold(id_col) != 2), id_col, text_col), labels, id_col, label_col)
+    known = labels.select(F.col(id_col)).where(fold(id_col) != 2).distinct()
+    model = fit(stats_table(docs.join(known, id_col, "left_semi"), id_col, text_col), labels, id_col, label_col)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tk.WordHasher()
+        hasher = tk.WordHasher(quick=True)
         for batch in batches:
             for a, b in tk.text_slices(batch.column(at), 1 << 20):
                 rows = batch.slice(a, b - a)

@@ -25,7 +25,7 @@ class Heavy:
         fan = max(fan or FAN, n // MOST)
         if n > fan:
             often = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > fan)
-            found = storage.cut(often.select(*keys, F.ceil(F.col("_n") / fan).cast("int").alias("_salts")).coalesce(1))
+            found = storage.cut(often.select(*keys, F.ceil(F.col("_n") / fan).cast("int").alias("_salts")))
             if found.limit(1).count():
                 self.table = found
             else:

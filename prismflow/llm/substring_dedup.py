@@ -263,7 +263,7 @@ class FingerprintIndex:
         self.state = json.loads(found) if found else {
             "span": SPAN,
             "buckets": 1 << min(17, max(3, (expected >> 23).bit_length())),
-            "chunk_buckets": max(8, min(1 << 15, expected >> 24)),
+            "chunk_buckets": max(8, min(1 << 17, expected >> 23)),
             "runs": [],
             "batches": [],
             "next": 1,
