@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every result is written as
 Parquet to the shared folder and read again. All stages but the last return the columns of ``documents``.
+
+Defined results for odd input, in every stage: null text counts as empty; a null id is an id of its own; rows that share an id
+are judged by their texts, except that near-duplicates keep one row of each id; texts of any length are read whole; an
+empty table gives an empty one; other columns are carried, whatever their names. Without labels of both kinds the first
+stage keeps all or none, as the known ones say (all, if there are none).
 """
 
 from __future__ import annotations
@@ -53,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage wrote goes once the next has written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = storage.fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        storage.clean(spark)
+        if last:
+            storage.remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
