@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prismflow.functions import chemistry as C
 from prismflow.functions import peaks as P
 from prismflow.functions import vectors as V
-from prismflow.operators import active, clusters, distances, evaluate, labels, render, shift, split
+from prismflow.operators import active, clusters, distances, evaluate, labels, render, shift, split, structures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,10 +94,10 @@ def pairwise_w1(spark, sf_dir):
 
 @query
 def matrix_repair(spark, sf_dir):
-    ids = table(spark, sf_dir, "nation").select("n_nationkey")
-    cells = ids.select(F.col("n_nationkey").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
-    odd = F.when((F.col("i") * F.col("j")) % 7 == 3, float("inf")).when((F.col("i") + F.col("j")) % 11 == 5, float("nan")).otherwise((F.col("i") * 31 + F.col("j") * 17) % 50 + 0.5)
-    return distances.repaired(cells.withColumn("d", odd))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
+    i, j = F.col("i"), F.col("j")
+    odd = F.when((i * j) % 7 == 3, float("inf")).when((i + j) % 11 == 5, float("nan")).otherwise((i * 31 + j * 17) % 50 + 0.5)
+    return distances.repaired(rows.crossJoin(rows.select(i.alias("j"))).withColumn("d", odd))
 
 
 @query
@@ -170,7 +170,8 @@ def unlabeled_count(spark, sf_dir):
 
 @query
 def extra_labels(spark, sf_dir):
-    return labels.unused(table(spark, sf_dir, "documents").where("n_chars > 1000"), table(spark, sf_dir, "labels"), "doc_id")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return labels.unused(orders, table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
 
 
 @query
@@ -202,8 +203,31 @@ def label_sorted(spark, sf_dir):
 
 @query
 def class_gaps(spark, sf_dir):
-    found = labels.class_gaps(table(spark, sf_dir, "part").where("p_size % 3 <> 1"), "p_size")
-    return found.select(F.col("n_classes").cast("long").alias("n_classes"), F.array_join("gaps", ",").alias("gaps"))
+    return labels.class_gaps(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query
+def class_range(spark, sf_dir):
+    rows = labels.check_range(table(spark, sf_dir, "embeddings"), "label", 10)
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def distinct_classes(spark, sf_dir):
+    return split.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query
+def row_alignment(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return split.aligned(rows.select("vec_id", F.size("embedding").alias("dim")), rows.select("vec_id", "label"), "vec_id")
+
+
+@query
+def domain_scan(spark, sf_dir):
+    """Labelled rows of one domain, 20 of every full 50 of a source; rows without a label are left out."""
+    known = labels.joined(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return split.window_sample(known, "source", "doc_id", 3, size=10, keep=4).select("source", "block", "doc_id", "quality")
 
 
 @query
@@ -308,14 +332,14 @@ def softmax_topk(spark, sf_dir):
 
 @query
 def topk_named(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_nationkey < 7").select(F.col("n_nationkey").alias("class"), F.col("n_name").alias("known"))
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("class"), F.col("r_name").alias("known"))
     found = _top(evaluate.top_k(_logits(spark, sf_dir), 3)).join(names, "class", "left")
     return found.select("vec_id", "rank", F.coalesce("known", F.concat(F.lit("UNKNOWN_LABEL_"), F.col("class").cast("string"))).alias("name"))
 
 
 @query
 def masked_topk(spark, sf_dir):
-    allowed = table(spark, sf_dir, "nation").where("n_nationkey < 10 and n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("class"))
+    allowed = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("class"))
     return _top(evaluate.top_k(evaluate.masked(_logits(spark, sf_dir), allowed), 3))
 
 
@@ -334,7 +358,7 @@ def elements(spark, sf_dir):
 
 @query
 def mask_all(spark, sf_dir):
-    return _compounds(spark, sf_dir).where(labels.allowed_all(C.elements(F.col("key")), ["Ca", "Ti", "O"])).select("p_partkey", "key")
+    return labels.hard_mask(_compounds(spark, sf_dir), labels.allowed_all(C.elements(F.col("key")), ["Ca", "Ti", "O"])).select("p_partkey", "key")
 
 
 @query
@@ -389,7 +413,7 @@ def metric_stats(spark, sf_dir):
 
 @query
 def early_stop(spark, sf_dir):
-    return evaluate.learning_stop(_runs(spark, sf_dir).select("seed", "round", r6("acc").alias("value")), 3, 0.0)
+    return evaluate.learning_stop(_runs(spark, sf_dir).select("seed", "round", r6("acc").alias("value")), 3, 0.001)
 
 
 @query
@@ -417,43 +441,67 @@ def shift_top10(spark, sf_dir):
     return shift.worst_shifts(_shift(spark, sf_dir), 10).select("label", r6("shift_score").alias("shift_score"))
 
 
-#: Formulas with parentheses, repeats and large counts, and whether they can be neutral with STATES.
-FORMULAS = [(1, "BaTiO3"), (2, "Ca(TiO3)2"), (3, "La2Mg(SO4)2O"), (4, "Na20000Cl20000"), (5, "Fe3O4"), (6, "KFe2"), (7, "Sr1234Ti1234O3702")]
-STATES = [("Ba", [2]), ("Ti", [4, 3]), ("O", [-2]), ("Ca", [2]), ("La", [3]), ("Mg", [2]), ("S", [6, 4]), ("Na", [1]), ("Cl", [-1]), ("Fe", [2, 3]), ("K", [1]), ("Sr", [2])]
+#: Oxidation states of the elements below; the first is the one that elements take while another mixes its own.
+STATES = {"Ba": [2], "Ca": [2], "K": [1], "Ti": [4, 3], "Mg": [2], "Sr": [2], "Fe": [2, 3], "La": [3], "S": [6, 4], "O": [-2]}
+SEVERAL = [e for e, v in STATES.items() if len(v) > 1]
 
 
-def _formulas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FORMULAS, "id int, formula string").withColumn("counts", C.formula_counts(F.col("formula")))
+def _cycled(c: Column, *names: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+
+
+def _formulas(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
+    """A formula with two levels of parentheses for every part, and its counts: A a (B b (C c O d) m) n."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    number = lambda c: F.when(c > 1, c.cast("string")).otherwise("")
+    parts = [
+        _cycled(key, "Ba", "Ca", "K"), number((size * scale) % 120_000 + 1), F.lit("("), _cycled(size, "Ti", "Mg", "Sr"), number(key % 5 + 1),
+        F.lit("("), _cycled(key + size, "Fe", "La", "S"), number(key % 3 + 1), F.lit("O"), number(size % 7 + 1), F.lit(")"), number(key % 4 + 1), F.lit(")"), number(size % 3 + 1),
+    ]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(*parts).alias("formula"))
+    return rows.withColumn("counts", C.formula_counts(F.col("formula")))
 
 
 @query
 def formula_counts(spark, sf_dir):
-    return _formulas(spark).select("id", F.explode("counts").alias("element", "n"))
+    return _formulas(spark, sf_dir, 7919).select("p_partkey", F.explode("counts").alias("element", "n"))
 
 
 @query
 def round_gcd(spark, sf_dir):
-    return _formulas(spark).select("id", F.explode(C.rounded_counts(F.col("counts"))).alias("element", "n"))
+    rows = _formulas(spark, sf_dir, 7919)
+    return rows.select("p_partkey", F.explode(C.rounded_counts(F.col("counts"), C.has_several_states(F.col("counts"), SEVERAL))).alias("element", "n"))
 
 
 @query
 def oxi_neutral(spark, sf_dir):
-    reduced = _formulas(spark).select("id", C.rounded_counts(F.col("counts")).alias("counts"))
-    return labels.neutral(reduced, spark.createDataFrame(STATES, "element string, states array<int>"))
+    rows = _formulas(spark, sf_dir)
+    reduced = rows.select(F.col("p_partkey").alias("id"), C.rounded_counts(F.col("counts"), C.has_several_states(F.col("counts"), SEVERAL)).alias("counts"))
+    return labels.neutral(reduced, spark.createDataFrame(list(STATES.items()), "element string, states array<int>"))
 
 
-def _groups(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 231, numPartitions=1).select(F.col("id").cast("int").alias("sg"))
+@query
+def structure_filters(spark, sf_dir):
+    """Parts as structures: every seventh is disordered, every fifth a single element; duplicates by formula and group, the last one stays."""
+    key = F.col("p_partkey")
+    names = F.when(key % 5 == 0, F.array(F.lit("Fe"))).otherwise(F.array(_cycled(key, "Ba", "Ca", "K"), F.lit("O")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), (key % 7 != 0).alias("ordered"), names.alias("elements"), F.array_join(names, "").alias("formula"), F.col("p_size").alias("sg"))
+    kept = structures.compounds_only(structures.ordered_only(rows), F.col("elements"))
+    return structures.unique_structures(kept, "p_partkey")[0].select("formula", "sg", "p_partkey")
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 230 + 1).cast("int").alias("sg"))
 
 
 @query
 def crystal_system(spark, sf_dir):
-    return _groups(spark).select("sg", C.crystal_system(F.col("sg")).alias("system"))
+    return _groups(spark, sf_dir).select("p_partkey", "sg", C.crystal_system(F.col("sg")).alias("system"))
 
 
 @query
 def strain_class(spark, sf_dir):
-    return _groups(spark).select("sg", C.strain_class(F.col("sg")).alias("symmetry"))
+    return _groups(spark, sf_dir).select("p_partkey", "sg", C.strain_class(F.col("sg")).alias("symmetry"))
 
 
 @query
@@ -478,7 +526,7 @@ def scherrer(spark, sf_dir):
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = 10 + (F.col("p_partkey") * 7919) % 7000 / 100
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("pattern"), angle.alias("two_theta"), F.col("p_size").cast("double").alias("intensity"))
-    return rows.withColumn("sigma_cells", P.peak_width(F.col("two_theta"), F.lit(25.0)) / P.CELL)
+    return rows.withColumn("sigma_cells", P.peak_width(P.grid_angle(F.col("two_theta")), F.lit(25.0)) / P.CELL)
 
 
 @query
@@ -486,17 +534,55 @@ def render_patterns(spark, sf_dir):
     return render.rendered(_peaks(spark, sf_dir)).select("pattern", F.col("cell").cast("int").alias("cell"), r6("value").alias("value"))
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of brands as patterns, with the cell and symmetry that the brand's number stands for."""
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    one, two = F.floor(number / 10).cast("int"), number % 10
+    lattice = F.array(F.array(4.0 + 0.2 * one, F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), 4.5 + 0.2 * two, F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(5.0)))
+    hkl = F.array((F.col("p_partkey") % 3 + 1).cast("int"), (F.col("p_partkey") % 4).cast("int"), (F.col("p_size") % 3).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("pattern"), F.col("p_size").cast("double").alias("intensity"), hkl.alias("hkl"), lattice.alias("lattice"), C.strain_class(number).alias("symmetry"))
+    return rows.withColumn("two_theta", P.bragg_angle(F.col("hkl"), F.col("lattice")))
+
+
 @query
 def augment(spark, sf_dir):
-    effects = spark.createDataFrame([(e, k) for e in ("shift", "broadening", "mixed") for k in range(2)], "effect string, k int")
-    found = render.augmented(_peaks(spark, sf_dir), effects, 0.5, "7")
-    return found.groupBy("pattern").agg(F.count("*").alias("n"), r6(F.sum("two_theta")).alias("angles"), r6(F.avg("sigma_cells")).alias("sigma"))
+    """All effects over peaks: what the angles, intensities and widths of every augmented pattern add up to."""
+    effects = spark.createDataFrame([(e, 0) for e in render.EFFECTS], "effect string, k int")
+    found = render.augmented(_cells(spark, sf_dir), effects, "7")
+    return found.groupBy("pattern").agg(F.count("*").alias("n"), F.round(F.sum("two_theta"), 4).alias("angles"), F.round(F.sum("intensity"), 4).alias("intensities"), F.round(F.avg("sigma_cells"), 4).alias("sigma"))
+
+
+@query
+def noise(spark, sf_dir):
+    found = render.noisy(render.rendered(_peaks(spark, sf_dir)), "13")
+    return found.select("pattern", F.col("cell").cast("int").alias("cell"), r6("value").alias("value"))
+
+
+@query
+def impurity_pick(spark, sf_dir):
+    """One of the suppliers of another nation for every supplier, by hash."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("structure"), F.col("s_nationkey").alias("n"))
+    allowed = rows.crossJoin(rows.select(F.col("structure").alias("reference"), F.col("n").alias("m"))).where("n <> m")
+    found = render.picked_reference(allowed, "5", 2)
+    return found.select("structure", "k", "reference", r6(70.0 * P.pick("5-impurity", F.col("structure"), F.col("k"), n=100) / 99.0).alias("magnitude"))
+
+
+@query
+def cell_strain(spark, sf_dir):
+    """Lattice parameters after a strain that keeps the crystal system."""
+    strains = F.array(*((P.pick(f"s{k}", F.col("p_partkey"), n=100) - 50) / 1000.0 for k in range(6)))
+    cell = P.strained_cell(C.crystal_system(F.col("sg")), F.array(F.lit(4.0), F.lit(5.0), F.lit(6.0)), F.array(F.lit(80.0), F.lit(95.0), F.lit(100.0)), strains)
+    rows = _groups(spark, sf_dir).select("p_partkey", cell.alias("c"))
+    return rows.select("p_partkey", F.posexplode(F.concat("c.lengths", "c.angles")).alias("i", "x")).select("p_partkey", "i", r6("x").alias("x"))
 
 
 @query
 def texture(spark, sf_dir):
     hkl = F.array(F.col("p_partkey") % 5, F.col("p_partkey") % 3 + 1, F.col("p_size") % 4)
-    return table(spark, sf_dir, "part").select("p_partkey", r6(F.col("p_size") * P.texture_factor(hkl, F.array(F.lit(1), F.lit(0), F.lit(1)), 0.6)).alias("intensity"))
+    indices = F.when(F.col("p_partkey") % 2 == 0, hkl).otherwise(P.four_indices(hkl))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", indices.alias("hkl"))
+    direction = P.preferred_direction("3", F.col("p_partkey"), size=F.size("hkl"))
+    return rows.select("p_partkey", r6(F.col("p_size") * P.texture_factor(F.col("hkl"), direction, 0.6)).alias("intensity"))
 
 
 @query
@@ -507,12 +593,11 @@ def shift_angles(spark, sf_dir):
 
 @query
 def strain_tensor(spark, sf_dir):
-    names = ["s11", "s22", "s33", "s12", "s13", "s21", "s23", "s31", "s32"]
-    s = {n: P.pick(n, F.col("sg"), n=100) / 1000.0 for n in names}
-    rows = _groups(spark).select("sg", P.strain_tensor(C.strain_class(F.col("sg")), s).alias("t"))
+    s = {n: P.pick(n, F.col("p_partkey"), n=100) / 1000.0 for n in render.STRAINS}
+    rows = _groups(spark, sf_dir).select("p_partkey", P.strain_tensor(C.strain_class(F.col("sg")), s).alias("t"))
     cube = F.array(*(F.array(*(F.lit(4.0 if i == j else 0.0) for j in range(3))) for i in range(3)))
-    lattice = rows.select("sg", F.posexplode(P.strained_lattice(cube, F.col("t"))).alias("i", "row"))
-    return lattice.select("sg", "i", F.posexplode("row").alias("j", "x")).select("sg", "i", "j", r6("x").alias("x"))
+    lattice = rows.select("p_partkey", F.posexplode(P.strained_lattice(cube, F.col("t"))).alias("i", "row"))
+    return lattice.select("p_partkey", "i", F.posexplode("row").alias("j", "x")).select("p_partkey", "i", "j", r6("x").alias("x"))
 
 
 @query
@@ -525,9 +610,9 @@ def impurity_mix(spark, sf_dir):
 
 @query
 def near_dup_anti(spark, sf_dir):
-    sides = [(F.col("n_nationkey") * 0.004).alias("a"), F.col("n_regionkey").cast("double").alias("b")]
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), *sides)
-    return render.far_from_all(nations, nations, ["a", "b"])
+    sides = [(F.col("s_suppkey") * 0.004).alias("a"), F.col("s_nationkey").cast("double").alias("b")]
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), *sides)
+    return render.far_from_all(rows, rows, ["a", "b"])
 
 
 def _badge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,4 +639,9 @@ def badge_min_d(spark, sf_dir):
 
 @query
 def badge_select(spark, sf_dir):
-    return active.k_centres(_badge(spark, sf_dir), "label", 10)
+    return active.badge_select(_badge(spark, sf_dir), "label", 8, 11)
+
+
+@query
+def badge_select_global(spark, sf_dir):
+    return active.badge_select(_badge(spark, sf_dir), None, 6, 12)

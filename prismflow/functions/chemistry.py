@@ -14,44 +14,48 @@ def elements(key: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.split_part(key, F.lit("|"), F.lit(1)), F.lit("([A-Z][a-z]?)"), 1))
 
 
-def flat_formula(formula: Column, depth: int = 2) -> Column:
-    """Parentheses multiplied out, innermost first, up to ``depth`` levels."""
-    for _ in range(depth):
-        inner = F.regexp_extract(formula, r"\(([^()]*)\)(\d*)", 1)
-        times = F.coalesce(F.regexp_extract(formula, r"\(([^()]*)\)(\d*)", 2).try_cast("int"), F.lit(1))
-        pairs = F.transform(
-            F.regexp_extract_all(inner, F.lit(r"([A-Z][a-z]?\d*)"), 1),
-            lambda p: F.concat(F.regexp_extract(p, "^([A-Za-z]+)", 1), (F.coalesce(F.regexp_extract(p, r"(\d+)$", 1).try_cast("int"), F.lit(1)) * times).cast("string")),
-        )
-        start = F.instr(formula, F.regexp_extract(formula, r"(\([^()]*\)\d*)", 1))
-        group = F.regexp_extract(formula, r"(\([^()]*\)\d*)", 1)
-        formula = F.when(group == "", formula).otherwise(
-            F.concat(F.substring(formula, F.lit(1), start - 1), F.array_join(pairs, ""), F.substring(formula, start + F.length(group), F.length(formula)))
-        )
-    return formula
-
-
 def formula_counts(formula: Column) -> Column:
-    """map<element, count>; an element that occurs more than once is summed."""
-    flat = flat_formula(formula)
-    symbols = F.regexp_extract_all(flat, F.lit(r"([A-Z][a-z]?)(\d*)"), 1)
-    numbers = F.transform(F.regexp_extract_all(flat, F.lit(r"([A-Z][a-z]?)(\d*)"), 2), lambda n: F.coalesce(n.try_cast("int"), F.lit(1)))
-    both = F.arrays_zip(symbols.alias("symbol"), numbers.alias("number"))
-    sums = F.transform(F.array_distinct(symbols), lambda s: F.aggregate(both, F.lit(0), lambda a, z: a + F.when(z["symbol"] == s, z["number"]).otherwise(0)))
-    return F.map_from_arrays(F.array_distinct(symbols), sums)
+    """map<element, count> of a formula with parentheses of any depth; an element that occurs more than once is summed.
+    Anything but symbols, whole numbers and closed parentheses is an error."""
+    tokens = F.reverse(F.regexp_extract_all(formula, F.lit(r"([A-Z][a-z]?\d*|\(|\)\d*)"), 1))
+    number = lambda t: F.coalesce(F.regexp_extract(t, r"(\d+)$", 1).try_cast("bigint"), F.lit(1).cast("bigint"))
+    start = F.from_json(F.lit('{"stack":[1],"parts":[]}'), "struct<stack:array<bigint>,parts:array<struct<symbol:string,number:bigint>>>")
+
+    # Read from the end: a closing parenthesis multiplies all up to its opening one.
+    def step(done: Column, token: Column) -> Column:
+        stack, times = done["stack"], F.element_at(done["stack"], -1)
+        opened = F.struct(F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))).alias("stack"), done["parts"].alias("parts"))
+        closed = F.struct(F.concat(stack, F.array(times * number(token))).alias("stack"), done["parts"].alias("parts"))
+        part = F.struct(F.regexp_extract(token, "^([A-Za-z]+)", 1).alias("symbol"), (times * number(token)).alias("number"))
+        atom = F.struct(stack.alias("stack"), F.concat(done["parts"], F.array(part)).alias("parts"))
+        return F.when(F.size(stack) == 0, done).when(token == "(", opened).when(token.startswith(")"), closed).otherwise(atom)
+
+    read = F.aggregate(tokens, start, step)
+    whole = (F.array_join(F.reverse(tokens), "") == formula) & (F.size(read["stack"]) == 1)
+    parts = F.reverse(F.when(whole, read["parts"]).otherwise(F.raise_error(F.concat(F.lit("no formula: "), formula)).cast("array<struct<symbol:string,number:bigint>>")))
+    symbols = F.array_distinct(F.transform(parts, lambda z: z["symbol"]))
+    sums = F.transform(symbols, lambda s: F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, z: total + F.when(z["symbol"] == s, z["number"]).otherwise(0)).cast("int"))
+    return F.map_from_arrays(symbols, sums)
 
 
 def gcd_of(numbers: Column) -> Column:
-    """Greatest common divisor of an array of positive integers, by trial from the smallest."""
-    least = F.array_min(numbers)
-    return F.array_max(F.filter(F.sequence(F.lit(1), least), lambda d: F.forall(numbers, lambda n: n % d == 0)))
+    """Greatest common divisor of an array of positive integers, by Euclid's steps (at most 45 for a pair of ints)."""
+    pair = lambda a, b: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    divide = lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], F.try_mod(s["a"], s["b"])))
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda done, n: F.aggregate(F.sequence(F.lit(1), F.lit(45)), pair(n, done), divide)["a"])
 
 
-def rounded_counts(counts: Column) -> Column:
-    """Large counts rounded by magnitude (half to even), then divided by their common divisor."""
+def rounded_counts(counts: Column, several: Column) -> Column:
+    """Where some element has ``several`` oxidation states: large counts rounded by magnitude (half to even), then divided
+    by their common divisor. Other formulas stay as they are."""
     step = F.transform_values(counts, lambda k, v: F.when(v > 100000, F.bround(v, -3)).when(v > 10000, F.bround(v, -2)).when(v > 1000, F.bround(v, -1)).otherwise(v).cast("int"))
     divisor = gcd_of(F.map_values(step))
-    return F.transform_values(step, lambda k, v: (v / divisor).cast("int"))
+    return F.when(several, F.transform_values(step, lambda k, v: (v / divisor).cast("int"))).otherwise(counts)
+
+
+def has_several_states(counts: Column, several: list[str]) -> Column:
+    """Whether an element of the formula is among those with more than one oxidation state."""
+    return F.arrays_overlap(F.map_keys(counts), F.array(*map(F.lit, several)).cast("array<string>"))
 
 
 def crystal_system(group: Column) -> Column:

@@ -21,6 +21,11 @@ def grid_cell(angle: Column) -> Column:
     return F.least(F.lit(POINTS - 1), F.greatest(F.lit(0), F.ceil((angle - LOW) / STEP - 0.5))).cast("int")
 
 
+def grid_angle(angle: Column) -> Column:
+    """The angle of the nearest grid cell, at which widths are taken."""
+    return LOW + grid_cell(angle) * STEP
+
+
 def peak_width(angle: Column, domain: Column, inside_root: bool = False) -> Column:
     """Standard deviation in degrees of a peak of a domain size in nm; ``inside_root`` is the form of the strain and texture effects."""
     half = 0.5 * F.degrees(SHAPE * WAVELENGTH / (F.cos(F.radians(angle / 2)) * domain))
@@ -38,6 +43,55 @@ def texture_factor(hkl: Column, direction: Column, max_texture: float) -> Column
     return (1 - max_texture) + max_texture * F.abs(F.try_divide(inner, norm(hkl) * norm(direction)))
 
 
+def preferred_direction(seed: str, *keys: Column, size: Column) -> Column:
+    """A non-zero vector of zeros and ones of a given size (4 for indices of hexagonal cells), fixed by seed and keys."""
+    bits = pick(seed, *keys, n=1 << 32) % (F.pow(F.lit(2.0), size).cast("long") - 1) + 1
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: (F.floor(bits / F.pow(F.lit(2.0), i)) % 2).cast("int"))
+
+
+def four_indices(hkl: Column) -> Column:
+    """(h, k, i, l) of (h, k, l) with i = -h - k."""
+    h, k, at_l = (F.element_at(hkl, i) for i in (1, 2, 3))
+    return F.array(h, k, -h - k, at_l)
+
+
+def cell_matrix(lengths: Column, angles: Column) -> Column:
+    """Rows of a cell's vectors from its lengths and angles in degrees: c along z, a in the x-z plane."""
+    a, b, c = (F.element_at(lengths, i).cast("double") for i in (1, 2, 3))
+    alpha, beta, gamma = (F.radians(F.element_at(angles, i).cast("double")) for i in (1, 2, 3))
+    turned = (F.cos(alpha) * F.cos(beta) - F.cos(gamma)) / (F.sin(alpha) * F.sin(beta))
+    turned = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), turned)))
+    zero = F.lit(0.0)
+    return F.array(
+        F.array(a * F.sin(beta), zero, a * F.cos(beta)),
+        F.array(-b * F.sin(alpha) * F.cos(turned), b * F.sin(alpha) * F.sin(turned), b * F.cos(alpha)),
+        F.array(zero, zero, c),
+    )
+
+
+def bragg_angle(hkl: Column, lattice: Column) -> Column:
+    """Scattering angle (two theta, degrees) of a reflection (three or four indices) of a cell in angstrom; null if there is none."""
+    at = lambda i, j: F.element_at(F.element_at(lattice, i), j)
+    cross = lambda i, j: [at(i, 2) * at(j, 3) - at(i, 3) * at(j, 2), at(i, 3) * at(j, 1) - at(i, 1) * at(j, 3), at(i, 1) * at(j, 2) - at(i, 2) * at(j, 1)]
+    bc, ca, ab = cross(2, 3), cross(3, 1), cross(1, 2)
+    volume = sum((at(1, k + 1) * bc[k] for k in range(1, 3)), at(1, 1) * bc[0])
+    h, k, at_l = F.element_at(hkl, 1), F.element_at(hkl, 2), F.element_at(hkl, -1)
+    q = [(h * x + k * y + at_l * z) / volume for x, y, z in zip(bc, ca, ab, strict=True)]
+    sine = 10 * WAVELENGTH / 2 * F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])
+    return F.when(sine <= 1, 2 * F.degrees(F.asin(F.least(sine, F.lit(1.0)))))
+
+
+def strained_cell(system: Column, lengths: Column, angles: Column, strains: Column) -> Column:
+    """struct(lengths, angles) after relative changes (six numbers: a, b, c, alpha, beta, gamma) of those lattice parameters that
+    the crystal system leaves free; the others follow, so the symmetry stays."""
+    of = lambda i: 1 + F.element_at(strains, i)
+    uniaxial = system.isin("tetragonal", "hexagonal", "trigonal")
+    b = F.when((system == "cubic") | uniaxial, of(1)).otherwise(of(2))
+    c = F.when(system == "cubic", of(1)).otherwise(of(3))
+    free = [F.when(system == "triclinic", of(4)).otherwise(1.0), F.when(system.isin("triclinic", "monoclinic"), of(5)).otherwise(1.0), F.when(system == "triclinic", of(6)).otherwise(1.0)]
+    return F.struct(F.array(*(F.element_at(lengths, i + 1) * x for i, x in enumerate((of(1), b, c)))).alias("lengths"), F.array(*(F.element_at(angles, i + 1) * x for i, x in enumerate(free))).alias("angles"))
+
+
 def strain_tensor(symmetry: Column, s: dict[str, Column]) -> Column:
     """3 x 3 strain by symmetry class from entries s11, s12, ... (columns)."""
     zero = F.lit(0.0)
@@ -58,13 +112,11 @@ def strain_tensor(symmetry: Column, s: dict[str, Column]) -> Column:
 def strained_lattice(lattice: Column, tensor: Column) -> Column:
     """lattice x (identity + tensor)."""
 
-    def cell(i: Column, j: Column) -> Column:
-        terms = (F.element_at(F.element_at(lattice, i), k) * (F.element_at(F.element_at(tensor, F.lit(k)), j) + F.when(j == k, 1.0).otherwise(0.0)) for k in (1, 2, 3))
-        a, b, c = terms
-        return a + b + c
+    def cell(i: int, j: int) -> Column:
+        terms = [F.element_at(F.element_at(lattice, i), k) * (F.element_at(F.element_at(tensor, k), j) + float(j == k)) for k in (1, 2, 3)]
+        return terms[0] + terms[1] + terms[2]
 
-    side = F.sequence(F.lit(1), F.lit(3))
-    return F.transform(side, lambda i: F.transform(side, lambda j: cell(i, j)))
+    return F.array(*(F.array(*(cell(i, j) for j in (1, 2, 3))) for i in (1, 2, 3)))
 
 
 def impurity_mixed(clean: Column, impurity: Column, magnitude: Column) -> Column:
@@ -77,3 +129,10 @@ def pick(seed: str, *keys: Column, n: int) -> Column:
     """A number from 0 to n - 1 fixed by seed and keys: the same in any engine with MD5."""
     text = F.md5(F.concat_ws("-", F.lit(seed), *(k.cast("string") for k in keys)).cast("binary"))
     return F.conv(F.substring(text, 1, 8), 16, 10).cast("long") % n
+
+
+def gauss(seed: str, *keys: Column) -> Column:
+    """A normal number fixed by seed and keys (Box and Muller's form over two parts of an MD5)."""
+    text = F.md5(F.concat_ws("-", F.lit(seed), *(k.cast("string") for k in keys)).cast("binary"))
+    one, two = ((F.conv(F.substring(text, at, 8), 16, 10).cast("double") + 0.5) / 2.0**32 for at in (1, 9))
+    return F.sqrt(-2 * F.ln(one)) * F.cos(2 * math.pi * two)

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismflow import storage
 from prismflow.operators.distances import badge_distance
 
 
+#: Groups whose newest centres are handed to every task; more are joined.
+FEW_GROUPS = 10_000
+
+
 def least_distance(rows: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, d): least distance of every row (id, p, h) to the chosen centres (a small table of the same form)."""
     picked = centres.select(F.col("p").alias("pc"), F.col("h").alias("hc"))
     return rows.join(F.broadcast(picked)).groupBy("id").agg(F.min(badge_distance("p", "h", "pc", "hc")).alias("d"))
 
 
-def k_centres(rows: DataFrame, group: str, k: int, digits: int = 9) -> DataFrame:
-    """(group, rank, id): greedy farthest-first choice of k rows per group.
+def _uniform(seed: int | str, step: int) -> Column:
+    """A number in (0, 1) fixed by seed, step and id."""
+    text = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(step)), F.col("id").cast("string")).cast("binary"))
+    return (F.conv(F.substring(text, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
 
-    The first is the row with the largest norm, then always the row farthest from those chosen; norms and distances
-    are rounded to ``digits`` and ties go to the lower id. Groups run in parallel; one group is sequential by nature.
-    """
 
-    def choose(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("id")
-        ids = table["id"].to_numpy()
-        p, h = (np.stack(table[c].to_numpy()).astype(float) for c in ("p", "h"))
-        square = (p**2).sum(axis=1) * (h**2).sum(axis=1)
-        chosen = [int(np.argmax(np.round(np.sqrt(square), digits)))]
-        near = np.full(len(ids), np.inf)
-        while len(chosen) < min(k, len(ids)):
-            c = chosen[-1]
-            d = np.sqrt(np.maximum(square + square[c] - 2 * (p @ p[c]) * (h @ h[c]), 0))
-            near = np.minimum(near, np.round(d, digits))
-            near[chosen] = -1
-            chosen.append(int(np.argmax(near)))
-        return pd.DataFrame({group: table[group].iloc[0], "rank": np.arange(1, len(chosen) + 1), "id": ids[chosen]})
-
-    return rows.select(group, F.col("id").cast("long"), "p", "h").groupBy(group).applyInPandas(choose, f"{group} int, rank int, id long")
+def _norm(vector: str) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x)
+
+
+def badge_select(rows: DataFrame, group: str | None, k: int, seed: int, digits: int = 9) -> DataFrame:
+    """(group, rank, id): k rows per group, or of all rows without one, by squared-distance sampling.
+
+    ``rows`` has id, p and h. The first is the row with the largest norm (rounded to ``digits``, ties to the lower id). Each next one is drawn with
+    probability proportional to the square of its distance to the nearest one chosen: the row with the least
+    -ln(u) / d^2, u fixed by seed, step and id, which is a draw with those odds. If all distances are zero any row left may be drawn.
+
+    Steps follow each other; every step is a distributed aggregate over all groups, and only distances are kept between steps.
+    """
+    key = F.lit(0) if group is None else F.col(group)
+    rows = rows.select(key.alias("g"), F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"), F.col("h").cast("array<double>").alias("h"))
+    norm = F.round(F.sqrt(_norm("p") * _norm("h")), digits)
+    state = storage.cut(rows.withColumn("d2", F.lit(None).cast("double")).withColumn("rank", F.lit(None).cast("int")))
+    pick = state.groupBy("g").agg(F.min_by(F.struct("id", "p", "h"), F.struct((-norm).alias("a"), F.col("id").alias("b"))).alias("c"))
+    few = pick.count() <= FEW_GROUPS
+    for step in range(1, k + 1):
+        if step > 1:
+            drawn = F.struct((F.col("d2") == 0).alias("a"), F.when(F.col("d2") > 0, -F.ln(_uniform(seed, step)) / F.col("d2")).otherwise(_uniform(seed, step)).alias("b"), F.col("id").alias("c"))
+            pick = state.where("rank is null").groupBy("g").agg(F.min_by(F.struct("id", "p", "h"), drawn).alias("c"))
+        near = badge_distance("p", "h", "c.p", "c.h")
+        near = F.round(near * near, digits)
+        chosen = F.when(F.col("id") == F.col("c.id"), step)
+        updated = state.join(F.broadcast(pick) if few else pick, "g", "left").select("g", "id", "p", "h", F.coalesce(F.least("d2", near), near, "d2").alias("d2"), F.coalesce("rank", chosen).alias("rank"))
+        last, state = state, storage.cut(updated)
+        storage.drop(last)
+    found = state.where("rank is not null").select("g", "rank", "id")
+    return found.drop("g") if group is None else found.withColumnRenamed("g", group)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismflow.functions import vectors as V
@@ -90,11 +90,21 @@ def metric_statistics(runs: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
-def learning_stop(history: DataFrame, patience: int, delta: float) -> DataFrame:
-    """Per seed: the first round at which ``patience`` rounds in a row stayed below the best value so far plus ``delta``; null if none."""
-    order = Window.partitionBy("seed").orderBy("round")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    better = F.coalesce(F.col("value") >= F.max("value").over(before) + delta, F.lit(True))
-    counted = history.withColumn("n", F.row_number().over(order)).withColumn("better", better)
-    waited = counted.withColumn("since", F.col("n") - F.max(F.when(F.col("better"), F.col("n"))).over(upto))
-    return waited.groupBy("seed").agg(F.min(F.when(F.col("since") >= patience, F.col("round"))).alias("stop_round"))
+def learning_stop(history: DataFrame, patience: int, delta: float = 0.001) -> DataFrame:
+    """Per seed: the first round at which ``patience`` rounds, counted since the best value last rose by ``delta`` or more, did not; null if none.
+
+    The best value rises only with such a round, so many small steps do not add up to one. A run's rounds are few and are folded in order.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("round", F.col("value").cast("double").alias("value"))))
+    runs = history.groupBy("seed").agg(ordered.alias("rounds"))
+    kind = f"struct<best:double,waited:int,stop:{history.schema['round'].dataType.simpleString()}>"
+    state = lambda best, waited, stop: F.struct(best.alias("best"), waited.cast("int").alias("waited"), stop.alias("stop")).cast(kind)
+
+    def step(done: Column, x: Column) -> Column:
+        waited = done["waited"] + 1
+        better = done["best"].isNull() | (x["value"] >= done["best"] + delta)
+        return F.when(better, state(x["value"], F.lit(0), done["stop"])).otherwise(state(done["best"], waited, F.coalesce(done["stop"], F.when(waited >= patience, x["round"]))))
+
+    start = F.lit(None).cast(kind)
+    start = state(start["best"], F.lit(0), start["stop"])
+    return runs.select("seed", F.aggregate("rounds", start, step)["stop"].alias("stop_round"))

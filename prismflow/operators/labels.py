@@ -74,9 +74,27 @@ def dense_ids(rows: DataFrame, name: str) -> DataFrame:
 
 
 def class_gaps(labels: DataFrame, label: str) -> DataFrame:
-    """One row: number of classes (largest label in use + 1) and the sorted ids below it that nothing uses."""
-    used = labels.agg(F.max(label).alias("top"), F.collect_set(label).alias("used"))
-    return used.select((F.col("top") + 1).alias("n_classes"), F.array_sort(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long")), F.transform("used", lambda x: x.cast("long")))).alias("gaps"))
+    """(n_classes, gap): for every id below the number of classes (largest label in use + 1) that nothing uses. Only that number reaches the driver."""
+    top = labels.agg(F.max(F.col(label).cast("long"))).first()[0]
+    used = labels.select(F.col(label).cast("long").alias("gap")).distinct()
+    every = labels.sparkSession.range(0, 0 if top is None else top + 1).toDF("gap")
+    return every.join(used, "gap", "left_anti").select(F.lit(0 if top is None else top + 1).cast("long").alias("n_classes"), "gap")
+
+
+def check_range(rows: DataFrame, label: str, n_classes: int) -> DataFrame:
+    """``rows`` if all labels are 0 to ``n_classes`` - 1; otherwise an error that names the range found."""
+    low, high, missing = rows.agg(F.min(label), F.max(label), F.count_if(F.col(label).isNull())).first()
+    if missing or (low is not None and (low < 0 or high >= n_classes)):
+        raise ValueError(f"class labels must be 0 to {n_classes - 1}, got {low} to {high}" + (f" and {missing} nulls" if missing else ""))
+    return rows
+
+
+def hard_mask(classes: DataFrame, allowed: Column) -> DataFrame:
+    """The ``classes`` that are ``allowed``; an error if none is."""
+    kept = classes.where(allowed)
+    if not kept.limit(1).count():
+        raise ValueError("the mask leaves no class")
+    return kept
 
 
 def allowed_all(elements: Column, required: list[str], only_allowed: bool = False) -> Column:

@@ -6,11 +6,13 @@ normalisation and ReLU; a last dense layer. Training is outside this library; we
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow import storage
@@ -37,19 +39,42 @@ def forward(weights: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return z @ weight.T + bias, flat, z
 
 
-def predicted(patterns: DataFrame, weights: dict, id_col: str, vector_col: str, batch: int = 128) -> DataFrame:
-    """(id, logits, features): logits and deep features in one pass over the patterns."""
+def from_state(state: dict[str, np.ndarray], padding: int = 0) -> dict:
+    """Weights for ``forward`` out of named arrays: conv.K.weight and .bias, dense.K.weight, .bias, .gain, .offset, .mean and .var, last.weight and .bias.
+
+    A common prefix (``model.`` and the like) is dropped; names that the network does not have are ignored, missing ones are an error.
+    """
+    plain = {re.sub(r"^.*?(?=(?:conv|dense|last)\.)", "", k): v for k, v in state.items()}
+    numbers = lambda part: sorted({int(m[1]) for k in plain if (m := re.match(rf"{part}\.(\d+)\.weight$", k))})
+    return {
+        "conv": [(plain[f"conv.{k}.weight"], plain[f"conv.{k}.bias"], int(plain.get(f"conv.{k}.padding", padding))) for k in numbers("conv")],
+        "dense": [tuple(plain[f"dense.{k}.{n}"] for n in ("weight", "bias", "gain", "offset", "mean", "var")) for k in numbers("dense")],
+        "last": (plain["last.weight"], plain["last.bias"]),
+    }
+
+
+def load_weights(spark: SparkSession, path: str, padding: int = 0) -> dict:
+    """Weights of one checkpoint, an archive of named arrays that Spark can read; pickled arrays are refused."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()
+    if content is None:
+        raise FileNotFoundError(path)
+    with np.load(io.BytesIO(content[0]), allow_pickle=False) as arrays:
+        return from_state(dict(arrays), padding)
+
+
+def predicted(patterns: DataFrame, weights: dict, id_col: str, vector_col: str, batch: int = 128, flat: bool = False) -> DataFrame:
+    """(id, logits, features): logits and deep features in one pass over the patterns; with ``flat`` also the flattened output of the convolutions."""
     storage.bounded_batches(patterns.sparkSession)
     shared = patterns.sparkSession.sparkContext.broadcast(weights)
     lists = pa.list_(pa.float64())
+    names = ["id", "logits", "features", *(["flattened"] if flat else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for a in range(0, rows.num_rows, batch):
                 part = rows.slice(a, batch)
-                x = np.array(part.column(1).to_pylist(), float)
-                logits, _, deep = forward(shared.value, x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logits.tolist(), lists), pa.array(deep.tolist(), lists)], ["id", "logits", "features"])
+                logits, inner, deep = forward(shared.value, np.array(part.column(1).to_pylist(), float))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.tolist(), lists) for x in (logits, deep, *([inner] if flat else [])))], names)
 
     chosen = patterns.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>"))
-    return chosen.mapInArrow(run, "id long, logits array<double>, features array<double>")
+    return chosen.mapInArrow(run, "id long, " + ", ".join(f"{n} array<double>" for n in names[1:]))

@@ -76,3 +76,17 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def tagged_union(source: DataFrame, target: DataFrame) -> DataFrame:
     """Both domains with ``domain`` 0 and 1."""
     return source.withColumn("domain", F.lit(0)).unionByName(target.withColumn("domain", F.lit(1)))
+
+
+def first_seen(rows: DataFrame, label: str, order: str) -> DataFrame:
+    """(label, first) of the distinct labels, in the order of their first appearance."""
+    return rows.groupBy(label).agg(F.min(order).alias("first")).orderBy("first", label)
+
+
+def aligned(samples: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Samples with their labels by an explicit key; a sample without a label, a label without a sample or a repeated key is an error."""
+    sides = samples.select(key, F.lit(1).alias("s"), F.lit(0).alias("t")).unionAll(labels.select(key, F.lit(0).alias("s"), F.lit(1).alias("t")))
+    bad = sides.groupBy(key).agg(F.sum("s").alias("s"), F.sum("t").alias("t")).where("s <> 1 or t <> 1").orderBy(key).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].s} samples and {bad[0].t} labels for {bad[0][key]!r}")
+    return samples.join(labels, key)

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries; hand-worked values where a formula has to be parsed."""
+"""DuckDB SQL for the registered queries."""
 
 from __future__ import annotations
 
@@ -45,9 +45,10 @@ _KEY = """k AS (SELECT p_partkey, p_size, (['Ba2','Ca','Sr','La2'])[p_partkey %
 _SPLIT = "CASE WHEN rank <= floor(n * 0.8) THEN 'train' WHEN rank <= floor(n * 0.9) THEN 'val' ELSE 'test' END"
 _WIDTH = "(0.5 * degrees(0.9 * 0.154184 / (cos(radians({a} / 2)) * {d})))"
 _MAXCELL = f"CAST(least(4500, greatest(0, ceil(({{a}} - 10.0::DOUBLE) / {STEP} - 0.5))) AS INTEGER)"
+_SNAP = f"(10.0::DOUBLE + {_MAXCELL} * {STEP})"
 _STRAT = "strat AS (SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7-' || vec_id), vec_id) AS r FROM embeddings) WHERE r <= 15)"
 _FACTOR = "(1 / (2 * ln(2)))"
-_PEAKS = f"pk AS (SELECT p_brand AS pattern, 10 + (p_partkey * 7919) % 7000 / 100 AS a, p_size::DOUBLE AS intensity FROM part), pks AS (SELECT *, sqrt{_FACTOR} * {_WIDTH.format(a='a', d='25.0')} / (70.0::DOUBLE / 4501) AS s FROM pk)"
+_PEAKS = f"pk AS (SELECT p_brand AS pattern, 10 + (p_partkey * 7919) % 7000 / 100 AS a, p_size::DOUBLE AS intensity FROM part), pks AS (SELECT *, sqrt{_FACTOR} * {_WIDTH.format(a=_SNAP.format(a='a'), d='25.0')} / (70.0::DOUBLE / 4501) AS s FROM pk)"
 _CLASS = """CASE WHEN sg BETWEEN 195 AND 230 THEN 'cubic' WHEN sg BETWEEN 16 AND 75 THEN 'orthorhombic' WHEN sg BETWEEN 3 AND 15 THEN 'monoclinic' WHEN sg <= 2 THEN 'triclinic'
   WHEN sg BETWEEN 76 AND 82 OR sg BETWEEN 143 AND 148 OR sg BETWEEN 168 AND 174 THEN 'low-sym hexagonal/tetragonal' ELSE 'high-sym hexagonal/tetragonal' END"""
 
@@ -56,20 +57,83 @@ def _pick(seed: str, key: str, n: int) -> str:
     return f"(CAST('0x' || substr(md5('{seed}-' || {key}), 1, 8) AS BIGINT) % {n})"
 
 
+_ROWS = {
+    "cubic": ("s11", "0", "0", "0", "s11", "0", "0", "0", "s11"),
+    "high-sym hexagonal/tetragonal": ("s11", "0", "0", "0", "s11", "0", "0", "0", "s33"),
+    "low-sym hexagonal/tetragonal": ("s11", "s12", "0", "-s12", "s22", "0", "0", "0", "s33"),
+    "orthorhombic": ("s11", "0", "0", "0", "s22", "0", "0", "0", "s33"),
+    "monoclinic": ("s11", "0", "0", "0", "s22", "s23", "0", "s23", "s33"),
+    "triclinic": ("s11", "s12", "s13", "s21", "s22", "s23", "s31", "s32", "s33"),
+}
+_SG = "g AS (SELECT p_partkey, p_size, CAST(p_partkey % 230 + 1 AS INTEGER) AS sg FROM part)"
+
+
+def _tensor(symmetry: str, value) -> str:
+    """3 x 3 entries in a list by symmetry class; ``value`` gives the SQL of an entry by its name."""
+    cell = lambda x: "0.0" if x == "0" else f"-({value(x[1:])})" if x[0] == "-" else f"({value(x)})"
+    return f"CASE {symmetry} " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(cell, v))}]" for k, v in _ROWS.items()) + " END"
+
+
 def _strain() -> str:
-    s = {n: f"({_pick(n, 'sg', 100)} / 1000.0::DOUBLE)" for n in ("s11", "s22", "s33", "s12", "s13", "s21", "s23", "s31", "s32")}
-    rows = {
-        "cubic": ("s11", "0", "0", "0", "s11", "0", "0", "0", "s11"),
-        "high-sym hexagonal/tetragonal": ("s11", "0", "0", "0", "s11", "0", "0", "0", "s33"),
-        "low-sym hexagonal/tetragonal": ("s11", "s12", "0", "-s12", "s22", "0", "0", "0", "s33"),
-        "orthorhombic": ("s11", "0", "0", "0", "s22", "0", "0", "0", "s33"),
-        "monoclinic": ("s11", "0", "0", "0", "s22", "s23", "0", "s23", "s33"),
-        "triclinic": ("s11", "s12", "s13", "s21", "s22", "s23", "s31", "s32", "s33"),
-    }
-    cell = lambda x: "0.0" if x == "0" else f"-{s[x[1:]]}" if x[0] == "-" else s[x]
-    cases = " ".join(f"WHEN '{k}' THEN [{', '.join(map(cell, v))}]" for k, v in rows.items())
-    return f"""WITH g AS (SELECT CAST(unnest(range(1, 231)) AS INTEGER) AS sg), c AS (SELECT sg, {_CLASS} AS c FROM g), t AS (SELECT sg, CASE c {cases} END AS t FROM c)
-SELECT sg, CAST(k // 3 AS INTEGER) AS i, CAST(k % 3 AS INTEGER) AS j, round(4.0 * (t[k + 1] + CASE WHEN k // 3 = k % 3 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS x FROM t, range(0, 9) r(k)"""
+    return f"""WITH {_SG}, c AS (SELECT p_partkey, {_CLASS} AS c FROM g), t AS (SELECT p_partkey, {_tensor('c', lambda n: f"{_pick(n, 'p_partkey', 100)} / 1000.0::DOUBLE")} AS t FROM c)
+SELECT p_partkey, CAST(k // 3 AS INTEGER) AS i, CAST(k % 3 AS INTEGER) AS j, round(4.0 * (t[k + 1] + CASE WHEN k // 3 = k % 3 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS x FROM t, range(0, 9) r(k)"""
+
+
+def _bragg(m: str, h: str, k: str, l: str) -> str:
+    """Scattering angle of a reflection of a cell given as a list of nine numbers."""
+    at = lambda i, j: f"{m}[{3 * i + j + 1}]"
+    cross = lambda a, b: [f"({at(a, (x + 1) % 3)} * {at(b, (x + 2) % 3)} - {at(a, (x + 2) % 3)} * {at(b, (x + 1) % 3)})" for x in range(3)]
+    bc, ca, ab = cross(1, 2), cross(2, 0), cross(0, 1)
+    volume = "(" + " + ".join(f"{at(0, x)} * {bc[x]}" for x in range(3)) + ")"
+    q = [f"(({h} * {bc[x]} + {k} * {ca[x]} + {l} * {ab[x]}) / {volume})" for x in range(3)]
+    return f"2 * degrees(asin(0.7709::DOUBLE * sqrt({' + '.join(f'{x} * {x}' for x in q)})))"
+
+
+def _augment() -> str:
+    key = "pattern || '-' || e || '-0'"
+    share = lambda what, n: f"({_pick(f'7-{what}', key, n)} / {n - 1}.0::DOUBLE)"
+    entry = lambda n: f"0.03::DOUBLE * (2 * {share(n, 1000)} - 1)"
+    moved = "[" + ", ".join(f"l[{3 * (k // 3) + 1}] * (t[{k % 3 + 1}] + {float(k % 3 == 0)}) + l[{3 * (k // 3) + 2}] * (t[{k % 3 + 4}] + {float(k % 3 == 1)}) + l[{3 * (k // 3) + 3}] * (t[{k % 3 + 7}] + {float(k % 3 == 2)})" for k in range(9)) + "]"
+    dot = " + ".join(f"{x} * (bits // {2**i} % 2)" for i, x in enumerate("hkl"))
+    ones = " + ".join(f"bits // {2**i} % 2" for i in range(3))
+    has = lambda *e: f"e IN ({', '.join(repr(x) for x in (*e, 'mixed'))})"
+    width = _WIDTH.format(a=_SNAP.format(a="a2"), d="dom")
+    return f"""WITH b AS (SELECT p_brand AS pattern, p_size::DOUBLE AS y, p_partkey % 3 + 1 AS h, p_partkey % 4 AS k, p_size % 3 AS l_, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) // 10 AS d1, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) % 10 AS d2 FROM part),
+c AS (SELECT pattern, y, h, k, l_, [4.0 + 0.2::DOUBLE * d1, 0.0, 0.0, 0.0, 4.5 + 0.2::DOUBLE * d2, 0.0, 0.0, 0.0, 5.0] AS l, d1 * 10 + d2 AS sg FROM b),
+f AS (SELECT *, {_CLASS} AS sym FROM c, (VALUES ('strain'), ('shift'), ('broadening'), ('texture'), ('impurity'), ('mixed')) v(e)),
+m AS (SELECT *, {_pick('7-texture', key, 1 << 32)} % 7 + 1 AS bits, {_tensor('sym', entry)} AS t FROM f),
+s AS (SELECT *, {moved} AS w FROM m),
+a AS (SELECT *, CASE WHEN {has('strain')} THEN {_bragg('w', 'h', 'k', 'l_')} ELSE {_bragg('l', 'h', 'k', 'l_')} END + CASE WHEN {has('shift')} THEN 0.5 * (2 * {share('shift', 1000)} - 1) ELSE 0.0 END AS a2,
+  y * CASE WHEN {has('texture')} THEN 0.5 + 0.5 * abs(({dot.replace(' l ', ' l_ ').replace('l *', 'l_ *')}) / (sqrt(h * h + k * k + l_ * l_) * sqrt({ones}))) ELSE 1.0 END AS y2,
+  CASE WHEN e = 'shift' THEN 20.0 WHEN {has('broadening')} THEN 5 + 25 * {share('domain', 100)} ELSE 25.0 END AS dom FROM s)
+SELECT pattern || '|' || e || '|0' AS pattern, count(*) AS n, round(sum(a2), 4) AS angles, round(sum(y2), 4) AS intensities,
+  round(avg(CASE WHEN e IN ('strain', 'texture') THEN sqrt({_FACTOR} * {width}) ELSE sqrt{_FACTOR} * {width} END / (70.0::DOUBLE / 4501)), 4) AS sigma FROM a GROUP BY pattern, e"""
+
+
+def _gauss(seed: str, key: str) -> str:
+    part = lambda at: f"((CAST('0x' || substr(md5('{seed}-' || {key}), {at}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return f"(sqrt(-2 * ln({part(1)})) * cos(2 * pi() * {part(9)}))"
+
+
+def _formula(scale: int) -> str:
+    """Elements and counts of the formula of every part, from the numbers that it is written with."""
+    return f"""f AS (SELECT p_partkey, (['Ba','Ca','K'])[p_partkey % 3 + 1] AS ea, (p_size * {scale}) % 120000 + 1 AS na, (['Ti','Mg','Sr'])[p_size % 3 + 1] AS eb, (p_partkey % 5 + 1) * (p_size % 3 + 1) AS nb,
+  (['Fe','La','S'])[(p_partkey + p_size) % 3 + 1] AS ec, (p_partkey % 3 + 1) * (p_partkey % 4 + 1) * (p_size % 3 + 1) AS nc, 'O' AS eo, (p_size % 7 + 1) * (p_partkey % 4 + 1) * (p_size % 3 + 1) AS no FROM part),
+  parts AS (SELECT p_partkey, unnest([ea, eb, ec, eo]) AS element, unnest([na, nb, nc, no]) AS n, eb = 'Ti' OR ec IN ('Fe', 'S') AS several FROM f)"""
+
+
+_EVEN = lambda s: f"(n // {s} + CASE WHEN n % {s} > {s // 2} OR (n % {s} = {s // 2} AND n // {s} % 2 = 1) THEN 1 ELSE 0 END) * {s}"
+_REDUCED = f"""big AS (SELECT p_partkey, element, several, CASE WHEN NOT several THEN n WHEN n > 100000 THEN {_EVEN(1000)} WHEN n > 10000 THEN {_EVEN(100)} WHEN n > 1000 THEN {_EVEN(10)} ELSE n END AS n FROM parts),
+  divisor AS (SELECT p_partkey, max(d) AS d FROM (SELECT p_partkey, d FROM (SELECT DISTINCT p_partkey, unnest(range(1, least_n + 1)) AS d FROM (SELECT p_partkey, min(n) AS least_n FROM big GROUP BY p_partkey)) JOIN big USING (p_partkey) GROUP BY p_partkey, d HAVING bool_and(n % d = 0)) GROUP BY p_partkey),
+  reduced AS (SELECT p_partkey, element, CAST(CASE WHEN several THEN n // d ELSE n END AS INTEGER) AS n FROM big JOIN divisor USING (p_partkey))"""
+_STATES = "st(element, place, s) AS (VALUES ('Ba', 1, 2), ('Ca', 1, 2), ('K', 1, 1), ('Ti', 1, 4), ('Ti', 2, 3), ('Mg', 1, 2), ('Sr', 1, 2), ('Fe', 1, 2), ('Fe', 2, 3), ('La', 1, 3), ('S', 1, 6), ('S', 2, 4), ('O', 1, -2))"
+_NEUTRAL = f"""WITH {_formula(1)}, {_REDUCED}, {_STATES},
+first AS (SELECT p_partkey, sum(n * s) AS total FROM reduced JOIN st USING (element) WHERE place = 1 GROUP BY p_partkey),
+mixing AS (SELECT r.p_partkey FROM reduced r JOIN st a ON a.element = r.element AND a.place = 1 JOIN st b ON b.element = r.element AND b.place = 2 JOIN first USING (p_partkey), range(0, 2000) q(k)
+  WHERE k <= n AND total - n * a.s + (n - k) * a.s + k * b.s = 0),
+whole AS (SELECT p.p_partkey FROM f p JOIN reduced ra ON ra.p_partkey = p.p_partkey AND ra.element = ea JOIN reduced rb ON rb.p_partkey = p.p_partkey AND rb.element = eb JOIN reduced rc ON rc.p_partkey = p.p_partkey AND rc.element = ec
+  JOIN reduced ro ON ro.p_partkey = p.p_partkey AND ro.element = 'O' JOIN st sa ON sa.element = ea JOIN st sb ON sb.element = eb JOIN st sc ON sc.element = ec WHERE ra.n * sa.s + rb.n * sb.s + rc.n * sc.s - 2 * ro.n = 0)
+SELECT DISTINCT p_partkey AS id FROM (SELECT * FROM mixing UNION ALL SELECT * FROM whole)"""
 
 
 ORACLE: dict[str, str] = {
@@ -79,8 +143,7 @@ ORACLE: dict[str, str] = {
     "onehot": "SELECT vec_id, label AS back, CAST(c AS INTEGER) AS class, CASE WHEN c = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM embeddings, range(0, 10) t(c)",
     "standardize": f"WITH {_LONG} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x, 6) + 0.0 AS x FROM long",
     "pairwise_w1": f"{_DIST} SELECT i, j, round(d, 6) + 0.0 AS d FROM d",
-    "matrix_repair": """WITH m AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN (i * j) % 7 = 3 OR (i + j) % 11 = 5 THEN NULL ELSE (i * 31 + j * 17) % 50 + 0.5::DOUBLE END AS d
-  FROM (SELECT n_nationkey AS i FROM nation), range(0, 25) t(j)),
+    "matrix_repair": """WITH m AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, CASE WHEN (i * j) % 7 = 3 OR (i + j) % 11 = 5 THEN NULL ELSE (i * 31 + j * 17) % 50 + 0.5::DOUBLE END AS d FROM supplier a, supplier b),
 f AS (SELECT i, j, CASE WHEN i = j THEN 0.0 ELSE coalesce(d, (SELECT 10 * max(d) FROM m)) END AS d FROM m)
 SELECT a.i, a.j, (a.d + b.d) / 2 AS d FROM f a JOIN f b ON a.i = b.j AND a.j = b.i""",
     "medoids": f"{_DIST}, {_MED} SELECT label, medoid FROM med",
@@ -99,14 +162,14 @@ SELECT round(avg(r), 6) + 0.0 AS db_index FROM (SELECT li, max((x.s + y.s) / m)
 SELECT n.vec_id AS id, n.name, n.label, r.name AS representative FROM n JOIN med USING (label) JOIN n r ON r.vec_id = medoid""",
     "label_join": "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "unlabeled_count": "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
-    "extra_labels": "SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)",
+    "extra_labels": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "label_first": "SELECT p_brand, arg_min(p_size, p_partkey) AS p_size FROM part GROUP BY p_brand",
     "label_last_wins": "SELECT p_size, trim(arg_max(p_name, p_partkey)) AS p_name FROM part GROUP BY p_size",
     "label_conflicts": "SELECT p_brand, count(DISTINCT p_size) AS n_labels FROM part GROUP BY p_brand HAVING n_labels > 1",
     "label_validate": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '' || p_size WHEN 1 THEN ' ' || p_size || '.0 ' WHEN 2 THEN p_size || '.5' WHEN 3 THEN '-' || p_size WHEN 4 THEN 'x' ELSE ' ' END AS raw,
   CASE WHEN p_partkey % 6 < 2 THEN CAST(p_size AS BIGINT) END AS label, CASE p_partkey % 6 WHEN 2 THEN 'not whole' WHEN 3 THEN 'negative' WHEN 4 THEN 'not numeric' WHEN 5 THEN 'empty' END AS problem FROM part""",
     "label_sorted": "SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS position FROM (SELECT DISTINCT p_name FROM part)",
-    "class_gaps": "WITH u AS (SELECT DISTINCT p_size AS s FROM part WHERE p_size % 3 <> 1) SELECT CAST(max(s) + 1 AS BIGINT) AS n_classes, (SELECT coalesce(string_agg(g, ',' ORDER BY g), '') FROM range(0, (SELECT max(s) FROM u) + 1) t(g) WHERE g NOT IN (SELECT s FROM u)) AS gaps FROM u",
+    "class_gaps": "SELECT (SELECT max(o_custkey) + 1 FROM orders) AS n_classes, g AS gap FROM range(0, (SELECT max(o_custkey) + 1 FROM orders)) t(g) WHERE g NOT IN (SELECT o_custkey FROM orders)",
     "class_index": "SELECT label, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY label",
     "dedup_last": "SELECT p_brand, p_type, max(p_partkey) AS p_partkey FROM part GROUP BY ALL",
     "dup_groups": "SELECT p_brand, p_type, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_brand, p_type HAVING n > 1",
@@ -127,8 +190,8 @@ SELECT p_brand, count(*) AS total_available, count(*) AS selected_count, count(*
     "domain_union": "SELECT vec_id, label, CAST(vec_id % 2 AS INTEGER) AS domain FROM embeddings",
     "scan_names": "SELECT p_name AS name, count(*) AS n_files FROM part GROUP BY p_name",
     "softmax_topk": f"{_LOGIT}, {_TOP} SELECT vec_id, rank, class, round(p, 6) + 0.0 AS p FROM top WHERE rank <= 3",
-    "topk_named": f"{_LOGIT}, {_TOP} SELECT vec_id, rank, coalesce(n_name, 'UNKNOWN_LABEL_' || class) AS name FROM top LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 7) ON n_nationkey = class WHERE rank <= 3",
-    "masked_topk": f"{_LOGIT.replace('logit AS (', 'all_ AS (')}, logit AS (SELECT vec_id, label, class, CASE WHEN class % 5 = 0 THEN logit ELSE -1e9 END AS logit FROM all_), {_TOP} SELECT vec_id, rank, class, round(p, 6) + 0.0 AS p FROM top WHERE rank <= 3",
+    "topk_named": f"{_LOGIT}, {_TOP} SELECT vec_id, rank, coalesce(r_name, 'UNKNOWN_LABEL_' || class) AS name FROM top LEFT JOIN region ON r_regionkey = class WHERE rank <= 3",
+    "masked_topk": f"{_LOGIT.replace('logit AS (', 'all_ AS (')}, logit AS (SELECT vec_id, label, class, CASE WHEN class IN (SELECT r_regionkey FROM region) THEN logit ELSE -1e9 END AS logit FROM all_), {_TOP} SELECT vec_id, rank, class, round(p, 6) + 0.0 AS p FROM top WHERE rank <= 3",
     "elements": f"WITH {_KEY} SELECT p_partkey, array_to_string(els, ',') AS elements FROM el",
     "mask_all": f"WITH {_KEY} SELECT p_partkey, key FROM el WHERE list_has_all(els, ['Ca', 'Ti', 'O'])",
     "mask_any": f"WITH {_KEY} SELECT p_size, arg_min(key, p_partkey) AS key FROM el WHERE list_has_any(els, ['Ca', 'Ti']) GROUP BY p_size",
@@ -142,35 +205,36 @@ SELECT round(sum(hit) / sum(t), 6) + 0.0 AS accuracy, round(avg(p), 6) + 0.0 AS
     "round_summary": f"WITH {_RUNS} SELECT round, count(DISTINCT seed) AS n_seeds, round(avg(acc), 6) + 0.0 AS acc_mean, round(coalesce(stddev_samp(acc), 0), 6) + 0.0 AS acc_std, round(avg(f1), 6) + 0.0 AS f1_mean, round(coalesce(stddev_samp(f1), 0), 6) + 0.0 AS f1_std FROM runs GROUP BY round",
     "final_by_seed": f"WITH {_RUNS} SELECT seed, max(round) AS round, round(arg_max(acc, round), 6) + 0.0 AS acc FROM runs GROUP BY seed",
     "metric_stats": f"WITH {_RUNS} SELECT 'acc' AS metric, round(avg(acc), 6) + 0.0 AS mean, round(stddev_samp(acc), 6) + 0.0 AS std FROM runs UNION ALL SELECT 'f1', round(avg(f1), 6) + 0.0, round(stddev_samp(f1), 6) + 0.0 FROM runs",
-    "early_stop": f"""WITH {_RUNS}, v AS (SELECT seed, round, round(acc, 6) + 0.0 AS value FROM runs), b AS (SELECT *, row_number() OVER w AS n, coalesce(value >= max(value) OVER (PARTITION BY seed ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM v WINDOW w AS (PARTITION BY seed ORDER BY round)),
-s AS (SELECT seed, round, n - max(CASE WHEN better THEN n END) OVER (PARTITION BY seed ORDER BY round ROWS UNBOUNDED PRECEDING) AS since FROM b) SELECT seed, min(CASE WHEN since >= 3 THEN round END) AS stop_round FROM s GROUP BY seed""",
+    "early_stop": f"""WITH RECURSIVE {_RUNS}, v AS (SELECT seed, round, round(acc, 6) + 0.0 AS value, row_number() OVER (PARTITION BY seed ORDER BY round) AS n FROM runs),
+s AS (SELECT seed, n, value AS best, 0 AS waited, CAST(NULL AS BIGINT) AS stop FROM v WHERE n = 1
+  UNION ALL SELECT s.seed, v.n, CASE WHEN v.value >= best + 0.001 THEN v.value ELSE best END, CASE WHEN v.value >= best + 0.001 THEN 0 ELSE waited + 1 END,
+    coalesce(stop, CASE WHEN v.value < best + 0.001 AND waited + 1 >= 3 THEN v.round END) FROM s JOIN v ON v.seed = s.seed AND v.n = s.n + 1)
+SELECT seed, arg_max(stop, n) FILTER (stop IS NOT NULL) AS stop_round FROM s GROUP BY seed""",
     "empirical_w1": f"WITH {_LONG}, {_W1} SELECT label, CAST(pos AS INTEGER) AS pos, round(w1, 6) + 0.0 AS w1 FROM w1",
     "class_radius": f"WITH {_LONG}, {_RADIUS} SELECT label, CAST(domain AS INTEGER) AS domain, n, round(radius, 6) + 0.0 AS radius FROM rad",
     "shift_score": f"{_SHIFT} SELECT label, n_source, n_target, round(feature_shift, 6) + 0.0 AS feature_shift, round(r_source, 6) + 0.0 AS r_source, round(r_target, 6) + 0.0 AS r_target, round(shift_score, 6) + 0.0 AS shift_score FROM sh",
     "shift_top10": f"{_SHIFT} SELECT label, round(shift_score, 6) + 0.0 AS shift_score FROM sh ORDER BY sh.shift_score DESC, label LIMIT 10",
-    "formula_counts": """SELECT CAST(c1 AS INTEGER) AS id, c2 AS element, CAST(c3 AS INTEGER) AS n FROM (VALUES (1,'Ba',1),(1,'Ti',1),(1,'O',3),(2,'Ca',1),(2,'Ti',2),(2,'O',6),(3,'La',2),(3,'Mg',1),(3,'S',2),(3,'O',9),
-  (4,'Na',20000),(4,'Cl',20000),(5,'Fe',3),(5,'O',4),(6,'K',1),(6,'Fe',2),(7,'Sr',1234),(7,'Ti',1234),(7,'O',3702)) t(c1, c2, c3)""",
-    "round_gcd": """SELECT CAST(c1 AS INTEGER) AS id, c2 AS element, CAST(c3 AS INTEGER) AS n FROM (VALUES (1,'Ba',1),(1,'Ti',1),(1,'O',3),(2,'Ca',1),(2,'Ti',2),(2,'O',6),(3,'La',2),(3,'Mg',1),(3,'S',2),(3,'O',9),
-  (4,'Na',1),(4,'Cl',1),(5,'Fe',3),(5,'O',4),(6,'K',1),(6,'Fe',2),(7,'Sr',123),(7,'Ti',123),(7,'O',370)) t(c1, c2, c3)""",
-    "oxi_neutral": "SELECT CAST(c AS INTEGER) AS id FROM (VALUES (1), (3), (4), (5)) t(c)",
-    "crystal_system": "SELECT CAST(sg AS INTEGER) AS sg, CASE WHEN sg <= 2 THEN 'triclinic' WHEN sg <= 15 THEN 'monoclinic' WHEN sg <= 74 THEN 'orthorhombic' WHEN sg <= 142 THEN 'tetragonal' WHEN sg <= 167 THEN 'trigonal' WHEN sg <= 194 THEN 'hexagonal' ELSE 'cubic' END AS system FROM range(1, 231) t(sg)",
-    "strain_class": f"SELECT CAST(sg AS INTEGER) AS sg, {_CLASS} AS symmetry FROM range(1, 231) t(sg)",
+    "formula_counts": f"WITH {_formula(7919)} SELECT p_partkey, element, CAST(n AS INTEGER) AS n FROM parts",
+    "round_gcd": f"WITH {_formula(7919)}, {_REDUCED} SELECT p_partkey, element, n FROM reduced",
+    "oxi_neutral": _NEUTRAL,
+    "crystal_system": f"WITH {_SG} SELECT p_partkey, sg, CASE WHEN sg <= 2 THEN 'triclinic' WHEN sg <= 15 THEN 'monoclinic' WHEN sg <= 74 THEN 'orthorhombic' WHEN sg <= 142 THEN 'tetragonal' WHEN sg <= 167 THEN 'trigonal' WHEN sg <= 194 THEN 'hexagonal' ELSE 'cubic' END AS system FROM g",
+    "strain_class": f"WITH {_SG} SELECT p_partkey, sg, {_CLASS} AS symmetry FROM g",
     "sg_suffix": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND NOT regexp_matches(p_name, '_\\d{1,3}$') THEN 200 + p_size % 30 WHEN p_partkey % 3 = 0 THEN CAST(regexp_extract(p_name, '_(\\d{1,3})$', 1) AS INTEGER) ELSE p_size END AS sg FROM part",
     "grid_snap": f"SELECT {_MAXCELL.format(a='(5 + l_extendedprice % 80)')} AS cell, count(*) AS n FROM lineitem GROUP BY ALL",
     "scherrer": f"SELECT p_partkey, round(sqrt{_FACTOR} * {_WIDTH.format(a='(10.0 + p_size)', d='(5 + p_partkey % 40)')}, 6) + 0.0 AS common, round(sqrt({_FACTOR} * {_WIDTH.format(a='(10.0 + p_size)', d='(5 + p_partkey % 40)')}), 6) + 0.0 AS inside FROM part",
     "render_patterns": f"""WITH {_PEAKS}, r AS (SELECT *, CAST(floor(4 * s + 0.5) AS INTEGER) AS rad, {_MAXCELL.format(a='a')} AS centre FROM pks), k AS (SELECT *, unnest(range(-rad, rad + 1)) AS k FROM r),
 z AS (SELECT *, list_sum(list_transform(range(-rad, rad + 1), lambda q: exp(-(q * q) / (2 * s * s)))) AS z FROM k), c AS (SELECT pattern, centre + k AS cell, sum(intensity * exp(-(k * k) / (2 * s * s)) / z) AS value FROM z WHERE centre + k BETWEEN 0 AND 4500 GROUP BY ALL)
 SELECT pattern, CAST(cell AS INTEGER) AS cell, round(100 * value / max(value) OVER (PARTITION BY pattern), 6) + 0.0 AS value FROM c""",
-    "augment": f"""WITH {_PEAKS}, f AS (SELECT pattern, a, e, k, {_pick('7', "pattern || '-' || e || '-' || k", 1000)} AS st FROM pks, (VALUES ('shift'), ('broadening'), ('mixed')) x(e), range(0, 2) y(k)),
-g AS (SELECT pattern || '|' || e || '|' || k AS pattern, CASE WHEN e = 'broadening' THEN a ELSE a + (-0.5 + 1.0::DOUBLE * st / 999) END AS a, CASE WHEN e = 'shift' THEN 20.0 ELSE 1.0 + 0.049::DOUBLE * st END AS d FROM f)
-SELECT pattern, count(*) AS n, round(sum(a), 6) + 0.0 AS angles, round(avg(sqrt{_FACTOR} * {_WIDTH.format(a='a', d='d')} / (70.0::DOUBLE / 4501)), 6) + 0.0 AS sigma FROM g GROUP BY pattern""",
-    "texture": "SELECT p_partkey, round(p_size * (0.4::DOUBLE + 0.6::DOUBLE * abs((h + l) / (sqrt(h * h + k * k + l * l) * sqrt(2)))), 6) + 0.0 AS intensity FROM (SELECT p_partkey, p_size, p_partkey % 5 AS h, p_partkey % 3 + 1 AS k, p_size % 4 AS l FROM part)",
+    "augment": _augment(),
+    "texture": f"""WITH r AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN [h, k, l] ELSE [h, k, -h - k, l] END AS v FROM (SELECT p_partkey, p_size, p_partkey % 5 AS h, p_partkey % 3 + 1 AS k, p_size % 4 AS l FROM part)),
+d AS (SELECT *, list_transform(range(0, len(v)), lambda i: bits // CAST(pow(2, i) AS BIGINT) % 2) AS d FROM (SELECT *, {_pick('3', 'p_partkey', 1 << 32)} % (CAST(pow(2, len(v)) AS BIGINT) - 1) + 1 AS bits FROM r))
+SELECT p_partkey, round(p_size * (0.4::DOUBLE + 0.6::DOUBLE * abs(list_dot_product(list_transform(v, lambda x: x::DOUBLE), list_transform(d, lambda x: x::DOUBLE)) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(d))))), 6) + 0.0 AS intensity FROM d""",
     "shift_angles": f"SELECT p_partkey, round(10 + p_size - 0.5::DOUBLE + {_pick('9', 'p_partkey', 1000)} / 999, 6) + 0.0 AS two_theta FROM part",
     "strain_tensor": _strain(),
     "impurity_mix": f"""WITH {_E}, a AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS v FROM e), m AS (
   SELECT x.vec_id, list_transform(list_zip(x.v, y.v), lambda z: z[1] + 0.3::DOUBLE * (z[2] / top)) AS v FROM a x JOIN (SELECT vec_id - 1 AS vec_id, v, list_max(v) AS top FROM a) y USING (vec_id)),
 t AS (SELECT vec_id, list_transform(v, lambda x: 100 * x / top) AS v FROM (SELECT vec_id, v, list_max(v) AS top FROM m)) {_OUT}""",
-    "near_dup_anti": """WITH n AS (SELECT n_nationkey AS id, n_nationkey * 0.004::DOUBLE AS a, n_regionkey::DOUBLE AS b FROM nation)
+    "near_dup_anti": """WITH n AS (SELECT s_suppkey AS id, s_suppkey * 0.004::DOUBLE AS a, s_nationkey::DOUBLE AS b FROM supplier)
 SELECT s.id AS structure, r.id AS reference FROM n s JOIN n r ON NOT (abs(s.a - r.a) <= 0.01 + 1e-5 * abs(r.a) AND abs(s.b - r.b) <= 0.01 + 1e-5 * abs(r.b))""",
 }
 _BADGE = f"""WITH {_E}, b AS (SELECT vec_id AS id, label, v AS h, list_transform(range(0, 10), lambda c: CASE WHEN c = label THEN 0.9::DOUBLE ELSE -0.1::DOUBLE END) AS p FROM e),
@@ -178,3 +242,36 @@ _BADGE = f"""WITH {_E}, b AS (SELECT vec_id AS id, label, v AS h, list_transform
   bd AS (SELECT x.id, centre, sqrt(greatest(0, x.q + y.q - 2 * list_dot_product(x.p, y.p) * list_dot_product(x.h, y.h))) AS d FROM n x, c JOIN n y ON y.id = centre)"""
 ORACLE["badge_distance"] = f"{_BADGE} SELECT id, centre, round(d, 5) AS d FROM bd"
 ORACLE["badge_min_d"] = f"{_BADGE} SELECT id, round(min(d), 5) AS d FROM bd GROUP BY id"
+ORACLE["class_range"] = "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
+ORACLE["distinct_classes"] = "SELECT event_type, min(event_id) AS first FROM events GROUP BY event_type"
+ORACLE["row_alignment"] = "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, label FROM embeddings"
+ORACLE["domain_scan"] = """SELECT source, block, doc_id, quality FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY md5('3-' || doc_id), doc_id) AS r FROM (
+    SELECT *, count(*) OVER (PARTITION BY source, block) AS n FROM (SELECT source, doc_id, quality, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS block FROM documents JOIN labels USING (doc_id))) WHERE n = 10) WHERE r <= 4"""
+ORACLE["structure_filters"] = """SELECT formula, p_size AS sg, max(p_partkey) AS p_partkey FROM (SELECT *, (['Ba','Ca','K'])[p_partkey % 3 + 1] || 'O' AS formula FROM part) WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 GROUP BY ALL"""
+ORACLE["noise"] = (
+    ORACLE["render_patterns"].rsplit("SELECT pattern,", 1)[0].rstrip()
+    + f""", w AS (SELECT pattern, cell, 100 * value / max(value) OVER (PARTITION BY pattern) AS value FROM c), g AS (SELECT pattern, cell FROM (SELECT DISTINCT pattern FROM w), range(0, 4501) r(cell))
+SELECT pattern, CAST(g.cell AS INTEGER) AS cell, round(coalesce(value, 0.0) + 0.25 * {_gauss('13', "pattern || '-' || g.cell")}, 6) + 0.0 AS value FROM g LEFT JOIN w USING (pattern, cell)"""
+)
+ORACLE["impurity_pick"] = f"""SELECT a.s_suppkey AS structure, CAST(k AS INTEGER) AS k, arg_min(b.s_suppkey, (md5('5-' || a.s_suppkey || '-' || k || '-' || b.s_suppkey), b.s_suppkey)) AS reference,
+  any_value(round(70.0 * {_pick('5-impurity', "a.s_suppkey || '-' || k", 100)} / 99.0::DOUBLE, 6) + 0.0) AS magnitude FROM supplier a JOIN supplier b ON a.s_nationkey <> b.s_nationkey, range(0, 2) r(k) GROUP BY a.s_suppkey, k"""
+ORACLE["cell_strain"] = f"""WITH {_SG}, s AS (SELECT p_partkey, sg, [{', '.join(f"1 + ({_pick(f's{k}', 'p_partkey', 100)} - 50) / 1000.0::DOUBLE" for k in range(6))}] AS s FROM g),
+x AS (SELECT p_partkey, [4 * s[1], 5 * CASE WHEN sg >= 75 THEN s[1] ELSE s[2] END, 6 * CASE WHEN sg >= 195 THEN s[1] ELSE s[3] END, 80 * CASE WHEN sg <= 2 THEN s[4] ELSE 1.0 END, 95 * CASE WHEN sg <= 15 THEN s[5] ELSE 1.0 END, 100 * CASE WHEN sg <= 2 THEN s[6] ELSE 1.0 END] AS v FROM s)
+SELECT p_partkey, CAST(i AS INTEGER) AS i, round(v[i + 1], 6) + 0.0 AS x FROM x, range(0, 6) r(i)"""
+
+
+def _badge_steps(group: str, k: int, seed: int) -> str:
+    """Squared-distance sampling, one materialised step after the other."""
+    u = lambda step: f"((CAST('0x' || substr(md5('{seed}-{step}-' || id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+    ctes = [f"{_BADGE.split(', c AS (')[0].rstrip(', ')}", f"r0 AS MATERIALIZED (SELECT {group} AS g, id, p, h, list_dot_product(p, p) * list_dot_product(h, h) AS q, CAST(NULL AS DOUBLE) AS d2, CAST(NULL AS INTEGER) AS rank FROM b)"]
+    for step in range(1, k + 1):
+        order = "(-round(sqrt(q), 9), id)" if step == 1 else f"(d2 = 0, CASE WHEN d2 > 0 THEN -ln({u(step)}) / d2 ELSE {u(step)} END, id)"
+        ctes.append(f"k{step} AS MATERIALIZED (SELECT g, arg_min(id, {order}) AS c FROM r{step - 1} WHERE rank IS NULL GROUP BY g)")
+        near = "round(pow(sqrt(greatest(0, x.q + y.q - 2 * list_dot_product(x.p, y.p) * list_dot_product(x.h, y.h))), 2), 9)"
+        ctes.append(f"r{step} AS MATERIALIZED (SELECT x.g, x.id, x.p, x.h, x.q, least(coalesce(x.d2, {near}), {near}) AS d2, coalesce(x.rank, CASE WHEN x.id = c THEN {step} END) AS rank FROM r{step - 1} x JOIN k{step} k ON k.g = x.g JOIN r{step - 1} y ON y.id = c)")
+    return ", ".join(ctes)
+
+
+ORACLE["badge_select"] = f"{_badge_steps('label', 8, 11)} SELECT g AS label, CAST(rank AS INTEGER) AS rank, id FROM r8 WHERE rank IS NOT NULL"
+ORACLE["badge_select_global"] = f"{_badge_steps('0', 6, 12)} SELECT CAST(rank AS INTEGER) AS rank, id FROM r6 WHERE rank IS NOT NULL"

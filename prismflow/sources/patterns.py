@@ -6,6 +6,7 @@ Files are read by Spark (``binaryFile``, ``csv``), so any store that Spark reads
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismflow.operators import labels
+from prismflow.functions import chemistry
+from prismflow.operators import labels, split
 
 PATTERN_SCHEMA = "compound string, sample_idx int, spectrum array<double>"
 
@@ -84,11 +86,39 @@ def inferred_columns(columns: list[str]) -> tuple[str, str]:
     return label, name
 
 
-def lenient_labels(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(label, compound): rows whose label is no number are skipped, the last row of a label wins."""
-    rows = _clean(spark.read.csv(path, header=True, encoding=encoding))
+#: Bytes of a label table that the driver decodes itself.
+LABEL_BYTES = 64 << 20
+
+
+def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """A label table in an encoding that Spark's reader does not know; one beyond ``LABEL_BYTES`` is an error."""
+    file = spark.read.format("binaryFile").load(path)
+    if file.where(F.col("length") > LABEL_BYTES).limit(1).count():
+        raise ValueError(f"{path} is too large for a label table in {encoding}")
+    table = pd.concat([pd.read_csv(io.BytesIO(r.content), encoding=encoding, dtype=str) for r in file.select("content").collect()])
+    schema = ", ".join(f"`{c}` string" for c in table.columns)
+    return spark.createDataFrame([tuple(None if pd.isna(v) else v for v in row) for row in table.itertuples(index=False)], schema)
+
+
+def lenient_labels(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(label, compound): rows whose label is no number are skipped, the last row of a label wins; none left is an error.
+
+    Without an ``encoding`` the file is read as UTF-8, and again as GBK if it holds bytes that are not UTF-8.
+    """
+    rows = _clean(spark.read.csv(path, header=True, encoding=encoding or "UTF-8"))
+    if encoding is None:
+        broken = F.lit(any("\ufffd" in c for c in rows.columns))
+        for c in rows.columns:
+            broken = broken | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+        if rows.where(broken).limit(1).count() or any("\ufffd" in c for c in rows.columns):
+            rows = _clean(_decoded_csv(spark, path, "gbk"))
+    if len(rows.columns) < 2:
+        raise ValueError("a label table needs two columns")
     label, name = inferred_columns(rows.columns)
-    return last_named(rows.withColumn("_row", F.monotonically_increasing_id()), F.col(label), F.col(name))
+    found = last_named(rows.withColumn("_row", F.monotonically_increasing_id()), F.col(f"`{label}`"), F.col(f"`{name}`"))
+    if not found.limit(1).count():
+        raise ValueError("no row has a label")
+    return found
 
 
 def last_named(rows: DataFrame, label: Column, name: Column) -> DataFrame:
@@ -103,3 +133,117 @@ def check_index(names: DataFrame) -> DataFrame:
     if not (seen.n == seen.i == seen.names and (seen.n == 0 or (seen.low == 0 and seen.high == seen.n - 1))):
         raise ValueError("the name index does not match the matrix")
     return names
+
+
+def domain_scan(spark: SparkSession, folder: str, label_table: DataFrame, length: int | None = None, subsample: int | None = None) -> tuple[DataFrame, int]:
+    """Labelled patterns (compound, sample_idx, spectrum as floats, label) of one domain, and how many files had no label and were skipped.
+
+    Files are matched by name before their arrays are read. With a seed in ``subsample`` 20 of every full 50 patterns of a
+    compound are taken. Nothing left is an error.
+    """
+    files = discovered(spark, folder, "_aug.npy").select(F.col("name").alias("compound"))
+    skipped = labels.unlabelled(files, label_table, "compound").count()
+    known = labels.joined(read_arrays(spark, folder, length=length), label_table.select("compound", "label"), "compound")
+    rows = known.withColumn("spectrum", F.col("spectrum").cast("array<float>"))
+    if not files.join(label_table, "compound", "left_semi").limit(1).count():
+        raise ValueError(f"no labelled pattern in {folder}")
+    return (rows if subsample is None else split.window_sample(rows, "compound", "sample_idx", subsample).drop("block")), skipped
+
+
+def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Distances (i, j, d) and names (matrix_index, name) as ``sinks.write_matrix`` leaves them; both are checked again."""
+    dist, names = spark.read.parquet(f"{path}/dist"), spark.read.parquet(f"{path}/names")
+    return check_square(dist, check_index(names)), names
+
+
+def check_square(dist: DataFrame, names: DataFrame) -> DataFrame:
+    """``dist`` if it holds every pair i < j of the ``names``' indexes once; otherwise an error."""
+    n = names.count()
+    found = dist.agg(F.count("*").alias("n"), F.countDistinct("i", "j").alias("pairs"), F.count_if(~((F.col("i") >= 0) & (F.col("i") < F.col("j")) & (F.col("j") < n))).alias("bad")).first()
+    if found.bad or not found.n == found.pairs == n * (n - 1) // 2:
+        raise ValueError(f"{found.n} distances do not make a square matrix of {n} names")
+    return dist
+
+
+CIF_SCHEMA = "name string, formula string, sg int, lengths array<double>, angles array<double>, ordered boolean, sites array<struct<element:string,x:double,y:double,z:double,occupancy:double>>, problem string"
+
+
+def _number(text: str) -> float:
+    """A number of a CIF, whose uncertainty in parentheses does not count."""
+    return float(text.split("(")[0])
+
+
+def parse_cif(text: str) -> dict:
+    """Formula, space group, cell and sites of the first structure of a CIF. Missing cells or sites are a ValueError."""
+    words = re.findall(r"(?m)^;[\s\S]*?^;|'[^'\n]*'(?=\s|$)|\"[^\"\n]*\"(?=\s|$)|[^\s]+", re.sub(r"(?m)(^|\s)#.*$", r"\1", text))
+    single: dict[str, str] = {}
+    loops: list[tuple[list[str], list[str]]] = []
+    at, started = 0, False
+    while at < len(words):
+        word = words[at]
+        at += 1
+        if word.lower().startswith("data_"):
+            if started:
+                break
+            started = True
+        elif word.lower() == "loop_":
+            names, values = [], []
+            while at < len(words) and words[at].startswith("_"):
+                names.append(words[at].lower())
+                at += 1
+            while at < len(words) and not words[at].startswith("_") and not words[at].lower().startswith(("loop_", "data_")):
+                values.append(words[at].strip("'\""))
+                at += 1
+            loops.append((names, values))
+        elif word.startswith("_") and at < len(words):
+            single.setdefault(word.lower(), words[at].strip("'\"; \n"))
+            at += 1
+    lengths = [_number(single[f"_cell_length_{a}"]) for a in "abc"]
+    angles = [_number(single.get(f"_cell_angle_{a}", "90")) for a in ("alpha", "beta", "gamma")]
+    sites = []
+    for names, values in loops:
+        if "_atom_site_fract_x" in names:
+            column = {n: k for k, n in enumerate(names)}
+            kind = column.get("_atom_site_type_symbol", column.get("_atom_site_label", 0))
+            for k in range(0, len(values) - len(names) + 1, len(names)):
+                row = values[k : k + len(names)]
+                element = re.match(r"[A-Z][a-z]?", row[kind])
+                filled = _number(row[column["_atom_site_occupancy"]]) if "_atom_site_occupancy" in column else 1.0
+                sites.append({"element": element[0] if element else row[kind], **{a: _number(row[column[f"_atom_site_fract_{a}"]]) for a in "xyz"}, "occupancy": filled})
+    if not sites:
+        raise ValueError("no sites")
+    group = next((single[k] for k in ("_space_group_it_number", "_symmetry_int_tables_number") if k in single), None)
+    formula = single.get("_chemical_formula_sum")
+    return {
+        "formula": re.sub(r"(?<=[A-Za-z])1(?=$|[A-Z])", "", formula.replace(" ", "")) if formula else None,
+        "sg": int(group) if group and group.isdigit() else None,
+        "lengths": lengths, "angles": angles, "ordered": all(s["occupancy"] >= 1 - 1e-8 for s in sites), "sites": sites,
+    }
+
+
+def read_cifs(spark: SparkSession, folder: str, tolerance: float = 1.5) -> DataFrame:
+    """Structures of all CIF files of a folder, one row per file; ``problem`` says why a file could not be read (its other columns are null).
+
+    Space group and formula are the file's own statements, the name's suffix (``_123``) stands in for a missing group; cells are not
+    reduced to primitive ones. A site filled beyond ``tolerance`` is a problem.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cif").load(folder).select(F.expr("url_decode(element_at(split(path, '/'), -1))").alias("file"), "content")
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in re.split(r",\s+(?![a-z]+:)", CIF_SCHEMA)]
+        for part in parts:
+            rows = []
+            for file, content in zip(part["file"], part["content"], strict=True):
+                row = dict.fromkeys(names) | {"name": file.removesuffix(".cif")}
+                try:
+                    found = parse_cif(content.decode("utf-8", "replace"))
+                    if max(s["occupancy"] for s in found["sites"]) > tolerance:
+                        raise ValueError("a site is filled beyond the tolerance")
+                    row |= found
+                except (ValueError, KeyError, IndexError) as error:
+                    row["problem"] = f"{type(error).__name__}: {error}"
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=names)
+
+    read = files.mapInPandas(decode, CIF_SCHEMA)
+    return read.withColumn("sg", F.coalesce("sg", chemistry.suffix_group(F.col("name"))))

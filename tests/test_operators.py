@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prismflow.functions import chemistry, peaks
-from prismflow.operators import active, clusters, distances, evaluate, labels, network, render, split
+from prismflow.operators import clusters, distances, evaluate, labels, network, render, split
 from prismflow.plans import dataset
 from prismflow.sources import patterns, sinks
 from prismflow.streaming import incremental
@@ -203,11 +203,6 @@ def test_neutral_and_formulas(spark):
     assert [r.id for r in labels.neutral(rows, states).collect()] == [1]
 
 
-def test_centres_are_far_apart(spark):
-    rows = spark.createDataFrame([(k, 0, [1.0], [float(k), 0.0]) for k in range(6)], "id long, g int, p array<double>, h array<double>")
-    assert [r.id for r in active.k_centres(rows, "g", 3).orderBy("rank").collect()] == [5, 0, 2]
-
-
 def test_convolution_against_loops(spark):
     rng = np.random.default_rng(2)
     weights = {
