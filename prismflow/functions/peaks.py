@@ -69,16 +69,25 @@ def cell_matrix(lengths: Column, angles: Column) -> Column:
     )
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: nested formulas would otherwise multiply in the plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bragg_angle(hkl: Column, lattice: Column) -> Column:
     """Scattering angle (two theta, degrees) of a reflection (three or four indices) of a cell in angstrom; null if there is none."""
-    at = lambda i, j: F.element_at(F.element_at(lattice, i), j)
-    cross = lambda i, j: [at(i, 2) * at(j, 3) - at(i, 3) * at(j, 2), at(i, 3) * at(j, 1) - at(i, 1) * at(j, 3), at(i, 1) * at(j, 2) - at(i, 2) * at(j, 1)]
-    bc, ca, ab = cross(2, 3), cross(3, 1), cross(1, 2)
-    volume = sum((at(1, k + 1) * bc[k] for k in range(1, 3)), at(1, 1) * bc[0])
     h, k, at_l = F.element_at(hkl, 1), F.element_at(hkl, 2), F.element_at(hkl, -1)
-    q = [(h * x + k * y + at_l * z) / volume for x, y, z in zip(bc, ca, ab, strict=True)]
-    sine = 10 * WAVELENGTH / 2 * F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])
-    return F.when(sine <= 1, 2 * F.degrees(F.asin(F.least(sine, F.lit(1.0)))))
+
+    def faces(m: Column) -> Column:
+        at = lambda i, j: F.element_at(F.element_at(m, i), j)
+        cross = lambda i, j: [at(i, 2) * at(j, 3) - at(i, 3) * at(j, 2), at(i, 3) * at(j, 1) - at(i, 1) * at(j, 3), at(i, 1) * at(j, 2) - at(i, 2) * at(j, 1)]
+        bc, ca, ab = cross(2, 3), cross(3, 1), cross(1, 2)
+        across = F.array(*(h * x + k * y + at_l * z for x, y, z in zip(bc, ca, ab, strict=True)))
+        return F.struct(across.alias("across"), (at(1, 1) * bc[0] + at(1, 2) * bc[1] + at(1, 3) * bc[2]).alias("volume"))
+
+    length = lambda f: F.sqrt(F.aggregate(f["across"], F.lit(0.0), lambda total, x: total + (x / f["volume"]) * (x / f["volume"])))
+    sine = 10 * WAVELENGTH / 2 * bound(bound(lattice, faces), length)
+    return bound(sine, lambda s: F.when(s <= 1, 2 * F.degrees(F.asin(F.least(s, F.lit(1.0))))))
 
 
 def strained_cell(system: Column, lengths: Column, angles: Column, strains: Column) -> Column:
@@ -112,11 +121,16 @@ def strain_tensor(symmetry: Column, s: dict[str, Column]) -> Column:
 def strained_lattice(lattice: Column, tensor: Column) -> Column:
     """lattice x (identity + tensor)."""
 
-    def cell(i: int, j: int) -> Column:
-        terms = [F.element_at(F.element_at(lattice, i), k) * (F.element_at(F.element_at(tensor, k), j) + float(j == k)) for k in (1, 2, 3)]
-        return terms[0] + terms[1] + terms[2]
+    def product(both: Column) -> Column:
+        at = lambda m, i, j: F.element_at(F.element_at(both[m], i), j)
+
+        def cell(i: int, j: int) -> Column:
+            terms = [at("lattice", i, k) * (at("tensor", k, j) + float(j == k)) for k in (1, 2, 3)]
+            return terms[0] + terms[1] + terms[2]
+
+        return F.array(*(F.array(*(cell(i, j) for j in (1, 2, 3))) for i in (1, 2, 3)))
 
-    return F.array(*(F.array(*(cell(i, j) for j in (1, 2, 3))) for i in (1, 2, 3)))
+    return bound(F.struct(lattice.alias("lattice"), tensor.alias("tensor")), product)
 
 
 def impurity_mixed(clean: Column, impurity: Column, magnitude: Column) -> Column:

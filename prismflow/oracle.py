@@ -86,7 +86,7 @@ def _bragg(m: str, h: str, k: str, l: str) -> str:
     bc, ca, ab = cross(1, 2), cross(2, 0), cross(0, 1)
     volume = "(" + " + ".join(f"{at(0, x)} * {bc[x]}" for x in range(3)) + ")"
     q = [f"(({h} * {bc[x]} + {k} * {ca[x]} + {l} * {ab[x]}) / {volume})" for x in range(3)]
-    return f"2 * degrees(asin(0.7709::DOUBLE * sqrt({' + '.join(f'{x} * {x}' for x in q)})))"
+    return f"2 * degrees(asin(0.77092::DOUBLE * sqrt({' + '.join(f'{x} * {x}' for x in q)})))"
 
 
 def _augment() -> str:
