@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from prismflow import storage
-from prismflow.llm import byte_bpe, chat_format, decontamination, license_scan, minhash_dedup, neighbours, quality, substring_dedup, token_files, url_filter
+from prismflow.llm import byte_bpe, chat_format, decontamination, license_scan, minhash_dedup, neighbours, quality, simhash_dedup, substring_dedup, token_files, url_filter
 from prismflow.llm.oracles import ORACLE
 
 
@@ -70,6 +70,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_license_scan,
         op10_neighbours,
+        op11_simhash_dedup,
     )
 }
 

@@ -439,6 +439,6 @@ def test_word_kernel(texts):
     starts, ends, first = textkit.word_spans(raw, offsets, textkit.separators("space"))
     words = [[bytes(raw[a:b]).decode() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(first[:-1], first[1:], strict=True)]
     assert words == [(t or "").split() if t is None or not any(c in t for c in "\x1c\x85") else None for t in texts]
-    hashes = textkit.WordHasher(block=7)(raw, starts, ends)
+    hashes = textkit.WordHasher()(raw, starts, ends)
     flat = [w for row in words for w in row]
     assert all((hashes[i] == hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
