@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from prismflow import storage
-from prismflow.llm import byte_bpe, chat_format, decontamination, license_scan, minhash_dedup, neighbours, quality, simhash_dedup, substring_dedup, token_files, url_filter
+from prismflow.llm import byte_bpe, chat_format, decontamination, license_scan, minhash_dedup, neighbours, quality, simhash_dedup, substring_dedup, tandem_runs, token_files, url_filter
 from prismflow.llm.oracles import ORACLE
 
 
@@ -74,6 +74,10 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(_table(spark, sf_dir, "documents"))
 
 
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem_runs.digests(tandem_runs.with_periods(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_neighbours,
         op11_simhash_dedup,
+        op12_tandem_runs,
     )
 }
 
