@@ -39,6 +39,14 @@ def top_k(logits: DataFrame, k: int) -> DataFrame:
     return chances.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "label", "rank", "class", "p")
 
 
+def best_classes(vector: Column, centroids: Column, k: int) -> Column:
+    """The k most probable classes of one vector, an array of (class, p) with p rounded to 12 digits, ties to the lower class: as ``top_k``,
+    within the row and without a shuffle. ``centroids`` is an array of (class, c)."""
+    logits = F.transform(centroids, lambda z: V.dot(vector, z["c"]))
+    each = F.arrays_zip(F.transform(V.softmax(logits), lambda p: -F.round(p, 12)).alias("minus"), F.transform(centroids, lambda z: z["class"]).alias("class"))
+    return F.transform(F.slice(F.array_sort(each), 1, k), lambda z: F.struct(z["class"].alias("class"), (-z["minus"]).alias("p")))
+
+
 def masked(logits: DataFrame, allowed: DataFrame) -> DataFrame:
     """Logits with ruled-out classes at ``MASKED``; ``allowed`` is (class)."""
     marked = logits.join(F.broadcast(allowed.select("class", F.lit(True).alias("_in"))), "class", "left")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismflow import storage
+
 
 def ticket(seed: int | str, *keys: str | Column) -> Column:
     """Sort key of a seeded random order."""
@@ -44,6 +46,31 @@ def split_shares(rows: DataFrame, group: str, order: list, train: float, val: fl
     return of.withColumn("split", name).drop("_n")
 
 
+def spread_ranks(rows: DataFrame, group: str, *order) -> DataFrame:
+    """``rows`` with ``rank`` from 1 in their group by ``order`` and ``size``, the group's rows, for groups of any size.
+
+    Rows are range-partitioned by group and order, so a large group lies in many partitions. A row's place in its partition
+    and the counts of its group in the partitions before make its rank: no task sees a whole group, and only a row per partition
+    and group is gathered. The partitions are written once, as sampling them again could move their bounds.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = rows.select("*", *(c.alias(f"_o{k}") for k, c in enumerate(order)))
+    keys = [group, *(f"_o{k}" for k in range(len(order)))]
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).drop(*keys[1:])
+    placed = storage.cut(placed.withColumn("_part", F.shiftright("_at", 33)))
+    sizes = placed.groupBy("_part", group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    within = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_first", before.alias("_before"), F.sum("_n").over(within).alias("size"))
+    met = placed.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return met.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("rank"), "size")
+
+
+def share_name(rank: Column, size: Column, train: float, val: float) -> Column:
+    """The split of a row by its rank in a group of ``size`` rows: shares of the group, the rest is test."""
+    return F.when(rank <= F.floor(size * train), "train").when(rank <= F.floor(size * (train + val)), "val").otherwise("test")
+
+
 def stratified(rows: DataFrame, group: str, k: int, seed: int, key: str) -> DataFrame:
     """min(k, size) rows of every group."""
     return ranked(rows, [group], ticket(seed, key), key).where(F.col("rank") <= k).drop("rank")
