@@ -20,7 +20,8 @@ outside a bucket's largest component meet all others, block by block (``across``
 a band and are linked none stays apart.
 
 Defined results for odd input: null text counts as empty; texts without words are classes of their own;
-a row with null id is a class of its own (null); rows that share an id share a class; other columns are ignored.
+a row with null id is a class of its own (null); rows that share an id share a class, and each of their texts links on its own; other
+columns are ignored. Results do not depend on the order or the partitions of the rows.
 """
 
 from __future__ import annotations
@@ -266,6 +267,45 @@ def _ordered(x: str, y: str) -> list:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, counted: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id and ``class_id``, the smallest id of its class. The result is written, all else removed."""
     storage.bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    repeated = storage.cut(rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col))
+    if repeated.limit(1).count():
+        found = _classes_of_repeated(rows, repeated, id_col, text_col, threshold, counted)
+    else:
+        found = _classes(rows, id_col, text_col, threshold, counted)
+    storage.drop(repeated)
+    return found
+
+
+def _classes_of_repeated(rows: DataFrame, repeated: DataFrame, id_col: str, text_col: str, threshold: float, counted: bool) -> DataFrame:
+    """The same where ids repeat: every different text of such an id takes part under a number of its own, so each pair is judged on its own
+    texts; then the classes of one id's texts are joined."""
+    scratch = storage.Scratch()
+    n, low = rows.agg(F.count("*"), F.min(id_col)).first()
+    low = min(low, 0)
+    if low < -(1 << 62):
+        raise ValueError("ids below -2^62 leave no room for numbers of repeated ids")
+    texts = Heavy(rows, [id_col], n).join(rows, repeated, text_col).select(id_col, text_col).distinct()
+    texts = scratch.cut(texts.select(id_col, text_col, (F.lit(low) - 1 - F.monotonically_increasing_id()).alias("number")))
+    single = rows.join(F.broadcast(repeated) if repeated.count() < skew.FAN else repeated, id_col, "left_anti").select(id_col, text_col)
+    parts = _classes(single.unionByName(texts.select(F.col("number").alias(id_col), text_col)), id_col, text_col, threshold, counted)
+    scratch.tables.append(parts)
+    named = parts.join(texts.select(F.col("number").alias(id_col), F.col(id_col).alias("real")), id_col, "left")
+    named = scratch.cut(named.select(F.coalesce("real", id_col).alias("id"), F.col("class_id").alias("part")), n)
+    first = named.where("id is not null").groupBy("id").agg(F.min("part").alias("first"))
+    same = scratch.cut(skew.lookup(named, first, "id", "part", n).where("part <> first").select("part", "first").distinct(), n)
+    joined = connected_components(same, "part", "first", scratch)
+    whole = skew.lookup(named, joined.withColumnRenamed("node", "part"), "part", "id", n, "left").select("id", F.coalesce("component", "part").alias("part"))
+    whole = scratch.cut(whole.distinct(), n)
+    least = whole.groupBy("part").agg(F.min("id").alias("class_id"))
+    classes = skew.lookup(whole, least, "part", "id", n).where("id is not null").select(F.col("id").alias(id_col), "class_id")
+    found = storage.cut(skew.lookup(rows, classes, id_col, text_col, n, "left").select(id_col, "class_id"))
+    scratch.close()
+    return found
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, counted: bool) -> DataFrame:
+    """Classes of rows whose ids do not repeat."""
     scratch = storage.Scratch()
     judge = dict(docs=docs, id_col=id_col, text_col=text_col, threshold=threshold, counted=counted)
     rows = scratch.cut(sketches(docs, id_col, text_col, counted=counted))

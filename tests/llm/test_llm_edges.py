@@ -78,6 +78,21 @@ def test_near_duplicates(odd, none):
     assert sorted(r.doc_id for r in minhash_dedup.one_per_class(odd.where("doc_id = 2")).collect()) == [2]
 
 
+@pytest.mark.parametrize("dealing", ["one", "by_text", "by_id", "default"])
+def test_near_duplicates_of_ids_with_several_texts(spark, dealing):
+    """20 ids with two unrelated texts each, the second one near the text of another id: no link is lost, however the rows lie."""
+    rows = []
+    for k in range(20):
+        a, b = prose(7000 + k, 120), prose(8000 + k, 120)
+        rows += [(100 + k, b), (100 + k, a), (500 + k, b.replace(b.split()[60], "other", 1))]
+    rows += [(900, prose(1, 90)), (901, prose(1, 90)), (902, prose(2, 90)), (902, prose(3, 90)), (902, prose(3, 90)), (None, prose(2, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = {"one": docs.coalesce(1), "by_text": docs.repartition(5, "text"), "by_id": docs.repartition(3, "doc_id").sortWithinPartitions("doc_id", "text"), "default": docs}[dealing]
+    got = sorted(((r.doc_id, r.class_id) for r in minhash_dedup.near_duplicate_classes(docs).collect()), key=repr)
+    expected = [(i, 100 + i % 100) for i in (*range(100, 120), *range(100, 120), *range(500, 520))] + [(900, 900), (901, 900), (902, 902), (902, 902), (902, 902), (None, None)]
+    assert got == sorted(expected, key=repr)
+
+
 def test_near_duplicates_around_one_text(spark):
     """Copies that are near their source but not each other are one class, whatever the ids; so is a chain."""
     rng = random.Random(9)
