@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prismflow.functions import chemistry as C
 from prismflow.functions import peaks as P
 from prismflow.functions import vectors as V
-from prismflow.operators import active, clusters, distances, evaluate, labels, render, shift, split, structures
+from prismflow.operators import active, clusters, distances, evaluate, labels, layout, render, shift, split, structures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -645,3 +645,24 @@ def badge_select(spark, sf_dir):
 @query
 def badge_select_global(spark, sf_dir):
     return active.badge_select(_badge(spark, sf_dir), None, 6, 12)
+
+
+@query
+def cosine_neighbours(spark, sf_dir):
+    """The 30 nearest rows by cosine distance, from which the layout's graph is made."""
+    rows = layout.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    each = layout.nearest(rows, rows, layout.NEIGHBOURS).select(F.col("id").alias("vec_id"), F.posexplode("near").alias("place", "n"))
+    return each.select("vec_id", (F.col("place") + 1).alias("rank"), F.col("n.j").alias("neighbour"), r6("n.d").alias("d"))
+
+
+@query
+def umap_layout(spark, sf_dir):
+    return layout.fit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@query
+def umap_shift(spark, sf_dir):
+    """Domains apart in the layout, class by class, and where the layout puts their centroids."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("domain", F.col("vec_id") % 2)
+    positions = layout.fit(rows, "vec_id", "embedding")
+    return layout.layout_shift(rows, "vec_id", "embedding", "label", "domain", positions, distances.empirical_w1)

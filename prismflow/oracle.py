@@ -160,6 +160,9 @@ SELECT round(avg(r), 6) + 0.0 AS db_index FROM (SELECT li, max((x.s + y.s) / m)
     "tau_sweep": f"{_DIST} SELECT CAST(p AS INTEGER) AS percentile, round((SELECT quantile_cont(d, list_transform(range(5, 85, 5), lambda x: x / 100)) FROM d)[CAST(p // 5 AS INTEGER)], 6) + 0.0 AS tau FROM range(5, 85, 5) t(p)",
     "cluster_summary": f"""{_DIST}, {_MED}, n AS (SELECT vec_id, label, {_NAME} AS name FROM embeddings)
 SELECT n.vec_id AS id, n.name, n.label, r.name AS representative FROM n JOIN med USING (label) JOIN n r ON r.vec_id = medoid""",
+    "cosine_neighbours": f"""WITH {_E}, u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbour, round(greatest(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 0), 9) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM pairs) WHERE rank <= 30""",
     "label_join": "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "unlabeled_count": "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
     "extra_labels": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
