@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prismflow.functions import chemistry as C
 from prismflow.functions import peaks as P
 from prismflow.functions import vectors as V
-from prismflow.operators import active, clusters, distances, evaluate, labels, layout, render, shift, split, structures
+from prismflow.operators import active, clusters, distances, evaluate, labels, layout, render, shift, split, structures, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,8 +170,8 @@ def unlabeled_count(spark, sf_dir):
 
 @query
 def extra_labels(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return labels.unused(orders, table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
+    """Documents as the labels' side, labels as the inputs: most documents have none."""
+    return labels.unused(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source")
 
 
 @query
@@ -203,7 +203,7 @@ def label_sorted(spark, sf_dir):
 
 @query
 def class_gaps(spark, sf_dir):
-    return labels.class_gaps(table(spark, sf_dir, "orders"), "o_custkey")
+    return labels.class_gaps(table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query
@@ -385,7 +385,7 @@ def class_accuracy(spark, sf_dir):
 
 @query
 def macro_f1(spark, sf_dir):
-    found = evaluate.macro_scores(_predicted(spark, sf_dir))
+    found = evaluate.macro_scores(_predicted(spark, sf_dir)).join(evaluate.cross_entropy(_logits(spark, sf_dir)))
     return found.select(*(r6(c).alias(c) for c in found.columns))
 
 
@@ -666,3 +666,12 @@ def umap_shift(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("domain", F.col("vec_id") % 2)
     positions = layout.fit(rows, "vec_id", "embedding")
     return layout.layout_shift(rows, "vec_id", "embedding", "label", "domain", positions, distances.empirical_w1)
+
+
+@query
+def network_training(spark, sf_dir):
+    """Loss and accuracies of a small network, by epoch; odd ids validate."""
+    rows = training.usable(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    design = training.Design(length=64, classes=10, conv=((4, 9, 4, 2),), dense=(32, 16), dropout=0.2)
+    _, history = training.train(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), design, epochs=3, batch=32, workers=4)
+    return spark.createDataFrame([(h["epoch"], h["train_loss"], h["train_acc"], h["val_acc"]) for h in history], "epoch int, train_loss double, train_acc double, val_acc double")

@@ -81,6 +81,14 @@ def macro_scores(rows: DataFrame) -> DataFrame:
     return each.agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg("p").alias("precision_macro"), F.avg("r").alias("recall_macro"), F.avg("f").alias("f1_macro"))
 
 
+def cross_entropy(logits: DataFrame) -> DataFrame:
+    """One row, ``loss``: mean over ids of minus the logarithm of the softmax at the label; an id whose label is no class counts as nothing.
+    ``logits`` is (id, label, class, logit)."""
+    each = logits.groupBy("id").agg(F.max("logit").alias("top"), F.max(F.when(F.col("class") == F.col("label"), F.col("logit"))).alias("own"), F.collect_list("logit").alias("all"))
+    power = F.aggregate("all", F.lit(0.0), lambda total, z: total + F.exp(z - F.col("top")))
+    return each.select((F.ln(power) + F.col("top") - F.col("own")).alias("l")).agg(F.avg("l").alias("loss"))
+
+
 def round_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """Per round: seeds, mean and sample deviation (0 for one seed) of each metric."""
     stats = [s for m in metrics for s in (F.avg(m).alias(f"{m}_mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std"))]

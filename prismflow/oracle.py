@@ -165,14 +165,14 @@ pairs AS (SELECT a.vec_id, b.vec_id AS neighbour, round(greatest(1 - list_dot_pr
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM pairs) WHERE rank <= 30""",
     "label_join": "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "unlabeled_count": "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
-    "extra_labels": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "extra_labels": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_first": "SELECT p_brand, arg_min(p_size, p_partkey) AS p_size FROM part GROUP BY p_brand",
     "label_last_wins": "SELECT p_size, trim(arg_max(p_name, p_partkey)) AS p_name FROM part GROUP BY p_size",
     "label_conflicts": "SELECT p_brand, count(DISTINCT p_size) AS n_labels FROM part GROUP BY p_brand HAVING n_labels > 1",
     "label_validate": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '' || p_size WHEN 1 THEN ' ' || p_size || '.0 ' WHEN 2 THEN p_size || '.5' WHEN 3 THEN '-' || p_size WHEN 4 THEN 'x' ELSE ' ' END AS raw,
   CASE WHEN p_partkey % 6 < 2 THEN CAST(p_size AS BIGINT) END AS label, CASE p_partkey % 6 WHEN 2 THEN 'not whole' WHEN 3 THEN 'negative' WHEN 4 THEN 'not numeric' WHEN 5 THEN 'empty' END AS problem FROM part""",
     "label_sorted": "SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS position FROM (SELECT DISTINCT p_name FROM part)",
-    "class_gaps": "SELECT (SELECT max(o_custkey) + 1 FROM orders) AS n_classes, g AS gap FROM range(0, (SELECT max(o_custkey) + 1 FROM orders)) t(g) WHERE g NOT IN (SELECT o_custkey FROM orders)",
+    "class_gaps": "SELECT (SELECT max(doc_id) + 1 FROM labels) AS n_classes, g AS gap FROM range(0, (SELECT max(doc_id) + 1 FROM labels)) t(g) WHERE g NOT IN (SELECT doc_id FROM labels)",
     "class_index": "SELECT label, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY label",
     "dedup_last": "SELECT p_brand, p_type, max(p_partkey) AS p_partkey FROM part GROUP BY ALL",
     "dup_groups": "SELECT p_brand, p_type, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_brand, p_type HAVING n > 1",
@@ -204,7 +204,9 @@ SELECT p_brand, count(*) AS total_available, count(*) AS selected_count, count(*
     "class_accuracy": f"{_PRED} SELECT label, count(*) FILTER (label = predicted) AS correct, count(*) AS count, round(count(*) FILTER (label = predicted) / count(*), 6) + 0.0 AS accuracy FROM pred WHERE domain = 1 GROUP BY label",
     "macro_f1": f"""{_PRED}, t AS (SELECT label, count(*) AS t, count(*) FILTER (label = predicted) AS hit FROM pred GROUP BY label), s AS (SELECT predicted AS label, count(*) AS s FROM pred GROUP BY predicted),
 b AS (SELECT coalesce(t, 0) AS t, coalesce(s, 0) AS s, coalesce(hit, 0) AS hit FROM t FULL JOIN s USING (label)), sc AS (SELECT *, CASE WHEN s > 0 THEN hit / s ELSE 0.0 END AS p, CASE WHEN t > 0 THEN hit / t ELSE 0.0 END AS r FROM b)
-SELECT round(sum(hit) / sum(t), 6) + 0.0 AS accuracy, round(avg(p), 6) + 0.0 AS precision_macro, round(avg(r), 6) + 0.0 AS recall_macro, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) + 0.0 AS f1_macro FROM sc""",
+SELECT round(sum(hit) / sum(t), 6) + 0.0 AS accuracy, round(avg(p), 6) + 0.0 AS precision_macro, round(avg(r), 6) + 0.0 AS recall_macro, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) + 0.0 AS f1_macro,
+  (SELECT round(avg(ln(s) + top - own), 6) + 0.0 FROM (SELECT vec_id, any_value(top) AS top, sum(exp(logit - top)) AS s, max(logit) FILTER (class = label) AS own
+    FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS top FROM logit) GROUP BY vec_id)) AS loss FROM sc""",
     "round_summary": f"WITH {_RUNS} SELECT round, count(DISTINCT seed) AS n_seeds, round(avg(acc), 6) + 0.0 AS acc_mean, round(coalesce(stddev_samp(acc), 0), 6) + 0.0 AS acc_std, round(avg(f1), 6) + 0.0 AS f1_mean, round(coalesce(stddev_samp(f1), 0), 6) + 0.0 AS f1_std FROM runs GROUP BY round",
     "final_by_seed": f"WITH {_RUNS} SELECT seed, max(round) AS round, round(arg_max(acc, round), 6) + 0.0 AS acc FROM runs GROUP BY seed",
     "metric_stats": f"WITH {_RUNS} SELECT 'acc' AS metric, round(avg(acc), 6) + 0.0 AS mean, round(stddev_samp(acc), 6) + 0.0 AS std FROM runs UNION ALL SELECT 'f1', round(avg(f1), 6) + 0.0, round(stddev_samp(f1), 6) + 0.0 FROM runs",

@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"complete_linkage", "umap_layout", "umap_shift"}
+    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"complete_linkage", "network_training", "umap_layout", "umap_shift"}
 
 
 def test_linkage_diameter_stays_below_tau(spark):
