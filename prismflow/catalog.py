@@ -15,6 +15,7 @@ from prismflow.functions import chemistry as C
 from prismflow.functions import peaks as P
 from prismflow.functions import vectors as V
 from prismflow.operators import active, clusters, distances, evaluate, labels, layout, render, shift, split, structures, training
+from prismflow.plans import dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,6 +153,13 @@ def complete_linkage(spark, sf_dir):
     return clusters.complete_linkage(dist, _labels(spark, sf_dir), clusters.thresholds(dist))
 
 
+@query
+def cluster_sweep(spark, sf_dir):
+    """All sixteen cuts of the dendrogram, rated together."""
+    found = dataset.cluster_sweep(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _names(spark, sf_dir), STEP)
+    return found.select(*(r6(c).alias(c) if t == "double" else c for c, t in found.dtypes))
+
+
 @query
 def cluster_summary(spark, sf_dir):
     return clusters.summary(_labels(spark, sf_dir), clusters.medoids(_dist(spark, sf_dir), _labels(spark, sf_dir)), _names(spark, sf_dir))

@@ -52,19 +52,6 @@ def test_thresholds_and_strict_cut(line):
     assert cut.select("label").distinct().count() == 3
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(st.floats(0, 10), st.floats(0, 10)), min_size=2, max_size=9, unique=True))
-def test_dendrogram_heights_are_diameters(points):
-    p = np.array(points)
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
-    i, j = np.triu_indices(len(p), 1)
-    top = [{k} for k in range(len(p))]
-    for height, a, b in clusters.merge_heights(len(p), i, j, d[i, j]):
-        both = next(s for s in top if a in s) | next(s for s in top if b in s)
-        top = [s for s in top if not s & both] + [both]
-        assert height == pytest.approx(max(d[x, y] for x in both for y in both))
-
-
 def test_grid_distance():
     prepare, distance = distances.grid_w1(1.0)
     x = prepare(np.array([[0.2, 0.3, 0.5], [0.1, 0.6, 0.3], [0, 0, 0]]))

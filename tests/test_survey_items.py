@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismflow import storage
 from prismflow.functions import chemistry, peaks
-from prismflow.operators import active, distances, evaluate, labels, network, render, split, structures
+from prismflow.operators import active, clusters, distances, evaluate, labels, network, render, split, structures
 from prismflow.plans import dataset
 from prismflow.sources import patterns, sinks
 
@@ -270,11 +270,11 @@ def test_named_outputs_of_a_sweep(spark, tmp_path):
     dist = distances.pairwise(rows, "id", "v", prepare, distance)
     names = rows.select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
     assigned = spark.createDataFrame([(5, k, k // 2) for k in range(6)], "percentile int, id long, label int")
-    dataset.sweep_outputs(dist, assigned, names, str(tmp_path / "out"), [5])
-    assert sorted(p.name for p in (tmp_path / "out" / "percentile=5").iterdir()) == sorted(sinks.CLUSTER_TABLES)
-    assert spark.read.csv(str(tmp_path / "out" / "percentile=5" / "prototypes"), header=True).count() == 3
+    dataset.sweep_outputs(assigned, *clusters.sweep(dist, assigned), names, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(sinks.CLUSTER_TABLES)
+    assert spark.read.csv(str(tmp_path / "out" / "prototypes" / "percentile=5"), header=True).count() == 3
     with pytest.raises(ValueError, match="cluster tables"):
-        sinks.write_clusters({}, str(tmp_path), 5)
+        sinks.write_clusters({}, str(tmp_path))
 
 
 def test_search_goes_on_where_it_stopped(spark, tmp_path):
