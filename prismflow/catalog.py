@@ -623,6 +623,25 @@ def near_dup_anti(spark, sf_dir):
     return render.far_from_all(rows, rows, ["a", "b"])
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as structures: many in one cell, many near each other."""
+    sides = [(F.floor("c_acctbal") * 0.004).alias("a"), F.col("c_nationkey").cast("double").alias("b")]
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *sides)
+
+
+@query
+def near_lattices(spark, sf_dir):
+    rows = _cells(spark, sf_dir)
+    return render.near_lattices(rows, rows, ["a", "b"])
+
+
+@query
+def impurity_draw(spark, sf_dir):
+    """Two references for every structure out of those that are not near-identical to it."""
+    rows = _cells(spark, sf_dir)
+    return render.drawn_references(rows, rows, ["a", "b"], "6", 2)
+
+
 def _badge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.transform(V.one_hot(F.col("label"), 10), lambda x: x - 0.1)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", p.alias("p"), doubles().alias("h"))

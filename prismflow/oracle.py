@@ -247,6 +247,12 @@ _BADGE = f"""WITH {_E}, b AS (SELECT vec_id AS id, label, v AS h, list_transform
   bd AS (SELECT x.id, centre, sqrt(greatest(0, x.q + y.q - 2 * list_dot_product(x.p, y.p) * list_dot_product(x.h, y.h))) AS d FROM n x, c JOIN n y ON y.id = centre)"""
 ORACLE["badge_distance"] = f"{_BADGE} SELECT id, centre, round(d, 5) AS d FROM bd"
 ORACLE["badge_min_d"] = f"{_BADGE} SELECT id, round(min(d), 5) AS d FROM bd GROUP BY id"
+_CELLS = "n AS (SELECT c_custkey AS id, floor(c_acctbal) * 0.004::DOUBLE AS a, c_nationkey::DOUBLE AS b FROM customer)"
+_NEAR = "abs(s.a - r.a) <= 0.01 + 1e-5 * abs(r.a) AND abs(s.b - r.b) <= 0.01 + 1e-5 * abs(r.b)"
+ORACLE["near_lattices"] = f"WITH {_CELLS}, l AS (SELECT DISTINCT a, b FROM n) SELECT s.a, s.b, r.a AS ref_a, r.b AS ref_b FROM l s JOIN l r ON {_NEAR}"
+ORACLE["impurity_draw"] = f"""WITH {_CELLS}, free AS (SELECT s.id AS structure, r.id AS reference, row_number() OVER (PARTITION BY s.id ORDER BY r.a, r.b, r.id) - 1 AS place, count(*) OVER (PARTITION BY s.id) AS total
+  FROM n s JOIN n r ON NOT ({_NEAR}))
+SELECT structure, CAST(k AS INTEGER) AS k, reference FROM free, range(0, 2) t(k) WHERE place = CAST('0x' || substr(md5('6-' || structure || '-' || k), 1, 12) AS BIGINT) % total"""
 ORACLE["class_range"] = "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
 ORACLE["distinct_classes"] = "SELECT event_type, min(event_id) AS first FROM events GROUP BY event_type"
 ORACLE["row_alignment"] = "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, label FROM embeddings"
