@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow import storage
 from prismflow.functions import chemistry as C
 from prismflow.functions import peaks as P
 from prismflow.functions import vectors as V
@@ -149,7 +150,7 @@ def tau_sweep(spark, sf_dir):
 
 @query
 def complete_linkage(spark, sf_dir):
-    dist = _dist(spark, sf_dir)
+    dist = storage.cut(_dist(spark, sf_dir))
     return clusters.complete_linkage(dist, _labels(spark, sf_dir), clusters.thresholds(dist))
 
 
@@ -623,7 +624,7 @@ def near_dup_anti(spark, sf_dir):
     return render.far_from_all(rows, rows, ["a", "b"])
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lattice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as structures: many in one cell, many near each other."""
     sides = [(F.floor("c_acctbal") * 0.004).alias("a"), F.col("c_nationkey").cast("double").alias("b")]
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *sides)
@@ -631,14 +632,14 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_lattices(spark, sf_dir):
-    rows = _cells(spark, sf_dir)
+    rows = _lattice_rows(spark, sf_dir)
     return render.near_lattices(rows, rows, ["a", "b"])
 
 
 @query
 def impurity_draw(spark, sf_dir):
     """Two references for every structure out of those that are not near-identical to it."""
-    rows = _cells(spark, sf_dir)
+    rows = _lattice_rows(spark, sf_dir)
     return render.drawn_references(rows, rows, ["a", "b"], "6", 2)
 
 

@@ -255,7 +255,7 @@ def train(rows: DataFrame, validation: DataFrame, design: Design, epochs: int, b
                 state = optimizer(state, grads) | {k: KEEP * state[k] + (1 - KEEP) * v for k, v in stats.items()}
                 total += [n, n * loss, n * right]
             reached = accuracy(validation, state)
-            history.append({"epoch": epoch, "train_loss": total[1] / total[0], "train_acc": total[2] / total[0], "val_acc": reached})
+            history.append({"epoch": epoch, "train_loss": float(total[1] / total[0]), "train_acc": float(total[2] / total[0]), "val_acc": reached})
             if reached > best_accuracy:
                 best, best_accuracy = state, reached
             if report:

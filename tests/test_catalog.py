@@ -23,6 +23,14 @@ def test_every_query_has_sql_or_a_test():
     assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"cluster_sweep", "complete_linkage", "network_training", "umap_layout", "umap_shift"}
 
 
+def test_training_and_sweep_over_the_table(spark):
+    epochs = catalog.network_training(spark, SF).orderBy("epoch").collect()
+    assert [r.epoch for r in epochs] == [0, 1, 2] and all(r.train_loss > 0 and 0 <= r.val_acc <= 1 for r in epochs)
+    cuts = catalog.cluster_sweep(spark, SF).orderBy("percentile").collect()
+    assert [r.percentile for r in cuts] == list(range(5, 85, 5)) and {r.n_samples for r in cuts} == {500}
+    assert [r.n_clusters for r in cuts] == sorted((r.n_clusters for r in cuts), reverse=True)
+
+
 def test_linkage_diameter_stays_below_tau(spark):
     dist = {(r.i, r.j): r.d for r in catalog._dist(spark, SF).collect()}
     cut: dict[tuple[int, int], list[int]] = {}
