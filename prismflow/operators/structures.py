@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismflow.functions import lattices
 from prismflow.operators import split
 
+PRIMITIVE = "lengths array<double>, angles array<double>, volume double, multiplicity int, sites array<struct<element:string,x:double,y:double,z:double,occupancy:double>>, problem string"
+
 
 def ordered_only(rows: DataFrame, enforce: bool = True) -> DataFrame:
     """Structures without partly filled sites; all of them unless ``enforce`` is set."""
@@ -18,6 +25,37 @@ def compounds_only(rows: DataFrame, elements: Column, include_elements: bool = F
     return rows if include_elements else rows.where(F.size(elements) > 1)
 
 
+def primitive_cells(rows: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """(name, prim_lengths, prim_angles, prim_volume, multiplicity, prim_sites, prim_problem) of structures as ``read_cifs`` gives them.
+
+    Listed sites are carried over the cell by the file's symmetry operations; translations that carry every site to one of its kind (element and
+    occupancy) within ``tolerance`` show a centred or repeated cell; the lattice they span is reduced to its shortest vectors. ``multiplicity`` is how many
+    primitive cells fill the given one. Structures that have a problem, or no sites or possible cell, get null columns and say why.
+    """
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for name, lengths, angles, sites, operations in part.itertuples(index=False):
+                row = {"name": name, "problem": None, "lengths": None, "angles": None, "volume": None, "multiplicity": None, "sites": None}
+                try:
+                    if sites is None or not len(sites):
+                        raise ValueError("no sites")
+                    kinds = [(s["element"], round(s["occupancy"], 6)) for s in sites]
+                    places = np.array([[s[c] for c in "xyz"] for s in sites], float)
+                    found = lattices.primitive(list(lengths), list(angles), kinds, places, list(operations) if operations is not None else [], tolerance)
+                    row |= {k: found[k] for k in ("lengths", "angles", "volume", "multiplicity")}
+                    row["sites"] = [{"element": e, "x": x, "y": y, "z": z, "occupancy": o} for (e, o), (x, y, z) in zip(found["kinds"], found["places"].tolist(), strict=True)]
+                except (ValueError, TypeError, np.linalg.LinAlgError) as error:
+                    row["problem"] = str(error)
+                out.append(row)
+            frame = pd.DataFrame(out, columns=["name", "lengths", "angles", "volume", "multiplicity", "sites", "problem"])
+            yield frame.astype({"multiplicity": "Int32"})
+
+    found = rows.select("name", "lengths", "angles", "sites", "operations").mapInPandas(work, f"name string, {PRIMITIVE}")
+    return found.select("name", *(F.col(c).alias(c if c == "multiplicity" else f"prim_{c}") for c in ("lengths", "angles", "volume", "multiplicity", "sites", "problem")))
+
+
 def unique_structures(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """The last structure of every (formula, space group), and the groups with more than one: (formula, sg, n, members)."""
     known = rows.where("formula is not null and sg is not null")

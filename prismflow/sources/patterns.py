@@ -165,7 +165,7 @@ def check_square(dist: DataFrame, names: DataFrame) -> DataFrame:
     return dist
 
 
-CIF_SCHEMA = "name string, formula string, sg int, lengths array<double>, angles array<double>, ordered boolean, sites array<struct<element:string,x:double,y:double,z:double,occupancy:double>>, problem string"
+CIF_SCHEMA = "name string, formula string, sg int, lengths array<double>, angles array<double>, ordered boolean, sites array<struct<element:string,x:double,y:double,z:double,occupancy:double>>, operations array<string>, problem string"
 
 
 def _number(text: str) -> float:
@@ -212,20 +212,22 @@ def parse_cif(text: str) -> dict:
                 sites.append({"element": element[0] if element else row[kind], **{a: _number(row[column[f"_atom_site_fract_{a}"]]) for a in "xyz"}, "occupancy": filled})
     if not sites:
         raise ValueError("no sites")
+    symmetry = ("_symmetry_equiv_pos_as_xyz", "_space_group_symop_operation_xyz")
+    operations = [v for names, values in loops for k, v in enumerate(values) if names[k % len(names)] in symmetry]
     group = next((single[k] for k in ("_space_group_it_number", "_symmetry_int_tables_number") if k in single), None)
     formula = single.get("_chemical_formula_sum")
     return {
         "formula": re.sub(r"(?<=[A-Za-z])1(?=$|[A-Z])", "", formula.replace(" ", "")) if formula else None,
         "sg": int(group) if group and group.isdigit() else None,
-        "lengths": lengths, "angles": angles, "ordered": all(s["occupancy"] >= 1 - 1e-8 for s in sites), "sites": sites,
+        "lengths": lengths, "angles": angles, "ordered": all(s["occupancy"] >= 1 - 1e-8 for s in sites), "sites": sites, "operations": operations,
     }
 
 
 def read_cifs(spark: SparkSession, folder: str, tolerance: float = 1.5) -> DataFrame:
     """Structures of all CIF files of a folder, one row per file; ``problem`` says why a file could not be read (its other columns are null).
 
-    Space group and formula are the file's own statements, the name's suffix (``_123``) stands in for a missing group; cells are not
-    reduced to primitive ones. A site filled beyond ``tolerance`` is a problem.
+    Space group and formula are the file's own statements, the name's suffix (``_123``) stands in for a missing group; see
+    ``structures.primitive_cells`` for primitive cells. A site filled beyond ``tolerance`` is a problem.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cif").load(folder).select(F.expr("url_decode(element_at(split(path, '/'), -1))").alias("file"), "content")
 

@@ -1,0 +1,88 @@
+"""Primitive cells of known structures."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from prismflow.functions import lattices
+from prismflow.operators import structures
+from prismflow.sources import patterns
+
+FCC = [(0, 0, 0), (0, 0.5, 0.5), (0.5, 0, 0.5), (0.5, 0.5, 0)]
+CUBIC = ([4.0] * 3, [90.0] * 3)
+
+
+def found(lengths, angles, sites, operations=(), tolerance=0.05):
+    kinds, places = [s[0] for s in sites], np.array([s[1:] for s in sites], float)
+    return lattices.primitive(lengths, angles, kinds, places, list(operations), tolerance)
+
+
+@pytest.mark.parametrize(
+    ("cell", "sites", "multiplicity", "lengths", "angles"),
+    [
+        (CUBIC, [("Cu", *p) for p in FCC], 4, [4 / 2**0.5] * 3, 60),
+        (CUBIC, [("Fe", 0, 0, 0), ("Fe", 0.5, 0.5, 0.5)], 2, [2 * 3**0.5] * 3, 70.528779),
+        (CUBIC, [("Cs", 0, 0, 0), ("Cl", 0.5, 0.5, 0.5)], 1, [4.0] * 3, 90),
+        (CUBIC, [("Na", *p) for p in FCC] + [("Cl", *np.add(p, 0.5) % 1) for p in FCC], 4, [4 / 2**0.5] * 3, 60),
+        (CUBIC, [("C", *p) for p in FCC] + [("C", *np.add(p, 0.25)) for p in FCC], 4, [4 / 2**0.5] * 3, 60),
+        (([3.0, 5.0, 7.0], [90.0] * 3), [("A", 0, 0, 0), ("A", 0.5, 0.5, 0)], 2, None, None),
+        (([5.0, 5.0, 12.0], [90.0, 90.0, 120.0]), [("B", 0, 0, 0), ("B", 2 / 3, 1 / 3, 1 / 3), ("B", 1 / 3, 2 / 3, 2 / 3)], 3, None, None),
+    ],
+)
+def test_known_cells(cell, sites, multiplicity, lengths, angles):
+    got = found(*cell, sites)
+    assert got["multiplicity"] == multiplicity and len(got["kinds"]) * multiplicity == len(sites)
+    assert np.isclose(got["volume"] * multiplicity, np.linalg.det(lattices.vectors(*cell)))
+    if lengths:
+        assert np.allclose(got["lengths"], lengths)
+        assert np.allclose(np.minimum(got["angles"], 180 - np.array(got["angles"])), angles)
+
+
+def test_repeated_cell_of_a_perovskite():
+    one = [("Ba", 0, 0, 0), ("Ti", 0.5, 0.5, 0.5), ("O", 0.5, 0.5, 0), ("O", 0.5, 0, 0.5), ("O", 0, 0.5, 0.5)]
+    many = [(e, (x + i) / 2, (y + j) / 3, (z + k) / 2) for e, x, y, z in one for i in range(2) for j in range(3) for k in range(2)]
+    got = found([8.0, 12.0, 8.0], [90.0] * 3, many)
+    assert got["multiplicity"] == 12 and np.allclose(got["lengths"], 4) and np.allclose(got["angles"], 90)
+    assert sorted(got["kinds"]) == ["Ba", "O", "O", "O", "Ti"]
+    many[3] = ("Ba", many[3][1] + 0.1, *many[3][2:])
+    assert found([8.0, 12.0, 8.0], [90.0] * 3, many)["multiplicity"] == 1
+
+
+def test_symmetry_operations_fill_the_cell():
+    operations = ["x,y,z", "x, y+1/2, z+1/2", "x+1/2,y,z+1/2", "1/2+x,1/2+y,z", "-x,-y,-z"]
+    got = found(*CUBIC, [("Na", 0, 0, 0), ("Cl", 0.5, 0.5, 0.5)], operations)
+    assert got["multiplicity"] == 4 and sorted(got["kinds"]) == ["Cl", "Na"]
+    matrix, shift = lattices.operation("-y, x-y, z+1/3")
+    assert matrix.tolist() == [[0, -1, 0], [1, -1, 0], [0, 0, 1]] and np.allclose(shift, [0, 0, 1 / 3])
+    for wrong in ("x,y", "x,y,w", "x,,z", "2x*,y,z"):
+        with pytest.raises(ValueError, match="not an operation"):
+            lattices.operation(wrong)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-3, 3), min_size=9, max_size=9), st.integers(0, 10_000))
+def test_reduction_does_not_depend_on_the_basis(steps, seed):
+    lattice = np.random.default_rng(seed).normal(size=(3, 3)) + 3 * np.eye(3)
+    turn = np.eye(3)
+    for k, (i, j) in enumerate([(0, 1), (1, 2), (2, 0), (1, 0), (2, 1), (0, 2)] * 2):
+        turn[i] += steps[k % 9] * turn[j]
+    one, other = lattices.reduced(lattice), lattices.reduced(turn @ lattice)
+    assert np.isclose(abs(np.linalg.det(one)), abs(np.linalg.det(lattice)))
+    assert np.allclose(np.sort(np.linalg.norm(one, axis=1)), np.sort(np.linalg.norm(other, axis=1)), rtol=1e-6)
+    whole = one @ np.linalg.inv(lattice)
+    assert np.allclose(whole, np.rint(whole), atol=1e-6)
+
+
+def test_cells_of_files(spark, tmp_path):
+    head = "data_x\n_cell_length_a 4\n_cell_length_b 4\n_cell_length_c 4\n_chemical_formula_sum 'Na Cl'\n_symmetry_Int_Tables_number 225\n"
+    loop = "loop_\n_symmetry_equiv_pos_as_xyz\n'x,y,z'\n'x,y+1/2,z+1/2'\n'x+1/2,y,z+1/2'\n'x+1/2,y+1/2,z'\n"
+    sites = "loop_\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\nNa 0 0 0\nCl 0.5 0.5 0.5\n"
+    (tmp_path / "salt.cif").write_text(head + loop + sites)
+    (tmp_path / "plain.cif").write_text(head + sites)
+    (tmp_path / "flat.cif").write_text(head + "_cell_angle_alpha 60\n_cell_angle_beta 60\n_cell_angle_gamma 150\n" + sites)
+    (tmp_path / "none.cif").write_text("data_y\n")
+    got = {r.name: r for r in structures.primitive_cells(patterns.read_cifs(spark, str(tmp_path))).collect()}
+    assert (got["salt"].multiplicity, len(got["salt"].prim_sites)) == (4, 2) and np.isclose(got["salt"].prim_volume, 16)
+    assert got["plain"].multiplicity == 1 and np.isclose(got["plain"].prim_volume, 64)
+    assert "angles" in got["flat"].prim_problem and got["flat"].multiplicity is None and got["none"].prim_problem == "no sites"
