@@ -703,3 +703,17 @@ def network_training(spark, sf_dir):
     design = training.Design(length=64, classes=10, conv=((4, 9, 4, 2),), dense=(32, 16), dropout=0.2)
     _, history = training.train(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), design, epochs=3, batch=32, workers=4)
     return spark.createDataFrame([(h["epoch"], h["train_loss"], h["train_acc"], h["val_acc"]) for h in history], "epoch int, train_loss double, train_acc double, val_acc double")
+
+
+@query
+def structure_strain(spark, sf_dir):
+    """Two strained copies of every structure, ordered or not."""
+    rows = _groups(spark, sf_dir).select(
+        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("name"),
+        "sg",
+        F.array(F.lit(4.0), F.lit(5.0), F.lit(6.0)).alias("lengths"),
+        F.array(F.lit(80.0), F.lit(95.0), F.lit(100.0)).alias("angles"),
+        (F.col("p_partkey") % 2 == 0).alias("ordered"),
+    )
+    found = structures.strained(rows, "9", 2)
+    return found.select("name", "copy", "sg", "ordered", F.posexplode(F.concat("lengths", "angles")).alias("i", "x")).withColumn("x", r6("x"))

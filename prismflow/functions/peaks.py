@@ -133,6 +133,19 @@ def strained_lattice(lattice: Column, tensor: Column) -> Column:
     return bound(F.struct(lattice.alias("lattice"), tensor.alias("tensor")), product)
 
 
+def cell_of(lattice: Column) -> Column:
+    """struct(lengths, angles) of three lattice vectors, given as rows."""
+
+    def measured(m: Column) -> Column:
+        at = lambda i, j: F.element_at(F.element_at(m, i), j)
+        dot = lambda i, j: at(i, 1) * at(j, 1) + at(i, 2) * at(j, 2) + at(i, 3) * at(j, 3)
+        length = [F.sqrt(dot(i, i)) for i in (1, 2, 3)]
+        between = lambda i, j: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(i, j) / (length[i - 1] * length[j - 1])))))
+        return F.struct(F.array(*length).alias("lengths"), F.array(between(2, 3), between(1, 3), between(1, 2)).alias("angles"))
+
+    return bound(lattice, measured)
+
+
 def impurity_mixed(clean: Column, impurity: Column, magnitude: Column) -> Column:
     """clean + magnitude * impurity / max(impurity), scaled to a maximum of 100."""
     mixed = F.zip_with(clean, impurity, lambda a, b: a + magnitude * F.try_divide(b, F.array_max(impurity)))

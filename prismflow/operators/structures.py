@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismflow.functions import lattices
+from prismflow.functions import chemistry, lattices
+from prismflow.functions import peaks as P
 from prismflow.operators import split
 
 PRIMITIVE = "lengths array<double>, angles array<double>, volume double, multiplicity int, sites array<struct<element:string,x:double,y:double,z:double,occupancy:double>>, problem string"
@@ -56,6 +57,22 @@ def primitive_cells(rows: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return found.select("name", *(F.col(c).alias(c if c == "multiplicity" else f"prim_{c}") for c in ("lengths", "angles", "volume", "multiplicity", "sites", "problem")))
 
 
+def strained(rows: DataFrame, seed: str, times: int = 1, most: float = 0.04) -> DataFrame:
+    """``times`` strained copies of every structure with a known space group: its columns with new ``lengths`` and ``angles``, and ``copy`` from 0.
+
+    An ordered structure changes those lattice parameters that its crystal system leaves free, so the symmetry stays; in a disordered one the tensor of its
+    symmetry class acts on the lattice vectors. Every entry is one of 1000 steps from -``most`` to ``most``, fixed by seed, name and copy. Fractional
+    coordinates stay, so atoms move with the cell.
+    """
+    step = lambda entry: (2 * P.pick(f"{seed}-{entry}", F.col("name"), F.col("copy"), n=1000) / 999.0 - 1) * most
+    copies = rows.where("sg between 1 and 230").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    kept = P.strained_cell(chemistry.crystal_system(F.col("sg")), F.col("lengths"), F.col("angles"), F.array(*(step(k) for k in range(6))))
+    tensor = P.strain_tensor(chemistry.strain_class(F.col("sg")), {f"s{i}{j}": step(f"s{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)})
+    turned = P.cell_of(P.strained_lattice(P.cell_matrix(F.col("lengths"), F.col("angles")), tensor))
+    moved = copies.withColumn("_cell", F.when(F.col("ordered"), kept).otherwise(turned))
+    return moved.select(*(F.col(f"_cell.{c}").alias(c) if c in ("lengths", "angles") else c for c in rows.columns), "copy")
+
+
 def unique_structures(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """The last structure of every (formula, space group), and the groups with more than one: (formula, sg, n, members)."""
     known = rows.where("formula is not null and sg is not null")

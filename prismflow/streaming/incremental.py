@@ -1,7 +1,6 @@
 """Incremental processing: rows that arrive in a folder are handled once.
 
-The reference's nearest counterpart is skipping inputs whose output exists; watermarks and windows here are plain
-Spark, kept apart from the operators.
+The reference's nearest counterpart is skipping inputs whose output exists. See ``jobs`` for jobs with a stream.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prismflow.operators.split import not_done
@@ -33,7 +31,3 @@ def process_new(spark: SparkSession, source: str, schema: str, target: str, stat
 
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start()
 
-
-def windowed_means(rows: DataFrame, time: str, key: str, value: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Spark breadth, not from the reference: means per key and tumbling window with a bound on lateness."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

@@ -1,11 +1,15 @@
 """Primitive cells of known structures."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from prismflow.functions import lattices
+from prismflow import catalog
+from prismflow.functions import chemistry, lattices
 from prismflow.operators import structures
 from prismflow.sources import patterns
 
@@ -86,3 +90,55 @@ def test_cells_of_files(spark, tmp_path):
     assert (got["salt"].multiplicity, len(got["salt"].prim_sites)) == (4, 2) and np.isclose(got["salt"].prim_volume, 16)
     assert got["plain"].multiplicity == 1 and np.isclose(got["plain"].prim_volume, 64)
     assert "angles" in got["flat"].prim_problem and got["flat"].multiplicity is None and got["none"].prim_problem == "no sites"
+
+
+def numpy_tensor(kind, s):
+    z = 0.0
+    return np.array(
+        {
+            "cubic": [[s["11"], z, z], [z, s["11"], z], [z, z, s["11"]]],
+            "high-sym hexagonal/tetragonal": [[s["11"], z, z], [z, s["11"], z], [z, z, s["33"]]],
+            "low-sym hexagonal/tetragonal": [[s["11"], s["12"], z], [-s["12"], s["22"], z], [z, z, s["33"]]],
+            "orthorhombic": [[s["11"], z, z], [z, s["22"], z], [z, z, s["33"]]],
+            "monoclinic": [[s["11"], z, z], [z, s["22"], s["23"]], [z, s["23"], s["33"]]],
+            "triclinic": [[s["11"], s["12"], s["13"]], [s["21"], s["22"], s["23"]], [s["31"], s["32"], s["33"]]],
+        }[kind]
+    )
+
+
+def test_strained_structures_against_plain_python(spark):
+    """Every row of the registered query: free parameters of ordered structures, the tensor on the vectors of others."""
+    pick = lambda *keys: int(hashlib.md5("-".join(map(str, keys)).encode()).hexdigest()[:8], 16) % 1000
+    lengths, angles = np.array([4.0, 5.0, 6.0]), np.array([80.0, 95.0, 100.0])
+    classes = {r.sg: (r.system, r.kind) for r in spark.range(1, 231).selectExpr("cast(id as int) as sg").select("sg", chemistry.crystal_system(F.col("sg")).alias("system"), chemistry.strain_class(F.col("sg")).alias("kind")).collect()}
+    got = {}
+    for r in catalog.structure_strain(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault((r.name, r.copy, r.sg, r.ordered), {})[r.i] = r.x
+    assert {k[3] for k in got} == {True, False} and {k[1] for k in got} == {0, 1}
+    for (name, copy, sg, ordered), found in got.items():
+        step = lambda entry: (2 * pick(f"9-{entry}", name, copy) / 999 - 1) * 0.04  # noqa: B023, E731
+        system, kind = classes[sg]
+        if ordered:
+            s = [1 + step(k) for k in range(6)]
+            one = system in ("cubic", "tetragonal", "hexagonal", "trigonal")
+            cell = [*lengths * [s[0], s[0] if one else s[1], s[0] if system == "cubic" else s[2]]]
+            cell += [*angles * [s[3] if system == "triclinic" else 1, s[4] if system in ("triclinic", "monoclinic") else 1, s[5] if system == "triclinic" else 1]]
+        else:
+            tensor = numpy_tensor(kind, {f"{i}{j}": step(f"s{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)})
+            al, be, ga = np.radians(angles)
+            turn = np.arccos((np.cos(al) * np.cos(be) - np.cos(ga)) / (np.sin(al) * np.sin(be)))
+            a, b, c = lengths
+            rows = np.array([[a * np.sin(be), 0, a * np.cos(be)], [-b * np.sin(al) * np.cos(turn), b * np.sin(al) * np.sin(turn), b * np.cos(al)], [0, 0, c]])
+            cell = [x for part in lattices.cell(rows @ (np.eye(3) + tensor)) for x in part]
+        assert np.allclose([found[i] for i in range(6)], cell, atol=2e-6), (name, copy)
+
+
+def test_strain_keeps_other_columns_and_drops_unknown_groups(spark):
+    rows = spark.createDataFrame([("a", 225, [4.0] * 3, [90.0] * 3, True, 7), ("b", None, [4.0] * 3, [90.0] * 3, True, 8), ("c", 0, None, None, True, 9), ("d", 2, None, None, False, 9)], "name string, sg int, lengths array<double>, angles array<double>, ordered boolean, more int")
+    found = structures.strained(rows, "1", 3)
+    assert found.columns == [*rows.columns, "copy"]
+    got = {(r.name, r.copy): r for r in found.collect()}
+    assert set(got) == {(n, k) for n in "ad" for k in range(3)}
+    for k in range(3):
+        assert len(set(got["a", k].lengths)) == 1 and got["a", k].angles == [90.0] * 3 and got["a", k].more == 7
+        assert got["d", k].lengths is None or None in got["d", k].lengths
