@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismflow import storage
@@ -78,8 +78,8 @@ def empirical_w1(rows: DataFrame, keys: list[str], side: str, value: str) -> Dat
     return steps.select(*keys, area.alias("area")).groupBy(*keys).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("w1"))
 
 
-def badge_distance(p: str, h: str, pc: str, hc: str):
+def badge_distance(p: str | Column, h: str | Column, pc: str | Column, hc: str | Column) -> Column:
     """Distance of the outer products of (p, h) and (pc, hc) without forming them."""
-    p, h, pc, hc = (F.col(x) for x in (p, h, pc, hc))
+    p, h, pc, hc = (F.col(x) if isinstance(x, str) else x for x in (p, h, pc, hc))
     square = V.dot(p, p) * V.dot(h, h) + V.dot(pc, pc) * V.dot(hc, hc) - 2 * V.dot(p, pc) * V.dot(h, hc)
     return F.sqrt(F.greatest(square, F.lit(0.0)))
