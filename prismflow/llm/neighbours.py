@@ -38,6 +38,8 @@ from prismflow.llm import textkit as tk
 LINES, WIDTH, SLACK, SAMPLE, SEED = 192, 1.5, 2.0, 2048, 91
 GROWTH, ROUNDS = 1.25, 4
 ROW_BLOCK, QUERY_GROUP = 8192, 4096
+#: Parts that the ids of one vector are dealt into.
+SALTS = 64
 #: Share of the lines on which a vector at one radius' distance collides: a standard normal number within ``WIDTH``.
 SHARE = math.erf(WIDTH / math.sqrt(2))
 NEEDED = math.ceil(LINES * SHARE - SLACK * math.sqrt(LINES * SHARE * (1 - SHARE)))
@@ -94,11 +96,14 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """(v, dim, ids): every vector once, with its k + 1 smallest ids, each up to k times; other ids of it are nobody's nearest."""
-    by_vector, by_row = Window.partitionBy("v"), Window.partitionBy("v", "id")
-    few = rows.withColumn("place", F.dense_rank().over(by_vector.orderBy("id"))).where(F.col("place") <= k + 1)
-    few = few.withColumn("time", F.row_number().over(by_row.orderBy("id"))).where(F.col("time") <= k)
-    return few.groupBy("v").agg(F.first("dim").alias("dim"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """(v, dim, ids): every vector once, with its k + 1 smallest ids, each up to k times; other ids of it are nobody's nearest.
+    Repeated rows are counted before they move, and the ids of one vector are thinned out in ``SALTS`` parts, so a vector may have any share of the rows."""
+    counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"), F.first("dim").alias("dim"))
+    few = counted.withColumn("salt", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(SALTS)).cast("int"))
+    for keys in (["v", "salt"], ["v"]):
+        few = few.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("place") <= k + 1)
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "times"))), lambda x: F.array_repeat(x["id"], x["times"])))
+    return few.groupBy("v").agg(F.first("dim").alias("dim"), ids.alias("ids"))
 
 
 def _groups(n: int) -> int:

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns; brute-force checks on small fixtures."""
 
+import collections
 import hashlib
 import math
 import random
@@ -439,6 +440,32 @@ def test_neighbours_of_copies_and_clusters(spark, monkeypatch):
     assert at_zero and {(r.query_id, r["rank"]): r.vec_id for r in got if r.score == 0} == at_zero
 
 
+def test_neighbours_with_a_vector_that_most_rows_share(spark):
+    rows = [(k, [1.0, 0.0]) for k in range(3000)] + [(5, [1.0, 0.0])] * 400 + [(k, [1.0, float(k)]) for k in range(5000, 5030)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    asked = vectors.where("vec_id in (0, 5, 7, 2999, 5000)").distinct()
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest_neighbours(vectors, asked).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hot = [0, 1, 2, 3, 4, *[5] * 10]
+    assert got[0] == [(i, 0.0) for i in hot[1:11]] and got[5] == [(i, 0.0) for i in (0, 1, 2, 3, 4, 6, 7, 8, 9, 10)]
+    assert got[7] == got[2999] == [(i, 0.0) for i in hot[:10]]
+    assert [i for i, _ in got[5000]] == list(range(5001, 5011))
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """One line and one turn of a megabyte; columns called like those inside."""
+    long = " ".join(random.Random(8).choices(WORDS, k=200_000))
+    docs = spark.createDataFrame([(1, long + " Released under the MIT License", 5, 6), (2, "Released under the MIT License.", 7, 8)], "doc_id long, text string, id long, item_id long")
+    assert 2 in {r.doc_id for r in license_scan.licences(docs).collect()}
+    passage = " ".join(long.split()[1000:1030])
+    items = spark.createDataFrame([(3, passage, 1, 2)], "item_id long, text string, doc_id long, id long")
+    assert [(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, items).collect()] == [(1, 3)]
+    turns = spark.createDataFrame([(1, 0, "user", "hi", 1), (1, 1, "assistant", long, 2)], "conv_id long, turn long, role string, text string, parts long")
+    row = chat_format.digests(chat_format.formatted_turns(chat_format.text_parts(turns.select("conv_id", "turn", "role", "text")))).first()
+    assert row.loss_chars == len(long) and row.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_neighbours_among_few(spark):
     rows = [(100 * k, [float(k), 1.0]) for k in range(7)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
