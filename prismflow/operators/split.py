@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from prismflow import storage
 
 
+#: Parts that a group's rows are dealt into before the few that are wanted meet.
+SALTS = 64
+
+
 def ticket(seed: int | str, *keys: str | Column) -> Column:
     """Sort key of a seeded random order."""
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)).cast("binary"))
@@ -72,8 +76,11 @@ def share_name(rank: Column, size: Column, train: float, val: float) -> Column:
 
 
 def stratified(rows: DataFrame, group: str, k: int, seed: int, key: str) -> DataFrame:
-    """min(k, size) rows of every group."""
-    return ranked(rows, [group], ticket(seed, key), key).where(F.col("rank") <= k).drop("rank")
+    """min(k, size) rows of every group. A group's rows are thinned out in ``SALTS`` parts first, so one group may hold any share of the rows."""
+    few = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(19), key), F.lit(SALTS)))
+    for groups in ([group, "_salt"], [group]):
+        few = few.withColumn("_place", F.row_number().over(Window.partitionBy(*groups).orderBy(ticket(seed, key), key))).where(F.col("_place") <= k)
+    return few.drop("_salt", "_place")
 
 
 def acquire_random(pool: DataFrame, k: int, seed: int, key: str) -> DataFrame:

@@ -277,6 +277,12 @@ def test_named_outputs_of_a_sweep(spark, tmp_path):
         sinks.write_clusters({}, str(tmp_path))
 
 
+def test_report_of_duplicates(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1, "x"), ("A", 1, "y"), ("B", 2, "z")], "formula string, sg int, name string")
+    sinks.duplicate_report(split.duplicate_groups(rows, ["formula", "sg"], "name"), str(tmp_path / "report"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["A: 1: x, y"]
+
+
 def test_search_goes_on_where_it_stopped(spark, tmp_path):
     space = {"units": ("choice", [32, 64]), "kernel": ("int", 10, 40, 5), "rate": ("log", 1e-4, 1e-1), "dropout": ("float", 0.3, 0.6)}
     asked = []
