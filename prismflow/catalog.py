@@ -151,7 +151,7 @@ def tau_sweep(spark, sf_dir):
 @query
 def complete_linkage(spark, sf_dir):
     dist = storage.cut(_dist(spark, sf_dir))
-    return clusters.complete_linkage(dist, _labels(spark, sf_dir), clusters.thresholds(dist))
+    return clusters.complete_linkage(dist, _labels(spark, sf_dir), clusters.thresholds(dist)).withColumn("tau", r6("tau"))
 
 
 @query

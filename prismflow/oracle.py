@@ -247,6 +247,40 @@ _BADGE = f"""WITH {_E}, b AS (SELECT vec_id AS id, label, v AS h, list_transform
   bd AS (SELECT x.id, centre, sqrt(greatest(0, x.q + y.q - 2 * list_dot_product(x.p, y.p) * list_dot_product(x.h, y.h))) AS d FROM n x, c JOIN n y ON y.id = centre)"""
 ORACLE["badge_distance"] = f"{_BADGE} SELECT id, centre, round(d, 5) AS d FROM bd"
 ORACLE["badge_min_d"] = f"{_BADGE} SELECT id, round(min(d), 5) AS d FROM bd GROUP BY id"
+_TREE = f"""WITH RECURSIVE {_E}, {_L1}, {_LONG1}, {_CUM}, {_D.replace("d AS (", "d AS MATERIALIZED (", 1)},
+state AS (
+  SELECT 'pair' AS kind, i, j, d FROM d
+  UNION ALL
+  SELECT * FROM (
+    WITH p AS (SELECT i, j, d FROM state WHERE kind = 'pair'),
+    ends AS (SELECT e, min({{'d': d, 'i': i, 'j': j}}) AS m FROM (SELECT i AS e, d, i, j FROM p UNION ALL SELECT j, d, i, j FROM p) GROUP BY e),
+    mutual AS (SELECT m.i AS parent, m.j AS child, m.d AS height FROM ends GROUP BY m HAVING count(*) = 2),
+    moved AS (SELECT least(a, b) AS i, greatest(a, b) AS j, max(d) AS d FROM (
+      SELECT coalesce(x.parent, i) AS a, coalesce(y.parent, j) AS b, d FROM p LEFT JOIN mutual x ON x.child = i LEFT JOIN mutual y ON y.child = j) WHERE a <> b GROUP BY ALL)
+    SELECT 'pair', i, j, d FROM moved UNION ALL SELECT 'merge', child, parent, height FROM mutual)),
+merge AS MATERIALIZED (SELECT i AS child, j AS parent, d AS height FROM state WHERE kind = 'merge'),
+tau AS (SELECT CAST(p AS INTEGER) AS percentile, (SELECT quantile_cont(d, list_transform(range(5, 85, 5), lambda x: x / 100)) FROM d)[CAST(p // 5 AS INTEGER)] AS tau FROM range(5, 85, 5) t(p)),
+way AS (SELECT percentile, tau, vec_id AS id, vec_id AS root FROM tau, embeddings UNION ALL SELECT percentile, tau, id, parent FROM way JOIN merge ON child = root WHERE height < tau),
+lab AS MATERIALIZED (SELECT percentile, tau, id, CAST(dense_rank() OVER (PARTITION BY percentile ORDER BY root) - 1 AS INTEGER) AS label FROM (SELECT percentile, tau, id, min(root) AS root FROM way GROUP BY ALL))"""
+ORACLE["complete_linkage"] = f"{_TREE} SELECT percentile, round(tau, 6) + 0.0 AS tau, id, label FROM lab"
+ORACLE["cluster_sweep"] = f"""{_TREE},
+pr AS MATERIALIZED (SELECT x.percentile, x.label AS li, y.label AS lj, i, j, d FROM d JOIN lab x ON x.id = i JOIN lab y ON y.id = j AND y.percentile = x.percentile),
+bw AS (SELECT percentile, li, lj, i, j, d FROM pr UNION ALL SELECT percentile, lj, li, j, i, d FROM pr),
+sz AS (SELECT percentile, label, count(*) AS n FROM lab GROUP BY ALL),
+own AS (SELECT percentile, label, n, coalesce(s, 0) AS s FROM sz LEFT JOIN (SELECT percentile, li AS label, avg(d) AS s FROM pr WHERE li = lj GROUP BY ALL) USING (percentile, label)),
+far AS (SELECT percentile, li AS label, avg(d) AS o FROM bw WHERE li <> lj GROUP BY ALL),
+sep AS (SELECT percentile, CASE WHEN avg(s) > 0 THEN avg(coalesce(o, 0)) / avg(s) END AS separation_ratio FROM own LEFT JOIN far USING (percentile, label) GROUP BY percentile),
+counts AS (SELECT percentile, count(*) AS n_clusters, min(n) AS min_size, max(n) AS max_size, CAST(sum(n) AS BIGINT) AS n_samples FROM sz GROUP BY percentile),
+ch AS (SELECT percentile, sum(d) AS t, coalesce(sum(d) FILTER (li = lj), 0) AS w FROM pr GROUP BY percentile),
+db AS (SELECT percentile, avg(r) AS db_index FROM (SELECT m.percentile, m.li, max((x.s + y.s) / m) AS r FROM (SELECT percentile, li, lj, avg(d) AS m FROM bw WHERE li <> lj GROUP BY ALL HAVING m > 0) m
+  JOIN own x ON x.percentile = m.percentile AND x.label = m.li JOIN own y ON y.percentile = m.percentile AND y.label = m.lj GROUP BY ALL) GROUP BY percentile),
+med AS (SELECT percentile, label, arg_min(id, (s, id)) AS medoid FROM (
+  SELECT l.percentile, l.label, l.id, round(coalesce(sum(d) FILTER (li = lj), 0), 9) AS s FROM lab l LEFT JOIN bw ON bw.percentile = l.percentile AND bw.i = l.id GROUP BY ALL) GROUP BY ALL),
+err AS (SELECT bw.percentile, sum(d * d) AS sse FROM bw JOIN med ON med.percentile = bw.percentile AND li = label AND j = medoid WHERE li = lj GROUP BY ALL)
+SELECT percentile, round(any_tau, 6) + 0.0 AS tau, n_clusters, min_size, max_size, n_samples,
+  round(CASE WHEN n_clusters > 1 AND n_clusters < n_samples AND w > 0 THEN ((t - w) / (n_clusters - 1)) / (w / (n_samples - n_clusters)) ELSE 0.0 END, 6) + 0.0 AS ch_index,
+  round(coalesce(db_index, 0), 6) + 0.0 AS db_index, round(coalesce(sse, 0), 6) + 0.0 AS sse, round(separation_ratio, 6) + 0.0 AS separation_ratio
+FROM counts JOIN (SELECT percentile, any_value(tau) AS any_tau FROM lab GROUP BY percentile) USING (percentile) JOIN sep USING (percentile) JOIN ch USING (percentile) LEFT JOIN db USING (percentile) LEFT JOIN err USING (percentile)"""
 _CELLS = "n AS (SELECT c_custkey AS id, floor(c_acctbal) * 0.004::DOUBLE AS a, c_nationkey::DOUBLE AS b FROM customer)"
 _NEAR = "abs(s.a - r.a) <= 0.01 + 1e-5 * abs(r.a) AND abs(s.b - r.b) <= 0.01 + 1e-5 * abs(r.b)"
 ORACLE["near_lattices"] = f"WITH {_CELLS}, l AS (SELECT DISTINCT a, b FROM n) SELECT s.a, s.b, r.a AS ref_a, r.b AS ref_b FROM l s JOIN l r ON {_NEAR}"

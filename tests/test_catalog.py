@@ -20,15 +20,12 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"cluster_sweep", "complete_linkage", "network_training", "structure_strain", "umap_layout", "umap_shift"}
+    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"network_training", "structure_strain", "umap_layout", "umap_shift"}
 
 
-def test_training_and_sweep_over_the_table(spark):
+def test_training_over_the_table(spark):
     epochs = catalog.network_training(spark, SF).orderBy("epoch").collect()
     assert [r.epoch for r in epochs] == [0, 1, 2] and all(r.train_loss > 0 and 0 <= r.val_acc <= 1 for r in epochs)
-    cuts = catalog.cluster_sweep(spark, SF).orderBy("percentile").collect()
-    assert [r.percentile for r in cuts] == list(range(5, 85, 5)) and {r.n_samples for r in cuts} == {500}
-    assert [r.n_clusters for r in cuts] == sorted((r.n_clusters for r in cuts), reverse=True)
 
 
 def test_linkage_diameter_stays_below_tau(spark):
@@ -41,7 +38,7 @@ def test_linkage_diameter_stays_below_tau(spark):
     assert len(tau) == 16
     for (p, _), members in cut.items():
         members.sort()
-        assert all(dist[a, b] < tau[p] for k, a in enumerate(members) for b in members[k + 1 :])
+        assert all(dist[a, b] < tau[p] + 1e-6 for k, a in enumerate(members) for b in members[k + 1 :])
 
 
 def test_badge_select_takes_distinct_rows_of_every_class(spark):
