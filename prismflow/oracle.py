@@ -247,6 +247,32 @@ _BADGE = f"""WITH {_E}, b AS (SELECT vec_id AS id, label, v AS h, list_transform
   bd AS (SELECT x.id, centre, sqrt(greatest(0, x.q + y.q - 2 * list_dot_product(x.p, y.p) * list_dot_product(x.h, y.h))) AS d FROM n x, c JOIN n y ON y.id = centre)"""
 ORACLE["badge_distance"] = f"{_BADGE} SELECT id, centre, round(d, 5) AS d FROM bd"
 ORACLE["badge_min_d"] = f"{_BADGE} SELECT id, round(min(d), 5) AS d FROM bd GROUP BY id"
+
+
+def _strained() -> str:
+    """Strained copies of one cell: free parameters of ordered structures; the tensor on the vectors of others, and the cell of the product."""
+    step = lambda e: f"((2 * {_pick(f'9-{e}', "name || '-' || copy", 1000)} / 999.0::DOUBLE - 1) * 0.04::DOUBLE)"
+    entries = [f"{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+    shapes = {  # by class: entries of the tensor, others are 0
+        "cubic": {"11": "s11", "22": "s11", "33": "s11"}, "high-sym hexagonal/tetragonal": {"11": "s11", "22": "s11", "33": "s33"}, "low-sym hexagonal/tetragonal": {"11": "s11", "12": "s12", "21": "-s12", "22": "s22", "33": "s33"},
+        "orthorhombic": {"11": "s11", "22": "s22", "33": "s33"}, "monoclinic": {"11": "s11", "22": "s22", "23": "s23", "32": "s23", "33": "s33"}, "triclinic": {e: f"s{e}" for e in entries},
+    }
+    tensor = ", ".join(f"CASE {' '.join(f"WHEN kind = '{k}' THEN {of.get(e, '0.0::DOUBLE')}" for k, of in shapes.items())} END AS t{e}" for e in entries)
+    al, be, ga = (f"radians({x}.0::DOUBLE)" for x in (80, 95, 100))
+    turn = f"acos((cos({al}) * cos({be}) - cos({ga})) / (sin({al}) * sin({be})))"
+    rows = [[f"4 * sin({be})", "0", f"4 * cos({be})"], [f"-5 * sin({al}) * cos({turn})", f"5 * sin({al}) * sin({turn})", f"5 * cos({al})"], ["0", "0", "6"]]
+    product = ", ".join(f"{' + '.join(f'({rows[i][k]}) * (t{k + 1}{j + 1} + {int(j == k)})' for k in range(3))} AS n{i + 1}{j + 1}" for i in range(3) for j in range(3))
+    dot = lambda i, j: "(" + " + ".join(f"n{i}{k} * n{j}{k}" for k in (1, 2, 3)) + ")"
+    between = lambda i, j: f"degrees(acos({dot(i, j)} / (sqrt{dot(i, i)} * sqrt{dot(j, j)})))"
+    turned = f"[sqrt{dot(1, 1)}, sqrt{dot(2, 2)}, sqrt{dot(3, 3)}, {between(2, 3)}, {between(1, 3)}, {between(1, 2)}]"
+    kept = "[4 * f[1], 5 * CASE WHEN sg >= 75 THEN f[1] ELSE f[2] END, 6 * CASE WHEN sg >= 195 THEN f[1] ELSE f[3] END, 80 * CASE WHEN sg <= 2 THEN f[4] ELSE 1.0 END, 95 * CASE WHEN sg <= 15 THEN f[5] ELSE 1.0 END, 100 * CASE WHEN sg <= 2 THEN f[6] ELSE 1.0 END]"
+    return f"""WITH {_SG}, c AS (SELECT 's' || p_partkey AS name, CAST(copy AS INTEGER) AS copy, sg, p_partkey % 2 = 0 AS ordered, {_CLASS} AS kind FROM g, range(0, 2) r(copy)),
+s AS (SELECT *, {", ".join(f"{step(f's{e}')} AS s{e}" for e in entries)}, [{", ".join(f"1 + {step(k)}" for k in range(6))}] AS f FROM c),
+t AS (SELECT *, {tensor} FROM s), m AS (SELECT *, {product} FROM t), x AS (SELECT name, copy, sg, ordered, CASE WHEN ordered THEN {kept} ELSE {turned} END AS v FROM m)
+SELECT name, copy, sg, ordered, CAST(i AS INTEGER) AS i, round(v[i + 1], 6) + 0.0 AS x FROM x, range(0, 6) r(i)"""
+
+
+ORACLE["structure_strain"] = _strained()
 _TREE = f"""WITH RECURSIVE {_E}, {_L1}, {_LONG1}, {_CUM}, {_D.replace("d AS (", "d AS MATERIALIZED (", 1)},
 state AS (
   SELECT 'pair' AS kind, i, j, d FROM d

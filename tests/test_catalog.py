@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"network_training", "structure_strain", "umap_layout", "umap_shift"}
+    assert set(catalog.QUERIES) - set(oracle.ORACLE) == {"network_training", "umap_layout", "umap_shift"}
 
 
 def test_training_over_the_table(spark):
