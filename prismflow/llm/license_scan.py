@@ -5,7 +5,8 @@ disturbed copies of them (a bounded training set), gives every paragraph the pro
 ``unknown`` (another licence, or everyday use of licence words) and of ``none`` (plain text). The temperature is
 calibrated on wordings and names that were held out of the fit. A paragraph is reported if ``none`` has
 less than half of the probability. Its family is the likeliest one if that reaches ``LEAST`` and a template of the family confirms it
-(shared word pairs over the smaller set of word pairs reach ``COVER``), otherwise ``unknown``.
+(shared word pairs over the smaller set of word pairs reach ``COVER``) and the text does not deny it (``DENIED``), otherwise ``unknown``.
+Features are words of licences only, and wordings with made-up names teach the model that a wording alone names no family.
 
 A paragraph is a line. A reported line that names no family by itself is judged again together with such lines among the
 ``CONTEXT`` lines before and after it, so notices that were wrapped are recognised.
@@ -107,11 +108,13 @@ OTHER_NAMES = [
     "Python Software Foundation License", "PSF-2.0", "PostgreSQL License", "Academic Free License", "Open Software License", "Business Source License", "Server Side Public License", "SSPL", "Elastic License 2.0",
     "Common Public License", "Foundation Public License 1.0", "IBM Public License", "Q Public License", "Netscape Public License", "CeCILL", "Mulan PSL", "Ruby License", "Vim License", "Sun Public License", "Lucent Public License", "Open Data Commons License",
     "Open Database License", "proprietary license", "commercial license", "vendor's own license", "end user license agreement", "company license", "same terms as the project", "internal use license",
+    "CC BY-ND 3.0", "CC BY-ND", "CC BY-NC-SA 3.0", "CC BY-NC-ND 3.0", "Creative Commons Attribution-NoDerivatives License", "Eclipse Public License", "EPL", "AGPL", "AGPL version 3", "Affero General Public License", "ISC licence", "MIT-0", "BSD-4-Clause-UC",
 ]
 #: How a text says that it is under a licence.
 WORDINGS = [
     "Released under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "Available under {}", "This work is licensed under a {}.", "SPDX-License-Identifier: {}",
     "This program is made available under the {}.", "License: {}", "You may use this file under the {}", "Published under {}, see the file.", "This project is licensed under the terms of the {}.", "The code is under the {}.", "SPDX: {}", "This is under the {}.", "The {} applies to this work.",
+    "{} licensed.", "{}-Lizenz", "Copyright 2020 Example Inc. {} licensed.", "Lizenz: {}", "Veröffentlicht unter der {}.", "Sous licence {}", "Licencia {}", "The sources are {} licensed, see the file.",
 ]
 #: Paragraphs of licences and of everyday use that name none of the families.
 OTHERS = [
@@ -160,11 +163,13 @@ PLAIN = [
     "Click here to read more about the news of the day.", "Write to 30@mail1.example.com or to the office, www.example.org.", "Home page contact about us search", "Sign up for the letter and get news every week.", "Read more share this page", "The price is 4.0 or 3.0 per unit, 2.0 in bulk.", "Chapter 2 section 1 table 3",
 ]
 #: Words that never speak for a licence by themselves.
-FUNCTION_WORDS = set("a all an and any are as at be by can for from has have he his if in is it its no not of on only or she so that the their they this to two under use was were which with you your s t v c".split())
+FUNCTION_WORDS = set("a all an and any are as at be by can for from has have he his if in is it its no not of on only or she so that the their they this to two under use was were which with you your s t v c above made may own same see der sous unter ver".split())
 UNKNOWN, NONE = "unknown", "none"
 FAMILIES = [*NOTICES, UNKNOWN]
 CLASSES = [*FAMILIES, NONE]
 LEAST, COVER, CONTEXT = 0.5, 0.6, 3
+#: A denial a few words before what says that a text is under a licence.
+DENIED = r"(?i)\b(?:not|never|no longer|isn't|aren't|neither|nicht|n'est pas)\b[^.;:!?\n]{0,40}\b(?:licen[sc]ed|released|distributed|available|published|covered|lizenziert|under)\b"
 #: Disturbed copies of a text, steps and rate of the fit, penalty, least weight that counts, least texts that share a gram.
 COPIES, STEPS, RATE, PENALTY, SMALLEST, SHARED, SEED = 1, 200, 0.1, 2e-5, 0.2, 3, 5
 
@@ -199,6 +204,23 @@ def everyday(words: list[str]) -> list[str]:
     return [" ".join([*_strange(rng, int(rng.integers(1, 6))), w, *_strange(rng, int(rng.integers(1, 6)))]) for w in words for _ in range(16)]
 
 
+def nameless(wordings: list[str]) -> list[str]:
+    """Every wording with names that nobody has: the wording alone says that there is a licence, not which."""
+    rng = np.random.default_rng(SEED + 1)
+    ends = ("", " License", " Public License", " License 2.0", " 4.0", " Software License", "-1.1")
+    return [w.format(_strange(rng, 1)[0].capitalize() + end) for w in wordings for end in ends for _ in range(2)]
+
+
+@functools.cache
+def _real_words() -> frozenset[str]:
+    """The words of names, notices and wordings, and those that several of the other paragraphs share and no plain text has. What only plain texts
+    hold, or what one paragraph is about (a herd, a campus), says nothing of licences."""
+    names = [n for ns in (*NAMES.values(), OTHER_NAMES) for n in ns]
+    notices = [n for of in NOTICES.values() for n in of]
+    others, plain = [w for t in OTHERS for w in set(words_of(t))], {w for t in PLAIN for w in words_of(t)}
+    return frozenset(w for t in (*names, *notices, *WORDINGS) for w in words_of(t)) | {w for w in others if others.count(w) > 1 and w not in plain}
+
+
 def wrapped(notice: str, words: int = 9) -> list[str]:
     """Lines that a long notice may be broken into."""
     every = notice.split()
@@ -212,6 +234,7 @@ def training_texts(skip_wordings: tuple[int, ...] = (), skip_others: tuple[str,
     out += [(t, k) for k, f in enumerate(NOTICES) for notice in NOTICES[f] for t in [notice] * 8 + 2 * wrapped(notice)]
     unknown, none = CLASSES.index(UNKNOWN), CLASSES.index(NONE)
     out += [(w.format(n), unknown) for w in wordings for n in OTHER_NAMES if n not in skip_others]
+    out += [(t, unknown) for t in nameless(wordings)]
     out += [(t, none) for t in everyday(sorted({w for ns in (*NAMES.values(), OTHER_NAMES) for n in ns for w in words_of(n) if len(w) <= 3 and not w.isdigit()}))]
     return out + [(t, unknown) for t in OTHERS for _ in range(8)] + [(t, none) for t in PLAIN for _ in range(8)]
 
@@ -248,13 +271,15 @@ class Model:
         self._find_cues()
 
     def _fit(self, texts: list[tuple[str, int]]) -> None:
-        """Fit to all grams that ``SHARED`` texts have in common, then again to those whose weight came out as ``SMALLEST`` or more."""
+        """Fit to all grams that ``SHARED`` texts have in common, then again to those whose weight came out as ``SMALLEST`` or more.
+        Only words of the texts above make features; made-up ones do not."""
         rng = np.random.default_rng(SEED)
         rows = [(grams_of(words_of(t)), k) for t, k in texts] + [(grams_of(_disturbed(rng, t)), k) for t, k in texts for _ in range(COPIES)]
-        seen: dict[str, int] = {}
+        real, seen = _real_words(), {}
         for grams, _ in rows:
             for g in grams:
-                seen[g] = seen.get(g, 0) + 1
+                if real.issuperset(g.split()):
+                    seen[g] = seen.get(g, 0) + 1
         y = np.eye(len(CLASSES), dtype=np.float32)[[k for _, k in rows]]
         weight = (y @ (1 / np.maximum(y.sum(axis=0), 1)) ** 0.5)[:, None]
         weight /= weight.mean()
@@ -379,13 +404,25 @@ def _judged(text: Column, of: Model) -> Column:
         at = F.array_position(some, best).cast("int")
         share = lambda t: F.size(F.array_intersect(own, t)) / F.least(F.size(own), F.size(t))
         cover = F.when(none | (at > len(NOTICES)), 0.0).otherwise(F.aggregate(F.element_at(patterns, F.least(at, F.lit(len(NOTICES)))), F.lit(0.0), lambda m, t: F.greatest(m, share(t))))
-        return _let(cover, lambda c: F.struct(F.when((best >= LEAST) & (c >= COVER), F.element_at(_array(FAMILIES), at)).otherwise(UNKNOWN).alias("family"), F.round(best, 6).alias("probability"), F.round(c, 6).alias("coverage"), none.alias("none")))
+        return _let(cover, lambda c: F.struct(F.when((best >= LEAST) & (c >= COVER) & ~text.rlike(DENIED), F.element_at(_array(FAMILIES), at)).otherwise(UNKNOWN).alias("family"), F.round(best, 6).alias("probability"), F.round(c, 6).alias("coverage"), none.alias("none")))
 
     return _let(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), score)
 
 
+def names_in(text: Column) -> Column:
+    """The families that a text calls by one of their names; names in capitals must be in capitals."""
+
+    def pattern(name: str) -> str:
+        words = r"[^A-Za-z0-9]+".join(re.findall("[A-Za-z0-9]+", name))
+        return f"(?:{'' if name.upper() == name else '(?i)'}(?<![A-Za-z0-9]){words}(?![A-Za-z0-9]))"
+
+    named = [F.when(text.rlike("|".join(map(pattern, names))), F.lit(family)) for family, names in NAMES.items()]
+    return F.array_compact(F.array(*named))
+
+
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per reported paragraph: id, paragraph (line from 0), family, probability, coverage."""
+    """One row per reported paragraph: id, paragraph (line from 0), family, probability, coverage, and ``also``, other families that the line names
+    (a line under two licences)."""
     of = model()
     cue = r"(?i)(?<![a-z0-9])" + one_of(of.cues) + r"(?![a-z0-9])"
     some = storage.spread(docs.select(id_col, text_col)).where(F.col(text_col).rlike(cue))
@@ -401,8 +438,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.when((x["own"]["family"] == UNKNOWN) & (F.size(near) > 1), F.array_join(F.transform(near, lambda y: y["line"]), " "))
 
     def final(x: Column, k: Column) -> Column:
-        return _let(around(x, k), lambda text: F.struct(x["i"].alias("i"), x["own"].alias("own"), F.when(text.isNotNull(), _judged(text, of)).alias("both")))
+        return _let(around(x, k), lambda text: F.struct(x["i"].alias("i"), x["line"].alias("line"), x["own"].alias("own"), F.when(text.isNotNull(), _judged(text, of)).alias("both")))
 
     each = alone.select("id", F.explode(F.transform("lines", final)).alias("x"))
     said = F.when(F.col("x.both.family") != UNKNOWN, F.col("x.both")).otherwise(F.col("x.own"))
-    return each.select(F.col("id").alias(id_col), F.col("x.i").alias("paragraph"), said["family"].alias("family"), said["probability"].alias("probability"), said["coverage"].alias("coverage"))
+    return each.select(F.col("id").alias(id_col), F.col("x.i").alias("paragraph"), said["family"].alias("family"), said["probability"].alias("probability"), said["coverage"].alias("coverage"), F.array_remove(names_in(F.col("x.line")), said["family"]).alias("also"))

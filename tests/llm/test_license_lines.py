@@ -1,6 +1,7 @@
 """The licence classifier: what it was not shown, what is not a licence, wrapped notices, and the plan against plain Python."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -30,7 +31,8 @@ def judged(model, text):
         for t in license_scan.templates(family):
             pairs = set(license_scan.pairs_of(license_scan.words_of(t)))
             cover = max(cover, len(own & pairs) / min(len(own), len(pairs)))
-    return family if p[at] >= license_scan.LEAST and cover >= license_scan.COVER else license_scan.UNKNOWN, round(float(p[at]), 6), round(cover, 6)
+    named = p[at] >= license_scan.LEAST and cover >= license_scan.COVER and not re.search(license_scan.DENIED, text)
+    return family if named else license_scan.UNKNOWN, round(float(p[at]), 6), round(cover, 6)
 
 
 def by_hand(rows):
@@ -57,7 +59,7 @@ def same(got, expected):
 
 
 def test_names_and_wordings_that_were_held_out():
-    assert license_scan.model().held_out_accuracy > 0.85
+    assert license_scan.model().held_out_accuracy > 0.92
 
 
 def test_other_licences_and_everyday_use(spark):
@@ -75,6 +77,21 @@ def test_lines_that_name_a_family(spark):
     assert [(g[0], g[2]) for g in got] == list(enumerate(lines.values()))
 
 
+def test_denials_and_lines_with_two_names(spark):
+    denied = ["This is not licensed under the MIT License.", "No longer released under the GPL version 2.", "It was never distributed under the terms of the LGPL."]
+    named = {"Copyright 2020 Foo Inc. MIT licensed.": "mit", "MIT-Lizenz": "mit", "You may not use this file except in compliance with the License. Licensed under the Apache License, Version 2.0.": "apache-2.0"}
+    found = license_scan.licences(spark.createDataFrame(list(enumerate([*denied, *named, "Dual licensed under MIT or Apache-2.0", "Mit Apache 2.0 lizenziert: Apache License 2.0"])), "doc_id long, text string"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert [got[k].family for k in range(3)] == ["unknown"] * 3 and [got[3 + k].family for k in range(3)] == list(named.values())
+    assert {got[6].family, *got[6].also} == {"mit", "apache-2.0"}
+    assert got[7].family == "apache-2.0" and got[7].also == []
+
+
+def test_no_made_up_word_is_a_feature():
+    words = {w for g in license_scan.model().weights for w in g.split()}
+    assert words <= license_scan._real_words() and not words & {"herd", "lake", "antelope", "city", "morning"}
+
+
 def test_wrapped_notices(spark):
     text = "A story.\nThis file may be distributed\nunder the terms of the\nMozilla Public License\nversion 2.0, see there.\n\nThe end."
     rows = [(1, text), (2, "Licensed under CC BY-NC 4.0.\nAll rights reserved.\n" + "plain text\n" * 9 + "Released under the MIT License.")]
