@@ -11,6 +11,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,8 +98,18 @@ def transient(spark: SparkSession, name: str) -> str:
     return path
 
 
+_later: dict[str, list[Callable[[], None]]] = {}
+
+
+def later(spark: SparkSession, work: Callable[[], None]) -> None:
+    """Let ``clean`` do ``work``, such as forgetting a table that a result still reads."""
+    _later.setdefault(spark.sparkContext.applicationId, []).append(work)
+
+
 def clean(spark: SparkSession) -> None:
-    """Remove the transient paths of this application; results that read them must have been written."""
+    """Remove the transient paths of this application and do what was put off; results that read them must have been written."""
+    for work in _later.pop(spark.sparkContext.applicationId, []):
+        work()
     for path in _transient.pop(spark.sparkContext.applicationId, []):
         remove(spark, path)
 
