@@ -484,7 +484,8 @@ def batches_by_id(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
     return parts
 
 
-def _each_batch(docs: DataFrame, id_col: str, text_col: str, batches: int, path: str, use) -> DataFrame:
+def _each_batch(docs: DataFrame, id_col: str, text_col: str, batches: int, path: str, use) -> tuple[DataFrame, FingerprintIndex]:
+    """What ``use`` makes of all batches, and the index, to be closed when that has been written: it reads the index's tables."""
     spark = docs.sparkSession
     storage.bounded_batches(spark)
     size = storage.scan_bytes(docs, text_col)
@@ -495,13 +496,15 @@ def _each_batch(docs: DataFrame, id_col: str, text_col: str, batches: int, path:
         found = use(index.add(part))
         out = found if out is None else out.unionByName(found)
     index.compact()
-    return out
+    return out, index
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """Per row: id, n_words, n_removed and the SHA-256 of the kept words joined by one space; the index is removed afterwards."""
     path = storage.fresh_path(docs.sparkSession, "fingerprints")
-    found = storage.cut(_each_batch(docs.select(id_col, text_col), id_col, text_col, batches, path, lambda x: digest_rows(x, id_col)))
+    rows, index = _each_batch(docs.select(id_col, text_col), id_col, text_col, batches, path, lambda x: digest_rows(x, id_col))
+    found = storage.cut(rows)
+    index.close()
     storage.remove(docs.sparkSession, path)
     return found
 
@@ -513,4 +516,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     path = index_path or storage.transient(docs.sparkSession, "fingerprints")
     schema = docs.select(id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col))).schema
-    return _each_batch(docs, id_col, text_col, batches, path, lambda x: cut_rows(x, schema)).select(*docs.columns)
+    rows, index = _each_batch(docs, id_col, text_col, batches, path, lambda x: cut_rows(x, schema))
+    storage.later(docs.sparkSession, index.close)
+    return rows.select(*docs.columns)

@@ -119,3 +119,14 @@ def test_words_that_a_polynomial_hash_mistakes(spark):
     assert got == {0: 0, 1: 0, 2: 13}
     classes = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(frame(spark, rows)).collect()}
     assert classes == {0: 0, 1: 1, 2: 0}
+
+
+def test_no_table_names_are_left_behind(spark):
+    storage.clean(spark)
+    docs = spark.createDataFrame([(k, f"{' '.join(map(str, range(20)))} {k}") for k in range(6)], "doc_id long, text string")
+    before = {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    substring_dedup.digests(docs)
+    kept = substring_dedup.without_repeats(docs)
+    assert kept.count() == 6
+    storage.clean(spark)
+    assert {r.tableName for r in spark.sql("SHOW TABLES").collect()} == before
