@@ -111,21 +111,42 @@ def allowed_any(elements: Column, required: list[str], only_allowed: bool = Fals
     return allowed_all(elements, required, True) if only_allowed else F.arrays_overlap(elements, needed)
 
 
+def mixes_to(states: Column, n: Column, wanted: Column) -> Column:
+    """Whether ``n`` atoms, each in one of the ``states``, can add up to ``wanted``.
+
+    Counted from the lowest state, atoms add steps of up to ``top``. Of any ``top`` smaller steps some add up to a multiple of ``top`` and could be
+    whole steps instead, so fewer than ``top`` smaller ones are enough to try: the work does not grow with the number of atoms.
+    """
+    low = F.array_min(states)
+    steps = F.array_distinct(F.transform(states, lambda s: (s - low).cast("long")))
+    top, rest = F.array_max(steps), (wanted - n * low).cast("long")
+    zero = F.array(F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n")))
+
+    def more(seen: Column, k: Column) -> Column:
+        last = F.filter(seen, lambda x: x["n"] == k - 1)
+        sums = F.flatten(F.transform(last, lambda x: F.transform(F.filter(steps, lambda d: (d > 0) & (d < top)), lambda d: x["sum"] + d)))
+        fresh = F.array_except(F.array_distinct(sums), F.transform(seen, lambda x: x["sum"]))
+        return F.concat(seen, F.transform(fresh, lambda s: F.struct(s.alias("sum"), k.alias("n"))))
+
+    count = F.least(n.cast("int"), (top - 1).cast("int"))
+    few = F.when(count >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), zero, more)).otherwise(zero)
+    whole = lambda x: (rest >= x["sum"]) & ((rest - x["sum"]) % top == 0) & (x["n"] + (rest - x["sum"]) / top <= n)
+    return F.when(top == 0, rest == 0).otherwise(F.exists(few, whole))
+
+
 def neutral(compounds: DataFrame, states: DataFrame) -> DataFrame:
     """Compounds (id, counts map) with a charge-neutral choice of oxidation states; ``states`` is (element, states array).
 
     First one element with several states may mix its states over its atoms while the others take their first;
-    else every element takes one state. Sums are built as sets of reachable charges, so the number of atoms costs
-    a linear number of steps, not combinations. A compound with an element of unknown states is not neutral.
+    else every element takes one state, whose sums are built as sets of reachable charges. A compound with an element of unknown states is not neutral.
     """
     parts = compounds.select("id", F.explode("counts").alias("element", "n")).join(states, "element", "left")
     unknown = parts.where("states is null").select("id").distinct()
     parts = parts.join(unknown, "id", "left_anti")
     zero = F.array(F.lit(0))
-    mixed = F.aggregate(F.sequence(F.lit(1), F.col("n")), zero, lambda sums, _: F.array_distinct(F.flatten(F.transform(sums, lambda s: F.transform("states", lambda v: s + v)))))
     single = F.transform("states", lambda v: v * F.col("n"))
-    each = parts.withColumn("first", F.element_at("states", 1) * F.col("n")).withColumn("mixed", F.when(F.size("states") > 1, mixed)).withColumn("single", single)
+    each = parts.withColumn("first", F.element_at("states", 1) * F.col("n")).withColumn("single", single)
     rest = each.groupBy("id").agg(F.sum("first").alias("all_first"), F.collect_list("single").alias("singles"))
-    one = each.join(rest, "id").groupBy("id").agg(F.max(F.coalesce(F.array_contains("mixed", (F.col("first") - F.col("all_first")).cast("int")), F.lit(False))).alias("one_mixed"))
+    one = each.join(rest, "id").groupBy("id").agg(F.max((F.size("states") > 1) & mixes_to(F.col("states"), F.col("n"), F.col("first") - F.col("all_first"))).alias("one_mixed"))
     product = F.aggregate("singles", zero, lambda sums, v: F.array_distinct(F.flatten(F.transform(sums, lambda s: F.transform(v, lambda x: s + x)))))
     return rest.join(one, "id").where(F.col("one_mixed") | F.array_contains(product, 0)).select("id")

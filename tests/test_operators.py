@@ -243,3 +243,20 @@ def test_stream_handles_each_key_once(spark, tmp_path):
         incremental.process_new(spark, source, "id long", target, state, "id", work).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3, 4]
     pd.testing.assert_frame_equal(spark.read.parquet(target).select((F.col("twice") / 2 - F.col("id")).alias("d")).distinct().toPandas(), pd.DataFrame({"d": [0.0]}))
+
+
+def test_mixed_states_against_all_combinations(spark):
+    rng = np.random.default_rng(6)
+    cases = [([int(x) for x in rng.choice(np.arange(-5, 9), int(rng.integers(1, 5)), replace=False)], int(rng.integers(1, 9))) for _ in range(60)]
+    rows = [(k, s, n, w) for k, (s, n) in enumerate(cases) for w in range(-50, 80, 3)]
+    table = spark.createDataFrame(rows, "k int, states array<int>, n int, wanted int")
+    reach = []
+    for states, n in cases:
+        sums = {0}
+        for _ in range(n):
+            sums = {a + b for a in sums for b in states}
+        reach.append(sums)
+    got = table.select("k", "wanted", labels.mixes_to(table.states, table.n, table.wanted).alias("ok")).collect()
+    assert all(r.ok == (r.wanted in reach[r.k]) for r in got) and any(r.ok for r in got)
+    large = spark.createDataFrame([([2, 3, 7], 120_000, 600_001), ([2, 4], 120_000, 300_001), ([2, 3], 120_000, 360_001)], "states array<int>, n int, wanted int")
+    assert [r.ok for r in large.select(labels.mixes_to(large.states, large.n, large.wanted).alias("ok")).collect()] == [True, False, False]
