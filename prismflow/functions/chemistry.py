@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def elements(key: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.split_part(key, F.lit("|"), F.lit(1)), F.lit("([A-Z][a-z]?)"), 1))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a ``value`` that is worked out once, however often the expression names it; inside higher-order functions nothing else keeps it from being repeated."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def formula_counts(formula: Column) -> Column:
     """map<element, count> of a formula with parentheses of any depth; an element that occurs more than once is summed.
     Anything but symbols, whole numbers and closed parentheses is an error."""
@@ -30,27 +37,32 @@ def formula_counts(formula: Column) -> Column:
         atom = F.struct(stack.alias("stack"), F.concat(done["parts"], F.array(part)).alias("parts"))
         return F.when(F.size(stack) == 0, done).when(token == "(", opened).when(token.startswith(")"), closed).otherwise(atom)
 
-    read = F.aggregate(tokens, start, step)
-    whole = (F.array_join(F.reverse(tokens), "") == formula) & (F.size(read["stack"]) == 1)
-    parts = F.reverse(F.when(whole, read["parts"]).otherwise(F.raise_error(F.concat(F.lit("no formula: "), formula)).cast("array<struct<symbol:string,number:bigint>>")))
-    symbols = F.array_distinct(F.transform(parts, lambda z: z["symbol"]))
-    sums = F.transform(symbols, lambda s: F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, z: total + F.when(z["symbol"] == s, z["number"]).otherwise(0)).cast("int"))
-    return F.map_from_arrays(symbols, sums)
+    def summed(parts: Column) -> Column:
+        symbols = F.array_distinct(F.transform(parts, lambda z: z["symbol"]))
+        count = lambda s: F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, z: total + F.when(z["symbol"] == s, z["number"]).otherwise(0)).cast("int")
+        return once(symbols, lambda names: F.map_from_arrays(names, F.transform(names, count)))
+
+    def checked(found: Column) -> Column:
+        whole = (F.array_join(F.reverse(found["tokens"]), "") == formula) & (F.size(found["read"]["stack"]) == 1)
+        return F.reverse(F.when(whole, found["read"]["parts"]).otherwise(F.raise_error(F.concat(F.lit("no formula: "), formula)).cast("array<struct<symbol:string,number:bigint>>")))
+
+    read = lambda tokens: F.struct(tokens.alias("tokens"), F.aggregate(tokens, start, step).alias("read"))
+    return once(tokens, lambda t: once(read(t), lambda found: once(checked(found), summed)))
 
 
 def gcd_of(numbers: Column) -> Column:
-    """Greatest common divisor of an array of positive integers, by Euclid's steps (at most 45 for a pair of ints)."""
+    """Greatest common divisor of an array of positive integers, by Euclid's steps: no more than one and a half for each binary digit of the smaller number, and two."""
     pair = lambda a, b: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
     divide = lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], F.try_mod(s["a"], s["b"])))
-    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda done, n: F.aggregate(F.sequence(F.lit(1), F.lit(45)), pair(n, done), divide)["a"])
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda done, n: F.aggregate(F.sequence(F.lit(1), 2 + (1.5 * F.log2(F.greatest(done, F.lit(1)) + 1)).cast("int")), pair(n, done), divide)["a"])
 
 
 def rounded_counts(counts: Column, several: Column) -> Column:
     """Where some element has ``several`` oxidation states: large counts rounded by magnitude (half to even), then divided
     by their common divisor. Other formulas stay as they are."""
     step = F.transform_values(counts, lambda k, v: F.when(v > 100000, F.bround(v, -3)).when(v > 10000, F.bround(v, -2)).when(v > 1000, F.bround(v, -1)).otherwise(v).cast("int"))
-    divisor = gcd_of(F.map_values(step))
-    return F.when(several, F.transform_values(step, lambda k, v: (v / divisor).cast("int"))).otherwise(counts)
+    divided = once(step, lambda found: once(gcd_of(F.map_values(found)), lambda divisor: F.transform_values(found, lambda k, v: (v / divisor).cast("int"))))
+    return F.when(several, divided).otherwise(counts)
 
 
 def has_several_states(counts: Column, several: list[str]) -> Column:
