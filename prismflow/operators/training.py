@@ -1,9 +1,9 @@
 """Training of the network by distributed gradients.
 
-Rows are dealt once, in a seeded order, into batches of ``batch`` rows; ``workers`` batches make a step. Every batch is stored as one row, and the steps as
-partitions, so a step reads its own files and shuffles nothing. A task makes the gradient of its batches: convolutions, pooling, dense layers, batch
-normalisation over the batch's own rows, dropout by seed, epoch and batch. Gradients are added within partitions and then in a tree; one vector the size of
-the weights (checked against ``MOST``) reaches the driver, which makes Adam's step and hands the weights out again. So results do not depend on how the
+Rows are dealt once, in a seeded order, into batches of ``batch`` rows; ``workers`` batches make a step. Every batch is stored as one row and
+partition, so a step is one stage over its own partitions and shuffles nothing. A task makes the gradient of its batches: convolutions, pooling, dense layers, batch
+normalisation over the batch's own rows, dropout by seed, epoch and batch. A vector the size of the weights (checked
+against ``MOST``) reaches the driver from each of the ``workers`` batches or, where those are more than ``TOLD`` bytes, one that a tree of tasks added; the driver makes Adam's step and hands the weights out again. So results do not depend on how the
 table is partitioned, and a step's work grows with ``workers`` on as many tasks.
 
 After each epoch the validation rows are scored; the best weights are kept, and training stops when ``patience`` epochs did not raise the
@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from prismflow.operators import network, split, sums
 
 #: Most numbers that a network may have: 512 MB of weights.
 MOST = 1 << 26
+#: Most bytes of a step's gradients that the driver adds up itself.
+TOLD = 64 << 20
 #: Share of the old running statistics that a step keeps.
 KEEP = 0.9
 
@@ -180,8 +183,8 @@ def usable(rows: DataFrame, id_col: str, label_col: str, vector_col: str) -> Dat
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and label is not null and v is not null")
 
 
-def dealt(rows: DataFrame, design: Design, batch: int, workers: int, seed: int, drop_last: bool, path: str) -> int:
-    """Write the batches below ``path``, one row each, by step; returns the number of steps."""
+def dealt(rows: DataFrame, design: Design, batch: int, seed: int, drop_last: bool) -> tuple[DataFrame, int]:
+    """(batch, labels, x), each batch one row and one partition, in a cut table; and their number."""
     wrong = rows.where((F.size("v") != design.length) | ~F.col("label").between(0, design.classes - 1)).limit(1).collect()
     if wrong:
         raise ValueError(f"row {wrong[0].id} has {len(wrong[0].v)} values and label {wrong[0].label}; wanted {design.length} values and a label below {design.classes}")
@@ -196,25 +199,31 @@ def dealt(rows: DataFrame, design: Design, batch: int, workers: int, seed: int,
         return pa.table({"batch": table["batch"][:1], "labels": pa.array([table["label"].to_numpy()[order].tolist()], pa.list_(pa.int32())), "x": pa.array([x.tobytes()], pa.binary())})
 
     packed = placed.groupBy("batch").applyInArrow(pack, "batch long, labels array<int>, x binary")
-    packed.withColumn("step", F.floor(F.col("batch") / workers)).write.partitionBy("step").parquet(path)
-    return -(-batches // workers) if n else 0
+    return storage.cut(packed.repartitionById(batches, F.col("batch").cast("int"))), batches if n else 0
 
 
-def step_gradient(batches: DataFrame, state: dict, design: Design, seed: int, epoch: int) -> tuple[dict, dict, float, float, int]:
-    """(gradients, statistics, loss, accuracy, rows) of one step, each batch by its number of rows."""
+def step_gradient(batches: RDD | DataFrame, own: range, state: dict, design: Design, seed: int, epoch: int) -> tuple[dict, dict, float, float, int]:
+    """(gradients, statistics, loss, accuracy, rows) of the step of the batches ``own``, each by its number of rows. Of an RDD only their partitions are read, by one stage,
+    and a vector of each reaches the driver; the rows of a table are added in a tree."""
     names, kept = learned(state), running(state)
-    shared = batches.sparkSession.sparkContext.broadcast(state)
+    context = batches.sparkSession.sparkContext if isinstance(batches, DataFrame) else batches.context
+    shared = context.broadcast(state)
+
+    def flat(number: int, labels: list, raw: bytes) -> np.ndarray:
+        y = np.array(labels)
+        n = len(y)
+        grads, stats, loss, right = gradients(shared.value, np.frombuffer(raw).reshape(n, -1), y, design.dropout, np.random.default_rng([seed, epoch, number]))
+        return np.concatenate([[n, n * loss, right], *(n * grads[k].ravel() for k in names), *(n * stats[k].ravel() for k in kept)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for number, labels, raw in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                y = np.array(labels)
-                n = len(y)
-                grads, stats, loss, right = gradients(shared.value, np.frombuffer(raw).reshape(n, -1), y, design.dropout, np.random.default_rng([seed, epoch, number]))
-                flat = np.concatenate([[n, n * loss, right], *(n * grads[k].ravel() for k in names), *(n * stats[k].ravel() for k in kept)])
-                yield pa.RecordBatch.from_arrays([network.as_lists(flat[None, :])], ["v"])
-
-    total = sums.tree_sum(batches.select("batch", "labels", "x").mapInArrow(run, "v array<double>"))
+            for row in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([network.as_lists(flat(*row)[None, :])], ["v"])
+
+    if isinstance(batches, DataFrame):
+        total = sums.tree_sum(batches.select("batch", "labels", "x").mapInArrow(run, "v array<double>"))
+    else:
+        total = sum(np.frombuffer(v) for v in context.runJob(batches, lambda rows: (flat(*row).tobytes() for row in rows), list(own)))
     shared.unpersist()
     n, at, out = int(total[0]), 3, {}
     for name in (*names, *kept):
@@ -241,17 +250,22 @@ def train(rows: DataFrame, validation: DataFrame, design: Design, epochs: int, b
     """
     spark = rows.sparkSession
     scratch = storage.Scratch()
-    validation = scratch.cut(validation)
     path = storage.fresh_path(spark, "batches")
+    validation = scratch.cut(validation)
     state = initial(design, seed)
     best, best_accuracy, history, optimizer, stop = state, -1.0, [], Adam(rate), Stop(patience)
     try:
-        steps = dealt(scratch.cut(rows), design, batch, workers, seed, drop_last, path)
+        dealt_, batches = dealt(scratch.cut(rows), design, batch, seed, drop_last)
+        scratch.tables.append(dealt_)
+        parts, steps = dealt_.rdd, -(-batches // workers)
+        if large := steps and 8 * workers * sum(v.size for v in state.values()) > TOLD:
+            dealt_.withColumn("step", F.floor(F.col("batch") / workers)).write.partitionBy("step").parquet(path)
         for epoch in range(epochs if steps else 0):
             order = np.random.default_rng([seed, epoch]).permutation(steps)
             total = np.zeros(3)
             for step in order.tolist():
-                grads, stats, loss, right, n = step_gradient(spark.read.parquet(f"{path}/step={step}"), state, design, seed, epoch)
+                of = spark.read.parquet(f"{path}/step={step}") if large else parts
+                grads, stats, loss, right, n = step_gradient(of, range(step * workers, min(batches, (step + 1) * workers)), state, design, seed, epoch)
                 state = optimizer(state, grads) | {k: KEEP * state[k] + (1 - KEEP) * v for k, v in stats.items()}
                 total += [n, n * loss, n * right]
             reached = accuracy(validation, state)

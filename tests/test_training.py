@@ -65,6 +65,21 @@ def test_partitions_do_not_matter_and_the_best_epoch_is_restored(spark):
     assert history[-1]["train_loss"] < history[0]["train_loss"]
 
 
+def test_a_step_is_one_stage_and_equals_a_tree_of_tasks(spark, monkeypatch):
+    rows, val = planted(spark, 70), planted(spark, 30, 9, shift=1000)
+    run = lambda: training.train(rows, val, SMALL, epochs=1, batch=10, workers=3, rate=0.01, seed=4)
+    read, gradient = [], training.step_gradient
+    monkeypatch.setattr(training, "step_gradient", lambda batches, own, *a: read.append((type(batches).__name__, list(own))) or gradient(batches, own, *a))
+    one, history = run()
+    assert sorted(own for _, own in read) == [[0, 1, 2], [3, 4, 5], [6]] and {kind for kind, _ in read} == {"RDD"}
+    monkeypatch.setattr(training, "TOLD", 0)
+    other, again = run()
+    assert {kind for kind, _ in read[3:]} == {"DataFrame"}
+    for name in one:
+        np.testing.assert_allclose(one[name], other[name], atol=1e-9)
+    assert history[0] == pytest.approx(again[0], abs=1e-9)
+
+
 def test_a_task_is_learned(spark):
     rows, val = planted(spark, 240, 5), planted(spark, 90, 6, shift=1000)
     design = training.Design(length=20, classes=3, conv=((4, 5, 2, 2),), dense=(16, 8), dropout=0.1)
